@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewell.llm import bpe, chat, edit_embedding, exact_dedup, licenses, quality, simhash
+from lorewell.llm import bpe, chat, edit_embedding, exact_dedup, licenses, mixing, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": exact_dedup.op2,
         "op3_edit_fingerprints": edit_embedding.op3,
         "op5_simhash": simhash.op5,
+        "op6_mixing": mixing.op6,
         "op8_bpe": bpe.op8,
         "op9_license_scan": licenses.op9,
         "op10_chat_format": chat.op10,
