@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewell.llm import bpe, chat, edit_embedding, exact_dedup, licenses, mixing, quality, simhash
+from lorewell.llm import bpe, brown_lm, chat, edit_embedding, exact_dedup, licenses, mixing, quality, revisits, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_classifier": quality.op1,
         "op2_exact_dedup": exact_dedup.op2,
         "op3_edit_fingerprints": edit_embedding.op3,
+        "op4_brown_lm": brown_lm.op4,
         "op5_simhash": simhash.op5,
         "op6_mixing": mixing.op6,
+        "op7_revisits": revisits.op7,
         "op8_bpe": bpe.op8,
         "op9_license_scan": licenses.op9,
         "op10_chat_format": chat.op10,
@@ -23,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op10_chat_format": chat.OP10_SQL}
+    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op7_revisits": revisits.OP7_SQL, "op10_chat_format": chat.OP10_SQL}
