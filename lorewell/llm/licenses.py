@@ -24,7 +24,7 @@ TEMPLATES = [
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
 ]
 #: Words of a rolling gram, diagonals that are merged, and the share of a template's words that a span needs.
-K, BAND, SHARE = 2, 2, 0.8
+K, BAND, SHARE = 2, 2, 0.9
 _BLANK = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 
