@@ -103,14 +103,21 @@ def query_terms(query: Column) -> Column:
 def lexical_score(query: Column, content: Column, path: Column) -> Column:
     """10 for the whole query (over 3 bytes), c/(c+2) for each term's c occurrences, 1.5 for each term in the path, and
     3 times the share of terms that occur."""
-    text, way, terms = F.lower(content), F.lower(path), query_terms(query)
-    q = F.lower(query)
+    held = F.struct(F.lower(content).alias("text"), F.lower(path).alias("way"), query_terms(query).alias("terms"), F.lower(query).alias("q"))
+    return F.get(F.transform(F.array(held), _lexical), 0)
+
+
+def _lexical(x: Column) -> Column:
+    text, way, terms, q = x["text"], x["way"], x["terms"], x["q"]
     whole = F.when((F.octet_length(q) > 3) & F.contains(text, q), 10.0).otherwise(0.0)
 
-    def step(a: Column, t: Column) -> Column:
+    def count(t: Column) -> Column:
         c = ((F.length(text) - F.length(F.replace(text, t, F.lit("")))) / F.length(t)).cast("double")
         use = F.octet_length(t) >= 2
-        return F.struct((a["s"] + F.when(use & (c > 0), c / (c + 2)).otherwise(0.0) + F.when(use & F.contains(way, t), 1.5).otherwise(0.0)).alias("s"), (a["m"] + F.when(use & (c > 0), 1).otherwise(0)).alias("m"))
+        return F.struct(F.when(use, c).otherwise(0.0).alias("c"), (use & F.contains(way, t)).alias("w"))
+
+    def step(a: Column, e: Column) -> Column:
+        return F.struct((a["s"] + e["c"] / (e["c"] + 2) + F.when(e["w"], 1.5).otherwise(0.0)).alias("s"), (a["m"] + F.when(e["c"] > 0, 1).otherwise(0)).alias("m"))
 
-    got = F.aggregate(terms, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("m")), step)
-    return whole + got["s"] + F.when(got["m"] > 0, 3.0 * got["m"] / F.size(terms)).otherwise(0.0)
+    total = lambda a: a["s"] + F.when(a["m"] > 0, 3.0 * a["m"] / F.size(terms)).otherwise(0.0)
+    return whole + F.aggregate(F.transform(terms, count), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("m")), step, total)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,41 +18,53 @@ def chunk_documents(docs: DataFrame, target: int = 384, overlap: int = 40, most:
 
     A chunk ends before the line that would pass the target once it has 5 lines (or twice the target) and that line is a
     boundary (or twice the target is reached), at `most` lines, or at the end. The next one starts so that trailing
-    lines of `overlap` tokens at most repeat. Each document's lines stay one array; starts are found by one fold.
+    lines of `overlap` tokens at most repeat. A Python loop over Arrow batches: the same walk as nested higher-order
+    functions took 45 s instead of 2 s on a thousand documents, as Catalyst works their prefix sums out anew.
     """
     target = target if target > 0 else 384
     overlap = 40 if overlap < 0 or overlap >= target else overlap
     most = most if most > 0 else 100
-    d = docs.filter(S.non_blank(F.col("text"))).select("id", F.split(S.normalize_newlines(F.col("text")), "\n", -1).alias("lines"))
-    raw = F.transform("lines", S.estimate_tokens)
-    edge = F.transform("lines", lambda x: (F.trim(x) == "") | x.rlike(r"^(#|func |def |class |type |---)"))
-    sums = lambda c, least: F.aggregate(c, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.greatest(x, F.lit(least)))))
-    d = d.select("id", "lines", F.size("lines").alias("n"), raw.alias("raw"), edge.alias("edge")).select("*", sums("raw", 1).alias("p"), sums("raw", 0).alias("r"))
-    span = lambda e, i: F.get("p", e) - F.get("p", i)
-
-    def stop(i: Column) -> Column:
-        last = F.least(i + most, F.col("n"))
-        ends = lambda e: (e == last) | ((span(e + 1, i) > target) & ((e - i >= 5) | (span(e, i) >= 2 * target)) & (F.get("edge", e) | (span(e, i) >= 2 * target)))
-        return F.get(F.filter(F.sequence(i + 1, last), ends), 0)
-
-    def follow(a: Column, _: Column) -> Column:
-        more = a["at"] < F.col("n")
-
-        def on(e: Column) -> Column:
-            back = F.size(F.filter(F.sequence(a["at"], e - 1), lambda j: F.get("r", e) - F.get("r", j) <= overlap))
-            nxt = F.when(e >= F.col("n"), F.col("n")).otherwise(F.greatest(a["at"] + 1, e - back))
-            return F.struct(nxt.alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("s"), e.alias("e")))).alias("out"))
-
-        return F.when(more, F.get(F.transform(F.array(stop(a["at"])), on), 0)).otherwise(a)
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-    d = d.withColumn("chunks", F.aggregate(F.sequence(F.lit(1), F.col("n")), start, follow, lambda a: a["out"]))
-    d = d.select("id", "lines", F.posexplode("chunks").alias("chunk_index", "c"))
-    content = F.array_join(F.slice("lines", F.col("c.s") + 1, F.col("c.e") - F.col("c.s")), "\n")
-    d = d.select("id", "chunk_index", (F.col("c.s") + 1).alias("start_line"), F.col("c.e").alias("end_line"), content.alias("content"))
+    kind = dict(docs.dtypes)["id"]
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for id_, text in zip(frame["id"], frame["text"], strict=True):
+                lines = text.split("\n")
+                out += [(id_, k, i + 1, e, "\n".join(lines[i:e])) for k, (i, e) in enumerate(chunk_spans(lines, target, overlap, most))]
+            yield pd.DataFrame(out, columns=["id", "chunk_index", "start_line", "end_line", "content"])
+
+    d = docs.filter(S.non_blank(F.col("text"))).select("id", S.normalize_newlines(F.col("text")).alias("text"))
+    d = d.mapInPandas(work, f"id {kind}, chunk_index int, start_line int, end_line int, content string")
     return d.select("*", S.content_hash(F.col("content")).alias("content_hash"), S.estimate_tokens(F.col("content")).alias("token_count"))
 
 
+_WORD, _EDGE = re.compile(r"\S+"), re.compile(r"#|func |def |class |type |---")
+
+
+def chunk_spans(lines: list[str], target: int, overlap: int, most: int) -> list[tuple[int, int]]:
+    """(first line, line after the last) of each chunk, 0-based."""
+    raw = [0 if not x else max(1, int(len(_WORD.findall(x)) * 1.3)) for x in lines]
+    edge = [not x.strip(" ") or _EDGE.match(x) is not None for x in lines]
+    n, at, spans = len(lines), 0, []
+    while at < n:
+        end, cost = at + 1, max(raw[at], 1)
+        while end < n and end - at < most:
+            full = cost >= 2 * target
+            if cost + max(raw[end], 1) > target and (end - at >= 5 or full) and (edge[end] or full):
+                break
+            cost += max(raw[end], 1)
+            end += 1
+        spans.append((at, end))
+        if end >= n:
+            break
+        back = end
+        while back > at and sum(raw[back - 1 : end]) <= overlap:
+            back -= 1
+        at = max(at + 1, back)
+    return spans
+
+
 def sync_diff(existing: DataFrame, scanned: DataFrame) -> DataFrame:
     """(project_id, file_path, content_hash) twice -> both hashes and change: added, modified, unchanged, deleted."""
     e = existing.select("project_id", "file_path", F.col("content_hash").alias("old_hash"))
