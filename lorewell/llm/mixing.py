@@ -10,6 +10,8 @@ from lorewell.llm.common import WORD, fingerprint_of, staged, table, text_of
 
 #: Output shards are 2 ** DEPTH; words that a block holds about; weights by the source's place; passes over a source at most.
 DEPTH, BLOCK_WORDS, WEIGHTS, MOST, SEED = 5, 20_000, (1, 2, 3), 3, 17
+#: Blocks of a source at most, so that one task can put them in order; beyond it blocks hold more words.
+BLOCKS = 65_536
 
 
 def unit(*parts: Column) -> Column:
@@ -112,7 +114,7 @@ def size_of() -> Column:
 
 
 def _blocks(source_size: Column) -> Column:
-    return F.greatest(F.lit(1), F.ceil(source_size / BLOCK_WORDS)).cast("long")
+    return F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.ceil(source_size / BLOCK_WORDS))).cast("long")
 
 
 def mix(docs: DataFrame, keep: list[str]) -> DataFrame:
