@@ -2,14 +2,50 @@
 
 from __future__ import annotations
 
+from ipaddress import ip_network
+from posixpath import normpath
+from re import escape
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Extensions and the language they stand for.
-LANGUAGES = {".go": "go", ".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".java": "java", ".rs": "rust", ".rb": "ruby", ".c": "c", ".h": "c", ".cpp": "cpp", ".hpp": "cpp", ".cs": "csharp", ".php": "php", ".sql": "sql", ".sh": "shell", ".md": "markdown", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".html": "html", ".css": "css"}
-# Names that mark a column as sensitive.
-SENSITIVE_WORDS = ["password", "passwd", "pwd", "secret", "token", "ssn", "cvv", "pin", "salt", "credential", "credentials"]
-SENSITIVE_PARTS = "password|passwd|secret|token|apikey|privatekey|accesskey|creditcard|cardnumber|ssn|cvv|pin"
+# Languages and their file extensions; a smaller table for fenced code blocks.
+LANGUAGES = {
+    "go": [".go"], "typescript": [".ts", ".tsx"], "javascript": [".js", ".jsx", ".mjs", ".cjs"], "python": [".py"], "markdown": [".md", ".markdown"],
+    "rust": [".rs"], "java": [".java"], "c": [".c", ".h"], "cpp": [".cpp", ".cc", ".cxx", ".hpp"], "json": [".json"], "yaml": [".yaml", ".yml"],
+    "sql": [".sql"], "bash": [".sh", ".bash"], "html": [".html", ".htm"], "css": [".css"],
+}
+FENCES = {
+    "go": [".go"], "typescript": [".ts", ".tsx"], "javascript": [".js", ".jsx"], "python": [".py"], "rust": [".rs"], "java": [".java"], "c": [".c", ".h"],
+    "cpp": [".cpp", ".hpp", ".cc"], "sql": [".sql"], "yaml": [".yaml", ".yml"], "json": [".json"], "markdown": [".md"], "bash": [".sh", ".bash"],
+}
+# Folders and endings that aren't indexed.
+IGNORED_FOLDERS = [".git", ".github", "node_modules", "vendor", "dist", "build", ".next", "target", "__pycache__", ".venv"]
+IGNORED_ENDINGS = [
+    ".lock", "-lock.json", "-lock.yaml", ".lock.yaml", ".lockb", ".sum", ".exe", ".bin", ".zip", ".tar", ".gz", ".png", ".jpg", ".jpeg", ".gif", ".ico", ".svg",
+    ".woff", ".woff2", ".ttf", ".pdf", ".pyc", ".wasm", ".so", ".dylib", ".dll", ".class", ".jar", ".war", ".db", ".sqlite", ".sqlite3", ".o", ".a", ".7z", ".rar",
+]
+# Words and phrases that mark a column as sensitive.
+SENSITIVE_WORDS = [
+    "password", "passwd", "pwd", "passphrase", "passcode", "secret", "token", "apikey", "salt", "ssn", "cvv", "cvc", "pin", "privkey", "credential",
+    "credentials", "otp", "jwt", "bearer", "creditcard", "cardnumber",
+]
+SENSITIVE_PHRASES = [
+    "password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_token", "refresh_token", "auth_token", "auth_key", "auth_secret", "salt",
+    "ssn", "social_security", "credit_card", "creditcard", "card_number", "card_num", "cc_num", "cvv", "cvc", "pin", "passcode", "private_key", "privkey",
+    "passphrase", "credential", "otp", "national_id",
+]
+# Openings of lines at which a chunk may end, by language.
+BOUNDARIES = {
+    "go": ["func ", "type ", "const ", "var "], "python": ["def ", "class ", "@"],
+    "typescript": ["export ", "function ", "class ", "const ", "interface ", "type "], "markdown": ["#", "---"], "": ["func ", "def ", "class ", "#"],
+}
+LANGUAGE_NAMES = {"py": "python", "md": "markdown", "ts": "typescript", "js": "typescript", "tsx": "typescript", "jsx": "typescript", "javascript": "typescript"}
+# IPv4 ranges that aren't public.
+BLOCKED = [
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.88.99.0/24",
+    "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4", "255.255.255.255/32",
+]
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -36,9 +72,103 @@ def is_binary(content: Column) -> Column:
     return F.contains(F.substring(content.cast("binary"), 1, 8000), F.unhex(F.lit("00")))
 
 
+def _extension(path: Column) -> Column:
+    return F.regexp_extract(F.lower(path), r"(\.[^./]*)$", 1)
+
+
+def _by_extension(path: Column, table: dict[str, list[str]], other: str) -> Column:
+    known = F.create_map(*[F.lit(x) for name, ends in table.items() for end in ends for x in (end, name)])
+    return F.coalesce(F.element_at(known, _extension(path)), F.lit(other))
+
+
 def detect_language(path: Column) -> Column:
-    ext = F.regexp_extract(F.lower(path), r"(\.[^./]*)$", 1)
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), ext), F.lit("text"))
+    return _by_extension(path, LANGUAGES, "text")
+
+
+def detect_language_fence(path: Column) -> Column:
+    return _by_extension(path, FENCES, "")
+
+
+def upload_language(path: Column) -> Column:
+    """Language of an upload; null for an extension that isn't taken."""
+    ext = _extension(path)
+    return F.when(ext.isin(".md", ".markdown"), "markdown").when(ext == ".json", "json").when(ext == ".csv", "csv").when(ext == ".txt", "text")
+
+
+def boundary_name(language: str | None) -> str:
+    name = (language or "").lower()
+    name = LANGUAGE_NAMES.get(name, name)
+    return name if name in BOUNDARIES else ""
+
+
+def is_boundary(line: Column, language: Column) -> Column:
+    """A blank line, or one that opens a part in its language."""
+    line = F.regexp_replace(line, r"(?U)^\s+", "")
+    lang = F.lower(F.coalesce(language, F.lit("")))
+    opens = lambda name: F.exists(F.array(*map(F.lit, BOUNDARIES[name])), lambda p: F.startswith(line, p))
+    named = F.lit(None).cast("boolean")
+    for name in [n for n in BOUNDARIES if n]:
+        named = F.coalesce(F.when(lang.isin(name, *[k for k, v in LANGUAGE_NAMES.items() if v == name]), opens(name)), named)
+    return (line == "") | F.coalesce(named, opens(""))
+
+
+def pr_state(merged_at: Column, state: Column, draft: Column) -> Column:
+    state = issue_state(state)
+    return F.when(merged_at.isNotNull(), "merged").when(state == "closed", "closed").when(draft, "draft").otherwise(state)
+
+
+def issue_state(state: Column) -> Column:
+    return F.coalesce(F.nullif(F.lower(F.trim(state)), F.lit("")), F.lit("open"))
+
+
+def repo_slug(owner: Column, name: Column) -> Column:
+    """owner/repo from two columns, or from a name or URL that ends in both; null otherwise."""
+    both = F.regexp_extract(F.trim(name), r"^(?:(?:https?://)?github\.com/)?([^/\s]+/[^/\s#]+)$", 1)
+    own = F.nullif(F.trim(owner), F.lit(""))
+    return F.when(own.isNotNull() & (F.trim(name) != ""), F.concat(own, F.lit("/"), F.trim(name))).otherwise(F.nullif(both, F.lit("")))
+
+
+def push_branch(ref: Column) -> Column:
+    return F.regexp_replace(ref, "^refs/heads/", "")
+
+
+def table_kind(kind: Column) -> Column:
+    return F.when(F.lower(kind).contains("view"), "view").otherwise("table")
+
+
+def vector_literal(vector: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(vector.cast("array<string>"), ","), F.lit("]"))
+
+
+def markdown_cell(value: Column) -> Column:
+    return F.trim(F.regexp_replace(F.replace(value, F.lit("|"), F.lit("\\|")), "\r\n|\n|\r", " "))
+
+
+def url_is_safe(url: Column) -> Column:
+    """http or https to a host that is neither internal by name nor a literal IPv4 address of a closed range. No lookup."""
+    parts = F.regexp_extract(F.trim(url), r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    host = F.lower(parts)
+    inner = host.isin("localhost", "localhost.localdomain", "metadata", "metadata.google.internal") | host.rlike(r"\.(local|internal|localhost)$")
+    octets = F.transform(F.split(F.when(host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), host), r"\."), lambda x: x.cast("long"))
+    ip = F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x)
+    closed = F.lit(False)
+    for net in map(ip_network, BLOCKED):
+        closed = closed | ip.between(int(net[0]), int(net[-1]))
+    return F.coalesce(host != "", F.lit(False)) & ~inner & ~F.coalesce(closed, F.lit(False))
+
+
+def file_filter(path: Column, filters: list[str]) -> Column:
+    """The path equals a filter, matches it as a glob (* and ? stay within a folder) by itself or by its last part, or
+    lies under it. Rows without a path pass."""
+    met, last = F.lit(False), F.regexp_extract(path, "([^/]*)/*$", 1)
+    for f in filters:
+        clean = normpath(f)
+        glob = "^" + "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else escape(c) for c in f) + "$"
+        under = clean.removesuffix("/*").removesuffix("/**").removesuffix("*")
+        met = met | (path == clean) | path.rlike(glob) | last.rlike(glob)
+        if under:
+            met = met | F.startswith(path, F.lit(under)) | F.startswith(path, F.lit(under.removeprefix("/")))
+    return F.coalesce(path == "", F.lit(True)) | met
 
 
 def slugify_title(title: Column) -> Column:
@@ -79,14 +209,17 @@ def redact_credentials(text: Column) -> Column:
 
 
 def is_sensitive_column(name: Column) -> Column:
+    low = F.lower(F.trim(name))
+    writer = low.rlike("^authors?$|^authors?_|_authors?$|^authority$")
     words = F.split(F.lower(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2")), r"[_\-. ]")
-    joined = F.regexp_replace(F.lower(name), r"[_\-. ]", "")
-    return F.arrays_overlap(words, F.array(*map(F.lit, SENSITIVE_WORDS))) | joined.rlike(SENSITIVE_PARTS)
+    parts = "|".join(dict.fromkeys(p.replace("_", "") for p in SENSITIVE_PHRASES))
+    return (low != "") & ~writer & (F.arrays_overlap(words, F.array(*map(F.lit, SENSITIVE_WORDS))) | F.regexp_replace(low, "[_-]", "").rlike(parts))
 
 
 def should_index(path: Column, size: Column) -> Column:
-    p = F.lower(path)
-    return (size <= 1 << 20) & ~p.rlike(r"(^|/)(node_modules|vendor|\.git|dist|build|target|__pycache__|\.next)/") & ~p.rlike(r"\.(png|jpg|jpeg|gif|ico|pdf|zip|gz|tar|exe|dll|so|woff2?|lock)$|(^|/)(package-lock\.json|go\.sum|yarn\.lock)$")
+    p = F.regexp_replace(path, "^/", "")
+    folders, ends = ("|".join(map(escape, x)) for x in (IGNORED_FOLDERS, IGNORED_ENDINGS))
+    return (size <= 1 << 20) & ~p.rlike(f"(^|/)({folders})/") & ~F.lower(p).rlike(f"({ends})$")
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:

@@ -14,7 +14,7 @@ from lorewell.functions import scalars as S
 
 
 def chunk_documents(docs: DataFrame, target: int = 384, overlap: int = 40, most: int = 100) -> DataFrame:
-    """(id, text) -> id, chunk_index, start_line, end_line (1-based, inclusive), content, content_hash, token_count.
+    """(id, text, and language if there is one) -> id, chunk_index, start_line, end_line (1-based, inclusive), content, content_hash, token_count.
 
     A chunk ends before the line that would pass the target once it has 5 lines (or twice the target) and that line is a
     boundary (or twice the target is reached), at `most` lines, or at the end. The next one starts so that trailing
@@ -25,27 +25,29 @@ def chunk_documents(docs: DataFrame, target: int = 384, overlap: int = 40, most:
     overlap = 40 if overlap < 0 or overlap >= target else overlap
     most = most if most > 0 else 100
     kind = dict(docs.dtypes)["id"]
+    language = F.col("language") if "language" in docs.columns else F.lit("")
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for id_, text in zip(frame["id"], frame["text"], strict=True):
+            for id_, text, language in zip(frame["id"], frame["text"], frame["language"], strict=True):
                 lines = text.split("\n")
-                out += [(id_, k, i + 1, e, "\n".join(lines[i:e])) for k, (i, e) in enumerate(chunk_spans(lines, target, overlap, most))]
+                out += [(id_, k, i + 1, e, "\n".join(lines[i:e])) for k, (i, e) in enumerate(chunk_spans(lines, target, overlap, most, language))]
             yield pd.DataFrame(out, columns=["id", "chunk_index", "start_line", "end_line", "content"])
 
-    d = docs.filter(S.non_blank(F.col("text"))).select("id", S.normalize_newlines(F.col("text")).alias("text"))
+    d = docs.filter(S.non_blank(F.col("text"))).select("id", S.normalize_newlines(F.col("text")).alias("text"), language.alias("language"))
     d = d.mapInPandas(work, f"id {kind}, chunk_index int, start_line int, end_line int, content string")
     return d.select("*", S.content_hash(F.col("content")).alias("content_hash"), S.estimate_tokens(F.col("content")).alias("token_count"))
 
 
-_WORD, _EDGE = re.compile(r"\S+"), re.compile(r"#|func |def |class |type |---")
+_WORD = re.compile(r"\S+")
 
 
-def chunk_spans(lines: list[str], target: int, overlap: int, most: int) -> list[tuple[int, int]]:
+def chunk_spans(lines: list[str], target: int, overlap: int, most: int, language: str | None = "") -> list[tuple[int, int]]:
     """(first line, line after the last) of each chunk, 0-based."""
     raw = [0 if not x else max(1, int(len(_WORD.findall(x)) * 1.3)) for x in lines]
-    edge = [not x.strip(" ") or _EDGE.match(x) is not None for x in lines]
+    opens = tuple(S.BOUNDARIES[S.boundary_name(language)])
+    edge = [not (y := x.strip()) or y.startswith(opens) for x in lines]
     n, at, spans = len(lines), 0, []
     while at < n:
         end, cost = at + 1, max(raw[at], 1)

@@ -171,7 +171,7 @@ CHUNKS = r"""
 WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n$', '') AS text FROM documents WHERE regexp_matches(text, '\S')),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM t),
 k AS (SELECT doc_id, i, line, CASE WHEN length(line) = 0 THEN 0 ELSE greatest(1, CAST(floor(len(regexp_extract_all(line, '[^\s\x{85}\x{A0}\p{Z}\x{0B}]+')) * 1.3::DOUBLE) AS INT)) END AS raw,
-  trim(line) = '' OR regexp_matches(line, '^(#|func |def |class |type |---)') AS edge FROM l),
+  regexp_matches(line, '^[\s\x{85}\x{A0}\p{Z}\x{0B}]*(func |def |class |#|$)') AS edge FROM l),
 p AS (SELECT doc_id, i, edge, sum(greatest(raw, 1)) OVER w - greatest(raw, 1) AS p0, sum(greatest(raw, 1)) OVER w AS p1, sum(raw) OVER w - raw AS r0, count(*) OVER (PARTITION BY doc_id) AS n FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 pts AS (SELECT doc_id, i, edge, p0, p1, r0, n FROM p UNION ALL SELECT doc_id, i + 1, false, p1, p1, r0 + (SELECT raw FROM k WHERE k.doc_id = p.doc_id AND k.i = p.i), n FROM p WHERE i = n - 1),
 e AS (SELECT a.doc_id, a.i, a.n, min(b.i) AS e FROM p a JOIN pts b ON a.doc_id = b.doc_id AND b.i > a.i AND b.i <= least(a.i + 100, a.n)
@@ -185,7 +185,7 @@ SELECT doc_id, chunk_index, CAST(i + 1 AS INT) AS start_line, CAST(e AS INT) AS
 
 @_query("chunk_documents", CHUNKS)
 def _(s, sf):
-    return corpus.chunk_documents(_read(s, sf, "documents").select(F.col("doc_id").alias("id"), "text")).select(F.col("id").alias("doc_id"), "chunk_index", "start_line", "end_line")
+    return corpus.chunk_documents(_read(s, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("language"))).select(F.col("id").alias("doc_id"), "chunk_index", "start_line", "end_line")
 
 
 def _retrieval(s, sf):
