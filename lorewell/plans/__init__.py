@@ -1 +1,6 @@
-"""Part of lorewell."""
+"""Queries over the given tables, each beside its SQL."""
+
+from lorewell.plans import answers  # noqa: F401  (adds its queries to the registry)
+from lorewell.plans.registry import oracle_sql, queries
+
+__all__ = ["oracle_sql", "queries"]

@@ -6,8 +6,8 @@ import os
 import duckdb
 import pytest
 
+from lorewell import plans
 from lorewell.operators.corpus import chunk_spans, rrf, sync_diff
-from lorewell.plans import registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,13 +18,13 @@ def rows(found, columns):
     return sorted(([value(r[i]) for i in order] for r in found), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
     for p in glob.glob(f"{SF}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM read_parquet('{p}')")
-    df = registry.queries()[name](spark, SF)
-    got = con.execute(registry.oracle_sql()[name])
+    df = plans.queries()[name](spark, SF)
+    got = con.execute(plans.oracle_sql()[name])
     columns = [d[0] for d in got.description]
     assert sorted(columns) == sorted(df.columns)
     assert rows(df.collect(), df.columns) == rows(got.fetchall(), columns)
