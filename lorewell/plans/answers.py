@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorewell.functions import scalars as S
-from lorewell.operators import answers, corpus
+from lorewell.operators import answers, corpus, vectors
 from lorewell.plans.registry import CHUNKS, DOCS, HYBRID, SIMS, _query, _read, _retrieval, _scalar, documents
 
 
@@ -184,3 +184,14 @@ _scalar("title_from_text", "benchmark", "item_id", lambda: S.title_from_text(F.c
 _scalar("markdown_cell", "documents", "doc_id", lambda: F.sha2(S.markdown_cell(F.col("text")), 256), "sha256(trim(regexp_replace(replace(text, '|', '\\|'), '\\r\\n|\\n|\\r', ' ', 'g')))")
 _scalar("encrypt_column", "pages", "page_id", lambda: F.aes_decrypt(F.aes_encrypt("url", F.lit("0123456789abcdef0123456789abcdef")), F.lit("0123456789abcdef0123456789abcdef")).cast("string"), "url")
 _scalar("repo_slug", "pages", "page_id", lambda: S.repo_slug(F.lit(""), F.regexp_extract("url", r"//([^?#]*)", 1)), r"nullif(regexp_extract(regexp_extract(url, '//([^?#]*)', 1), '^([^/\s]+/[^/\s#]+)$', 1), '')")
+
+
+@_query("ann_topk")
+def _(s, sf):
+    q, d = _retrieval(s, sf)
+    return vectors.ann_topk(q, d, vectors.fit_cells(d)).select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@_query("embed_chunks")
+def _(s, sf):
+    return vectors.embed_chunks(_chunks(s, sf), vectors.hash_embedding).select("doc_id", "chunk_index", "content_hash", S.vector_literal(F.col("vector")).alias("vector"))
