@@ -12,6 +12,8 @@ from lorewell.llm.common import WORD, fingerprint_of, staged, table, text_of
 DEPTH, BLOCK_WORDS, WEIGHTS, MOST, SEED = 5, 20_000, (1, 2, 3), 3, 17
 #: Blocks of a source at most, so that one task can put them in order; beyond it blocks hold more words.
 BLOCKS = 65_536
+#: Times that a source's last block is gone through for rows that still fit.
+PASSES = 5
 
 
 def unit(*parts: Column) -> Column:
@@ -117,13 +119,34 @@ def _blocks(source_size: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.ceil(source_size / BLOCK_WORDS))).cast("long")
 
 
+def _filling(inside: DataFrame) -> DataFrame:
+    """(source, block, rules): which rows of inside(source, block, key, rank, size, rest) fill the rest of their block.
+
+    A row is taken if its rank and size are at most those of one rule. Each pass takes rows by rank while they fit, of
+    those that are small enough for what the passes before have left; so a very long row blocks none behind it. The last
+    pass lets in one row beyond the rest where that ends nearer to it. One block a source at most is gone through."""
+    block = Window.partitionBy("source", "block")
+    line, now = block.orderBy("rank", "key"), inside.withColumn("left", F.col("rest")).withColumn("taken", F.lit(False))
+    for k in range(PASSES):
+        last = k + 1 == PASSES
+        now = now.withColumn(f"fit{k}", F.col("left") * (2 if last else 1))
+        fits = ~F.col("taken") & (F.col("size") <= F.col(f"fit{k}"))
+        now = now.withColumn("sum", F.sum(F.when(fits, F.col("size"))).over(line))
+        now = now.withColumn("now", fits & (F.col("sum") - (F.col("size") / 2 if last else 0) <= F.col("left")))
+        now = now.withColumn(f"to{k}", F.max(F.when(F.col("now"), F.col("rank"))).over(block))
+        now = now.withColumn("left", F.col("left") - F.coalesce(F.sum(F.when(F.col("now"), F.col("size"))).over(block), F.lit(0)))
+        now = now.withColumn("taken", F.col("taken") | F.col("now"))
+    rules = F.array(*[F.struct(F.first(f"to{k}").alias("to"), F.first(f"fit{k}").alias("fit")) for k in range(PASSES)])
+    return now.groupBy("source", "block").agg(rules.alias("rules"))
+
+
 def mix(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns keep of docs, with __size, __source_size, __target and __places: array<struct<shard, turn>>, an entry
     for each time that the row is in the mix.
 
     Rows fall into blocks of their source by a hash of id and text. A source's blocks are permuted by a hash; it gives as
-    many whole passes as its target holds, then blocks in that order, and from the last block rows, in hash order, while
-    they fit: a source ends within one row of its target. Blocks taken are numbered in permuted order, and the
+    many whole passes as its target holds, then blocks in that order, and from the last block rows that fit, in hash
+    order: a source ends within one row of its target, and mostly much nearer. Blocks taken are numbered in permuted order, and the
     splitting tree's shards draw disjoint runs of them. Null texts have size 0; a null source is a source; rows that
     repeat id and text go together; an empty table gives no rows.
     """
@@ -142,10 +165,7 @@ def mix(docs: DataFrame, keep: list[str]) -> DataFrame:
     blocks = staged(blocks.withColumn("full", full).withColumn("part", part))
     rank = F.xxhash64(F.lit(SEED + 2), "key")
     inside = _beside(in_block, blocks.filter("part").select("source", "block", "rest"), ["source", "block"])
-    line = Window.partitionBy("source", "block").orderBy(rank, "key")
-    inside = inside.withColumn("sum", F.sum("size").over(line)).filter(F.col("sum") - F.col("size") / 2 <= F.col("rest"))
-    limit = inside.groupBy("source", "block").agg(F.max(rank).alias("limit"))
-    blocks = _beside(blocks, limit, ["source", "block"], "left")
+    blocks = _beside(blocks, _filling(staged(inside.withColumn("rank", rank))), ["source", "block"], "left")
     copies = F.col("passes") + F.when(F.col("full") | F.col("part"), 1).otherwise(0)
     blocks = staged(blocks.withColumn("copies", copies))
     drawn = blocks.withColumn("pass", F.explode(F.expr("filter(sequence(1L, greatest(copies, 1L)), x -> x <= copies)")))
@@ -157,12 +177,13 @@ def mix(docs: DataFrame, keep: list[str]) -> DataFrame:
     placed = _beside(drawn, runs, ["source"]).select("source", "block", F.struct("pass", at.alias("shard")).alias("place"))
     places = placed.groupBy("source", "block").agg(F.array_sort(F.collect_list("place")).alias("places"))
     plan = _beside(blocks, places, ["source", "block"], "left")
-    plan = staged(plan.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "passes", "part", "limit", "places"))
+    plan = staged(plan.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "passes", "part", "rules", "places"))
     g = goal.select(F.col("source").alias("__g"), "source_size", "target", "n_blocks")
     base = docs.select(*keep, F.col("source").alias("__source"), key.alias("key"), size_of().alias("__size"))
     base = base.join(g, F.col("__source").eqNullSafe(F.col("__g")))
     base = base.join(plan, F.col("__source").eqNullSafe(F.col("__s")) & (block() == F.col("__b")))
-    here = F.filter(F.coalesce("places", F.array().cast("array<struct<pass:bigint,shard:int>>")), lambda p: ~F.col("part") | (p["pass"] <= F.col("passes")) | (F.xxhash64(F.lit(SEED + 2), "key") <= F.col("limit")))
+    fills = F.coalesce(F.exists("rules", lambda r: (rank <= r["to"]) & (F.col("__size") <= r["fit"])), F.lit(False))
+    here = F.filter(F.coalesce("places", F.array().cast("array<struct<pass:bigint,shard:int>>")), lambda p: ~F.col("part") | (p["pass"] <= F.col("passes")) | fills)
     turn = F.transform(here, lambda p: F.struct(p["shard"].alias("shard"), F.xxhash64(F.lit(SEED + 3), "key", p["pass"]).alias("turn")))
     return base.select(*keep, "__size", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), turn.alias("__places"))
 
