@@ -3,195 +3,266 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm.common import fingerprint_of, fold_of, staged, table, text_of
+from lorewell.llm.common import ascii_lower, discard, fingerprint_of, fold_of, staged, table, text_of
 
-#: Units of the exchange: each of the SEEDS most frequent words by itself, and the other words by a hash of their ending.
-SEEDS, ENDINGS, ENDING = 2_048, 1_024, 3
-#: Classes, sweeps of the exchange, additive smoothing of words and of class transitions.
+#: Classes at least (beyond that the cube root of the count of words), sweeps of the exchange, additive smoothing of
+#: words and of class transitions.
 CLASSES, SWEEPS, ALPHA, BETA = 64, 6, 0.1, 0.5
-#: Counts of the most frequent words that every task holds; the counts of all other words are joined.
-HELD, FLUSH = 65_536, 400_000
-END, END_UNIT = b"", SEEDS + ENDINGS
-UNITS = END_UNIT + 1
+#: Words of a slice on average; the count of slices grows with the vocabulary. Entries that a task weighs at a time.
+SLICE, ENTRIES = 1 << 18, 1 << 14
+#: The most frequent words, whose class and count every scoring task holds; those of all other words are joined.
+HELD = 65_536
+END, END_ID, SPACES = b"", 0, r"[\x20\x09-\x0D]+"
 
 
 def word_id(word: bytes) -> int:
-    """Signed 64-bit id; the end token is the empty word."""
-    return xxhash.xxh64_intdigest(word, 7) - (1 << 63)
-
-
-def ending_unit(word: bytes) -> int:
-    return SEEDS + xxhash.xxh32_intdigest(word[-ENDING:], 3) % ENDINGS
+    """Spark's xxhash64 of a word; the end token is 0."""
+    return ((xxhash.xxh64_intdigest(word, 42) ^ (1 << 63)) - (1 << 63)) if word else END_ID
 
 
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def count_words(train: DataFrame) -> DataFrame:
-    """(word, n, unit, letters) over all training texts, end tokens included; unit is that of the word's ending."""
+def count_pairs(train: DataFrame) -> DataFrame:
+    """(a, b, n): how often the word b follows the word a; a text begins and ends with the end token."""
+    end = F.array(F.lit(END_ID).cast("long"))
+    words = F.filter(F.split(ascii_lower(text_of()), SPACES), lambda w: w != "")
+    ids = train.select(F.concat(end, F.transform(words, lambda w: F.xxhash64(w)), end).alias("i"))
+    pairs = ids.select(F.explode(F.arrays_zip(F.slice("i", 1, F.size("i") - 1).alias("a"), F.slice("i", 2, F.size("i") - 1).alias("b"))).alias("p"))
+    return pairs.select("p.a", "p.b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[bytes] = Counter()
 
-        def out() -> pd.DataFrame:
-            return pd.DataFrame({"word": [word_id(w) for w in seen], "n": list(seen.values()), "unit": [ending_unit(w) if w else END_UNIT for w in seen], "letters": list(seen)})
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all values of a column of lists, offsets of the lists)."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    at = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]], at - at[0]
 
-        for frame in frames:
-            for text in frame.text:
-                seen.update(tokens(text))
-                seen[END] += 1
-                if len(seen) > FLUSH:
-                    yield out()
-                    seen = Counter()
-        if seen:
-            yield out()
 
-    rows = train.select(text_of().alias("text")).mapInPandas(work, "word long, n long, unit int, letters binary")
-    return rows.groupBy("word").agg(F.sum("n").alias("n"), F.first("unit").alias("unit"), F.first("letters").alias("letters"))
+def slices_of(words: DataFrame, parts: int) -> DataFrame:
+    """(p, w, n): the words whose id is p modulo parts, in order of the id, and their counts."""
+    each = words.groupBy(F.pmod("word", F.lit(parts)).cast("int").alias("p")).agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("s"))
+    return each.select("p", F.col("s.word").alias("w"), F.col("s.n").alias("n"))
 
 
-def count_units(train: DataFrame, unit_of: dict[bytes, int]) -> DataFrame:
-    """(a, b, n): how often a word of unit b follows one of unit a; a text begins and ends with the end token."""
+def first_labels(slices: DataFrame, k: int) -> DataFrame:
+    """(p, k): a slice's words are dealt out over the classes by falling count; the end token has the last class."""
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, ends = np.zeros(UNITS * UNITS, np.int32), {}
-        for frame in frames:
-            for text in frame.text:
-                at = np.array([END_UNIT, *_units(tokens(text), unit_of, ends), END_UNIT], np.int64)
-                np.add.at(total, at[:-1] * UNITS + at[1:], 1)
-        where = np.flatnonzero(total)
-        yield pd.DataFrame({"a": where // UNITS, "b": where % UNITS, "n": total[where].astype(np.int64)}).astype({"a": "int32", "b": "int32"})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                p, w, n = b.column(0)[i].as_py(), _values(b.column(1).slice(i, 1))[0], _values(b.column(2).slice(i, 1))[0]
+                label = np.empty(len(w), np.int32)
+                label[np.argsort(-n, kind="stable")] = (np.arange(len(w)) + p) % (k - 1)
+                label[w == END_ID] = k - 1
+                yield _row(("p", pa.int32(), p), ("k", pa.list_(pa.int32()), label))
 
-    return train.select(text_of().alias("text")).mapInPandas(work, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return slices.mapInArrow(work, "p int, k array<int>")
 
 
-def _units(words: list[bytes], unit_of: dict[bytes, int], ends: dict[bytes, int]) -> list[int]:
-    out = []
-    for w in words:
-        u = unit_of.get(w)
-        if u is None:
-            e = w[-ENDING:]
-            u = ends.get(e)
-            if u is None:
-                u = ends[e] = ending_unit(w)
-        out.append(u)
-    return out
+def _row(*cells: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for _, t, v in cells], [c for c, _, _ in cells])
+
+
+def _both(blocks: DataFrame, slices: DataFrame, parts: int, column: str) -> DataFrame:
+    """blocks, each with the column of its slice of first words (xa) and that of second words (xb)."""
+    first = slices.select(F.col("p").alias("pa"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("pb"), F.col(column).alias("xa"))
+    then = slices.select(F.col("p").alias("pb"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("pa"), F.col(column).alias("xb"))
+    return blocks.join(first, ["pa", "pb"]).join(then, ["pa", "pb"])
+
+
+def blocks_of(pairs: DataFrame, slices: DataFrame, parts: int) -> DataFrame:
+    """(pa, pb, a, b, n): the pairs with a word of slice pa before one of slice pb, as places in the slices."""
+    of = lambda c: F.pmod(c, F.lit(parts)).cast("int")
+    raw = pairs.groupBy(of("a").alias("pa"), of("b").alias("pb")).agg(F.collect_list(F.struct("a", "b", "n")).alias("s"))
+    raw = raw.select("pa", "pb", F.col("s.a").alias("a"), F.col("s.b").alias("b"), F.col("s.n").alias("n"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+        for r in batches:
+            for i in range(r.num_rows):
+                a, b, n, xa, xb = (_values(r.column(c).slice(i, 1))[0] for c in range(2, 7))
+                yield _row(("pa", pa.int32(), r.column(0)[i].as_py()), ("pb", pa.int32(), r.column(1)[i].as_py()), ("a", ints, np.searchsorted(xa, a).astype(np.int32)), ("b", ints, np.searchsorted(xb, b).astype(np.int32)), ("n", longs, n))
 
+    return _both(raw, slices, parts, "w").mapInArrow(work, "pa int, pb int, a array<int>, b array<int>, n array<long>")
 
-def _classed(pairs: DataFrame, label: np.ndarray) -> DataFrame:
-    """pairs with the classes ka and kb; the table of classes has UNITS rows."""
-    of = pairs.sparkSession.createDataFrame(pd.DataFrame({"u": np.arange(UNITS, dtype=np.int32), "k": label.astype(np.int32)}))
-    first, then = of.select(F.col("u").alias("a"), F.col("k").alias("ka")), of.select(F.col("u").alias("b"), F.col("k").alias("kb"))
-    return pairs.join(F.broadcast(first), "a").join(F.broadcast(then), "b")
 
+def contexts(blocks: DataFrame, labels: DataFrame, parts: int, k: int) -> DataFrame:
+    """(p, key, n): for each block, how often each class stands before (key place*2k + class) and after (place*2k + k +
+    class) the words of slice p; rows with p = -1 have the counts of class pairs, key first*k + second."""
 
-def exchange(pairs: DataFrame, weight: np.ndarray) -> np.ndarray:
-    """Class of each unit. pairs: count_units(). In each sweep Spark sums, for each unit, how often each class stands
-    before and after it (UNITS x CLASSES numbers at most come back); then half of the units move to the class that makes
-    their neighbours likeliest. The end token keeps a class of its own."""
-    order = np.argsort(-weight[:END_UNIT], kind="stable")
-    label = np.empty(UNITS, np.int64)
-    label[order] = np.arange(END_UNIT) % (CLASSES - 1)
-    label[END_UNIT] = CLASSES - 1
+    def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key, at = np.unique(key, return_inverse=True)
+        return key, np.bincount(at, n, len(key)).astype(np.int64)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = pa.list_(pa.int64())
+        for r in batches:
+            for i in range(r.num_rows):
+                a, b, n, la, lb = (_values(r.column(c).slice(i, 1))[0] for c in range(2, 7))
+                ka, kb = la[a].astype(np.int64), lb[b].astype(np.int64)
+                for p, key in ((r.column(0)[i].as_py(), a * np.int64(2 * k) + k + kb), (r.column(1)[i].as_py(), b * np.int64(2 * k) + ka), (-1, ka * k + kb)):
+                    key, total = summed(key, n)
+                    yield _row(("p", pa.int32(), p), ("key", longs, key), ("n", longs, total))
+
+    return _both(blocks, labels, parts, "k").mapInArrow(work, "p int, key array<long>, n array<long>")
+
+
+def class_pairs(near: DataFrame, k: int) -> np.ndarray:
+    """k x k counts of class pairs, from contexts()."""
+    out = np.zeros((k, k))
+    each = near.filter("p = -1").select(F.explode(F.arrays_zip("key", "n")).alias("e")).groupBy("e.key").agg(F.sum("e.n").alias("n"))
+    for r in each.collect():  # k squared at most
+        out[r.key // k, r.key % k] = r.n
+    return out
+
+
+def _moving(rate: np.ndarray, sweep: int, k: int) -> Callable:
+    """Moves the words of a slice whose place is as odd as the sweep, ENTRIES contexts at a time."""
+
+    def moved(key: tuple, old: pa.Table, met: pa.Table) -> pa.Table:
+        label = _values(old.column("k"))[0].copy()
+        at, n = _values(met.column("key"))[0], _values(met.column("n"))[0]
+        mine = (at // (2 * k)) % 2 == sweep % 2
+        at, n = at[mine], n[mine]
+        order = np.argsort(at, kind="stable")
+        at, n = at[order], n[order]
+        starts = np.flatnonzero(np.diff(at // (2 * k), prepend=-1))
+        words, ends = at[starts] // (2 * k), np.append(starts[1:], len(at))
+        i = 0
+        while i < len(words):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + ENTRIES, "right")))
+            part = slice(starts[i], ends[j - 1])
+            gain = np.add.reduceat(rate[at[part] % (2 * k)] * n[part, None], starts[i:j] - starts[i], axis=0)
+            own = words[i:j]
+            label[own] = np.where(label[own] == k - 1, k - 1, gain.argmax(axis=1))
+            i = j
+        return pa.table({"p": pa.array([key[0].as_py()], pa.int32()), "k": pa.array([label], pa.list_(pa.int32()))})
+
+    return moved
+
+
+def exchange(blocks: DataFrame, labels: DataFrame, parts: int, k: int) -> DataFrame:
+    """(p, k): the class of each word of each slice. In each sweep, half of all counted words move to the class that makes
+    their own neighbours likeliest. Only the k x k counts of class pairs come to the driver; a task has one slice of the
+    words. The end token keeps a class of its own."""
     for sweep in range(SWEEPS):
-        near = _classed(pairs, label)
-        both = near.select(F.col("a").alias("u"), (F.col("kb") + CLASSES).alias("k"), "n").union(near.select(F.col("b").alias("u"), F.col("ka").alias("k"), "n"))
-        got = both.groupBy("u", "k").agg(F.sum("n").alias("n")).toPandas()
-        context = np.zeros((UNITS, 2 * CLASSES))
-        context[got.u, got.k] = got.n
-        of_class = np.zeros((CLASSES, 2 * CLASSES))
-        np.add.at(of_class, label, context)
-        rate = np.log((of_class + 0.5) / (of_class.sum(axis=1, keepdims=True) + CLASSES))
-        best = (context @ rate.T)[:, : CLASSES - 1].argmax(axis=1)
-        moves = (np.arange(UNITS) % 2 == sweep % 2) & (np.arange(UNITS) != END_UNIT) & (context.sum(axis=1) > 0)
-        label = np.where(moves, best, label)
-    return label
+        near = staged(contexts(blocks, labels, parts, k))
+        seen = class_pairs(near, k)
+        of_class = np.hstack([seen.T, seen])
+        rate = np.log((of_class + 0.5) / (of_class.sum(axis=1, keepdims=True) + k))[: k - 1].T.copy()
+
+        new = staged(labels.groupBy("p").cogroup(near.filter("p >= 0").groupBy("p")).applyInArrow(_moving(rate, sweep, k), "p int, k array<int>"))
+        discard(near)
+        discard(labels)
+        labels = new
+    return labels
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
-    Counts are over all training rows (fold of the id modulo 10 not 0). score sums, over a text's words and its end,
-    log10 P(class | class before) + log10 P(word | class), both with additive smoothing; a word without a count has the
-    class of its ending. Null texts count as empty: just an end token. Rows that repeat id and text are each returned.
-    Without training rows all counts are 0. An empty table gives no rows; other columns are not read.
+    Counts are over all training rows (fold of the id modulo 10 not 0), and every word counted there gets its class by
+    exchange. score sums, over a text's words and its end, log10 P(class | class before) + log10 P(word | class), both
+    with additive smoothing; a word without a count has the class that most words counted once have. Null texts count as
+    empty: just an end token. Rows that repeat id and text are each returned. Without training rows all counts are 0. An
+    empty table gives no rows; other columns are not read.
     """
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
-    train = docs.filter(fold_of("doc_id", 10) != 0)
-    words = staged(count_words(train))
-    held = words.orderBy(F.desc("n"), "word").limit(HELD).select("letters", "n").toPandas()  # HELD words at most
-    held = {bytes(w): int(n) for w, n in zip(held.letters, held.n, strict=True)}
-    unit_of = {w: u for u, w in enumerate([w for w in held if w][:SEEDS])}
-    sums = words.groupBy("unit").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()  # UNITS rows at most
-    n_of, v_of = np.zeros(UNITS), np.zeros(UNITS)
-    n_of[sums.unit], v_of[sums.unit] = sums.n, sums.v
-    total, distinct = int(n_of.sum()), int(v_of.sum())
-    for w, u in unit_of.items():  # seeds leave the unit of their ending
-        e = ending_unit(w)
-        n_of[e], v_of[e], n_of[u], v_of[u] = n_of[e] - held[w], v_of[e] - 1, held[w], 1
-    pairs = staged(count_units(train, unit_of))
-    label = exchange(pairs, n_of)
-    seen = np.zeros((CLASSES, CLASSES))
-    for r in _classed(pairs, label).groupBy("ka", "kb").agg(F.sum("n").alias("n")).collect():  # CLASSES squared at most
-        seen[r.ka, r.kb] = r.n
-    move = np.log10((seen + BETA) / (seen.sum(axis=1, keepdims=True) + BETA * CLASSES))
-    n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
-    np.add.at(n_class, label, n_of)
-    np.add.at(v_class, label, v_of)
-    below = -np.log10(n_class + ALPHA * (v_class + 1))[label]
+    words, seen, k = classes_of(docs.filter(fold_of("doc_id", 10) != 0))
+    n_class, v_class, once = np.zeros(k), np.zeros(k), np.zeros(k)
+    for r in words.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).collect():  # k rows
+        n_class[r.k], v_class[r.k], once[r.k] = r.n, r.v, r.once
+    total, distinct, unseen = int(n_class.sum()), int(v_class.sum()), int(once.argmax())
+    move = np.log10((seen + BETA) / (seen.sum(axis=1, keepdims=True) + BETA * k))
+    below = -np.log10(n_class + ALPHA * (v_class + 1))
     base_below = math.log10(total + ALPHA * (distinct + 1))
-    shared = spark.sparkContext.broadcast((held, unit_of, label, move, below))
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, unit_of, label, move, below = shared.value
-        ends: dict[bytes, int] = {}
-        logs = {w: math.log10(n + ALPHA) for w, n in held.items()}
-        for frame in frames:
-            for at in range(0, len(frame), 64):
-                out = []
-                for doc_id, row, text in zip(*(frame[c].iloc[at : at + 64] for c in ("doc_id", "row", "text")), strict=True):
-                    said = tokens(text)
-                    units = np.array([END_UNIT, *_units(said, unit_of, ends), END_UNIT])
-                    classes = label[units]
-                    fixed = float(move[classes[:-1], classes[1:]].sum() + below[units[1:]].sum())
-                    rest: dict[bytes, int] = {}
-                    top, known = 0.0, 0
-                    for w in [*said, END]:
-                        x = logs.get(w)
-                        if x is None:
-                            rest[w] = rest.get(w, 0) + 1
-                        else:
-                            top += x
-                            known += 1
-                    out.append((doc_id, row, row, 0, True, len(said) + 1, known, top, fixed))
-                    out += [(doc_id, row, word_id(w), n, False, 0, 0, 0.0, 0.0) for w, n in rest.items()]
-                part = pd.DataFrame(out, columns=["doc_id", "row", "word", "times", "own", "n_tokens", "known", "top", "fixed"])
-                yield part.astype({"doc_id": "Int64"}) if kind in ("bigint", "int") else part
+    held = words.orderBy(F.desc("n"), "word").limit(HELD).toPandas()  # HELD words at most
+    if not (held.word == END_ID).any():  # no training rows
+        held.loc[len(held)] = [END_ID, 0, k - 1]
+    shared = spark.sparkContext.broadcast((held.word.to_numpy(np.int64), held.n.to_numpy(np.float64), held.k.to_numpy(np.int64), move, below))
+    OUT = f"doc_id {kind}, row long, word long, pos int, before int, after int, n_tokens long, known long, top double, fixed double"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, n, classes, move, below = shared.value
+        of = {int(w): i for i, w in enumerate(ids)}
+        logs, classes, below = np.append(np.log10(n + ALPHA), 0.0), np.append(classes, -1), np.append(below, 0.0)
+        move = np.pad(move, (0, 1))  # class -1, of the words to be joined, adds nothing
+        met: dict[bytes, int] = {END: of[END_ID]}
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part, at, out = batch.slice(start, 64), [], []
+                for i, (row, text) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    said, rest = [END, *tokens(text), END], []
+                    places = np.empty(len(said), np.int64)
+                    for p, w in enumerate(said):
+                        h = met.get(w)
+                        if h is None:
+                            h = of.get(word_id(w))
+                            if h is None:
+                                rest.append((p, word_id(w)))
+                                h = -1
+                            else:
+                                met[w] = h
+                        places[p] = h
+                    c, own = classes[places], places[1:]
+                    out.append((row, row, -1, 0, 0, len(own), int((n[own[own >= 0]] > 0).sum()), float(logs[own].sum()), float(move[c[:-1], c[1:]].sum() + below[c[1:]].sum())))
+                    out += [(row, w, p, int(c[p - 1]), int(c[p + 1]), 0, 0, 0.0, 0.0) for p, w in rest]
+                    at += [i] * (1 + len(rest))
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), *[pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)]], [x.split()[0] for x in OUT.split(", ")])
 
     rows = docs.select("doc_id", fingerprint_of(text_of()).alias("row"), text_of().alias("text"))
-    said = rows.mapInPandas(work, f"doc_id {kind}, row long, word long, times long, own boolean, n_tokens long, known long, top double, fixed double")
-    met = said.join(words.select("word", F.col("n")), "word", "left")
-    c = F.when(F.col("own"), F.lit(None)).otherwise(F.coalesce("n", F.lit(0)))
-    per = met.groupBy("doc_id", "row").agg(
-        F.count_if("own").alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("known") + F.when(c > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("top") + F.coalesce(F.col("times") * F.log10(c + ALPHA), F.lit(0.0))).alias("top"), F.sum("fixed").alias("fixed"),
-    )
-    each = per.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    part = lambda x: (F.col(x) / F.col("copies")).cast("long")
-    return each.select(
-        "doc_id", (fold_of("doc_id", 10) == 0).alias("held_out"), part("n_tokens").alias("n_tokens"), part("n_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        ((F.col("top") - F.col("n_tokens") * base_below) / F.col("copies")).alias("base_score"), ((F.col("top") + F.col("fixed")) / F.col("copies")).alias("score"),
-    )
+    said = rows.mapInArrow(work, OUT).join(words, "word", "left")
+    rest = F.when(F.col("pos") >= 0, F.struct("pos", "before", "after", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("k", F.lit(unseen)).cast("int").alias("k")))
+    per = said.groupBy("doc_id", "row").agg(F.count_if(F.col("pos") < 0).alias("copies"), *[F.sum(c).alias(c) for c in ("n_tokens", "known", "top", "fixed")], F.collect_set(rest).alias("rest"))
+    share = lambda c: (F.col(c) / F.col("copies"))
+    per = per.select("doc_id", "copies", share("n_tokens").cast("long"), share("known").cast("long"), share("top"), share("fixed"), *[F.col(f"rest.{c}") for c in ("pos", "before", "after", "n", "k")])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, _, move, below = shared.value
+        for b in batches:
+            tokens_, known, top, fixed = (b.column(c).to_numpy(zero_copy_only=False) for c in range(2, 6))
+            (pos, at), (before, _), (after, _), (n, _), (c, _) = (_values(b.column(x)) for x in range(6, 11))
+            doc = np.repeat(np.arange(b.num_rows), np.diff(at))
+            order = np.lexsort((pos, doc))
+            doc, before, after, n, c = doc[order], before[order], after[order], n[order], c[order]
+            own = np.log10(n + ALPHA)
+            prev = np.where(before >= 0, before, np.roll(c, 1))  # a joined word before this one stands before it here too
+            gain = own + below[c] + move[prev, c] + np.where(after >= 0, move[c, np.maximum(after, 0)], 0.0)
+            added = lambda x: np.bincount(doc, x, b.num_rows)  # noqa: B023, E731
+            top = top + added(own)
+            score = top + fixed + added(gain - own)
+            known = known + added((n > 0).astype(float)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tokens_, pa.int64()), pa.array(known, pa.int64()), pa.array(top - tokens_ * base_below, pa.float64()), pa.array(score, pa.float64())], ["doc_id", "copies", "n_tokens", "n_known", "base_score", "score"])
+
+    done = per.mapInArrow(finish, f"doc_id {kind}, copies long, n_tokens long, n_known long, base_score double, score double")
+    each = done.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return each.select("doc_id", (fold_of("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def classes_of(train: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
+    """((word, n, k) of every counted word, counts of class pairs, count of classes)."""
+    pairs = staged(count_pairs(train))
+    words = staged(pairs.groupBy(F.col("b").alias("word")).agg(F.sum("n").alias("n")))  # each word ends one pair each time it is said
+    distinct = words.count()
+    parts, k = max(1, -(-distinct // SLICE)), max(CLASSES, math.ceil(distinct ** (1 / 3)))
+    slices = staged(slices_of(words, parts))
+    blocks = staged(blocks_of(pairs, slices, parts))
+    discard(pairs)
+    labels = exchange(blocks, staged(first_labels(slices, k)), parts, k)
+    seen = class_pairs(staged(contexts(blocks, labels, parts, k).filter("p = -1")), k)
+    zipped = slices.join(labels, "p").select(F.explode(F.arrays_zip("w", "n", "k")).alias("e"))
+    return staged(zipped.select(F.col("e.w").alias("word"), F.col("e.n").alias("n"), F.col("e.k").alias("k"))), seen, k
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

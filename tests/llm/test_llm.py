@@ -174,3 +174,34 @@ def test_chat(spark):
     out = {r.conv_id: r for r in chat.format_conversations(df).selectExpr("*").withColumn("turns", chat.read_turns(chat.F.col("formatted"))).withColumn("said", chat.loss_text(chat.F.col("formatted"), chat.F.col("loss"))).collect()}
     assert [(t.role, t.text) for t in out[1].turns] == [("user", "<turn|x>\n\\l"), ("user", ""), ("assistant", "<end>\n\\b\\"), ("", "x"), ("assistant", "")]
     assert out[1].said == "<end>\n\\b\\" and len(out) == 2
+
+
+def test_every_word_gets_its_class_from_its_own_contexts(spark, monkeypatch):
+    """Two kinds of rare words, each said in one kind of place only, with the same endings: they must come apart by class."""
+    monkeypatch.setattr(brown_lm, "SLICE", 500)
+    said = [(i, " ".join(f"the noun{j}x did verb{j}x" for j in range(k * 20, k * 20 + 20))) for i in range(40) for k in [i % 80]]
+    said += [(1000 + i, f"the noun{5000 + i}x did verb{5000 + i}x") for i in range(2500)]
+    df = spark.createDataFrame(said, "doc_id long, text string")
+    words, seen, k = brown_lm.classes_of(df)
+    label = {r.word: r.k for r in words.collect()}
+    of = lambda kind: collections.Counter(label[brown_lm.word_id(f"{kind}{5000 + i}x".encode())] for i in range(2500))
+    nouns, verbs = of("noun"), of("verb")
+    assert sum((nouns & verbs).values()) < 50
+    assert len(label) == len({w for _, t in said for w in t.split()}) + 1 and seen.sum() == sum(len(t.split()) + 1 for _, t in said) and k >= 64
+
+
+def test_brown_scores_by_brute_force(docs, spark, monkeypatch):
+    monkeypatch.setattr(brown_lm, "HELD", 50)
+    words, seen, k = brown_lm.classes_of(docs.filter(brown_lm.fold_of("doc_id", 10) != 0))
+    monkeypatch.setattr(brown_lm, "classes_of", lambda _: (words, seen, k))
+    rows = words.collect()
+    n, label = {r.word: r.n for r in rows}, {r.word: r.k for r in rows}
+    n_k, v_k, once = np.zeros(k), np.zeros(k), np.zeros(k)
+    for r in rows:
+        n_k[r.k], v_k[r.k], once[r.k] = n_k[r.k] + r.n, v_k[r.k] + 1, once[r.k] + (r.n == 1)
+    text, unseen = {r.doc_id: r.text for r in docs.collect()}, int(once.argmax())
+    for r in brown_lm.score_documents(docs.union(docs.limit(3))).collect():
+        ids = [0, *map(brown_lm.word_id, brown_lm.tokens(text[r.doc_id])), 0]
+        c = [label.get(w, unseen) for w in ids]
+        want = sum(math.log10((seen[x, y] + 0.5) / (seen[x].sum() + 0.5 * k)) + math.log10((n.get(w, 0) + 0.1) / (n_k[y] + 0.1 * (v_k[y] + 1))) for x, y, w in zip(c, c[1:], ids[1:], strict=False))
+        assert r.score == pytest.approx(want) and r.n_known == sum(w in n for w in ids[1:])
