@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewell.llm.bpe import encoding_digests, vocabulary
+from lorewell.llm.bpe import encode_documents, vocabulary
 from lorewell.llm.common import staged, table
 from lorewell.llm.exact_dedup import without_duplicates
 from lorewell.llm.mixing import mixed_documents
@@ -29,7 +29,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encoding_digests(docs, vocabulary())
+    return encode_documents(docs, vocabulary())
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("SimHash near-dedup", near), ("mixing sources", mix), ("BPE encoding", encode)]

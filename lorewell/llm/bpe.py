@@ -8,6 +8,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -151,17 +152,19 @@ def tokenizer(path: str) -> WordBpe:
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (array<int>), decoded per row; path: a vocabulary file that every machine has. Null texts are empty and
-    give no ids; repeated rows are encoded each; other columns are not read."""
+    """doc_id, ids (array<int>), n_tokens, decoded per row; path: a vocabulary file that every machine has. Null texts are
+    empty and give no ids; repeated rows are encoded each; other columns are not read."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for b in batches:
             for ids, decoded, at in _chunks(t, b):
-                kind = pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(ids)), pa.array([list(memoryview(x).cast("i")) for x in ids], kind), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+                n = np.array([len(x) // 4 for x in ids], np.int64)
+                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(ids)), lists, pa.array(n), pa.array(decoded, pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, decoded string")
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, n_tokens long, decoded string")
 
 
 def _chunks(t: WordBpe, b: pa.RecordBatch) -> Iterator[tuple[list[bytes], list[str], int]]:
@@ -172,21 +175,23 @@ def _chunks(t: WordBpe, b: pa.RecordBatch) -> Iterator[tuple[list[bytes], list[s
         yield [x for x, _ in got], [y for _, y in got], at
 
 
-def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 per row, without carrying the ids out of the Python worker."""
+def digests_of(encoded: DataFrame) -> DataFrame:
+    """Rows of encode_documents() -> doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers),
+    decoded_sha256."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
-        sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
-            n, i, d = [], [], []
-            for ids, decoded, _ in _chunks(t, b):
-                n += [len(x) // 4 for x in ids]
-                i += map(sha, ids)
-                d += [sha(x.encode("utf-8", "surrogatepass")) for x in decoded]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            at, ids = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)
+            packed = [hashlib.sha256(ids[i:j].tobytes()).hexdigest() for i, j in zip(at, at[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.string()), b.column(3)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = encoded.select("doc_id", "ids", "n_tokens", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return rows.mapInArrow(work, f"doc_id {dict(encoded.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 per row, of what encode_documents() returns."""
+    return digests_of(encode_documents(docs, path))
 
 
 def vocabulary() -> str:

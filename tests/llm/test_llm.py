@@ -205,3 +205,14 @@ def test_brown_scores_by_brute_force(docs, spark, monkeypatch):
         c = [label.get(w, unseen) for w in ids]
         want = sum(math.log10((seen[x, y] + 0.5) / (seen[x].sum() + 0.5 * k)) + math.log10((n.get(w, 0) + 0.1) / (n_k[y] + 0.1 * (v_k[y] + 1))) for x, y, w in zip(c, c[1:], ids[1:], strict=False))
         assert r.score == pytest.approx(want) and r.n_known == sum(w in n for w in ids[1:])
+
+
+def test_encode_stage_returns_tokens_and_text(docs, spark):
+    import corpus_pipeline
+
+    got = {r.doc_id: r for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()}
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    digests = bpe.op8(spark, SF).collect()
+    assert len(digests) == len(got) and all(r.n_tokens == len(got[r.doc_id].ids) == got[r.doc_id].n_tokens for r in digests)
+    for r in digests:
+        assert (r.ids_sha256, r.decoded_sha256) == (sha(np.array(got[r.doc_id].ids, "<u4").tobytes()), sha(got[r.doc_id].decoded.encode()))
