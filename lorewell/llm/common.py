@@ -36,6 +36,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def one_each(rows: DataFrame, key: list[Column], columns: list[str]) -> DataFrame:
+    """The columns of one row for each key: that of the least hash over all columns without maps. Equal rows are one."""
+    plain = [c for c, kind in rows.dtypes if c in columns and "map<" not in kind and kind != "variant"]
+    kept = rows.groupBy(*[k.alias(f"__key{i}") for i, k in enumerate(key)]).agg(F.min_by(F.struct(*columns), F.xxhash64(*plain)).alias("__kept"))
+    return kept.select("__kept.*")
+
+
 def scratch(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a folder of this machine only where none is named, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

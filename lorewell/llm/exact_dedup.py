@@ -7,14 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm.common import ascii_lower, discard, fingerprint_of, staged, table, text_of
+from lorewell.llm.common import ascii_lower, discard, fingerprint_of, one_each, staged, table, text_of
 
 #: Bytes of the first digit; each later digit is GROWTH times as wide, so rounds grow with the length's logarithm.
 FIRST, GROWTH = 32, 8
 
 
 def duplicate_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, keep_id, group_size) of the rows whose normalised text occurs more than once.
+    """(doc_id, row, keep_id, group_size, round, gid, copies), one for each doc_id and text of the rows whose normalised
+    text occurs more than once. round and gid name the class; copies: rows that have this doc_id and text.
 
     Texts are split by successive digits of bytes, most significant first (their byte length goes before them, so all
     members of a group end together). A group leaves when it is a singleton or has ended; what is left moves on to the
@@ -37,11 +38,12 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
         if old is not None:
             discard(old)
         ended = F.col("n") <= at
-        done.append(staged(left.filter(ended).select("doc_id", "row", "keep_id", "group_size")))
+        done.append(staged(left.filter(ended).select("doc_id", "row", "keep_id", "group_size", F.lit(len(done)).alias("round"), "gid")))
         old, left, width = left, left.filter(~ended).drop("group_size", "keep_id"), width * GROWTH
     if not done:
-        return rows.select("doc_id", "row", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")).limit(0)
-    return reduce(DataFrame.union, done).dropDuplicates(["doc_id", "row"])
+        return rows.select("doc_id", "row", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(0).alias("round"), F.lit(0).cast("long").alias("gid"), F.lit(1).cast("long").alias("copies")).limit(0)
+    named = [F.first(c).alias(c) for c in ("keep_id", "group_size", "round", "gid")]
+    return reduce(DataFrame.union, done).groupBy("doc_id", "row").agg(*named, F.count("*").alias("copies"))
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -60,11 +62,18 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_duplicates() drops; of rows that repeat id and text one stays. Columns as given."""
-    classes = duplicate_classes(docs).select(F.col("doc_id").alias("__member"), F.col("row").alias("__row"), F.col("keep_id").alias("__keep"))
-    kept = F.col("__keep").isNull() | (F.col("__keep") == docs["doc_id"])
-    out = docs.join(classes, docs["doc_id"].eqNullSafe(F.col("__member")) & (fingerprint_of(text_of()) == F.col("__row")), "left").filter(kept)
-    return out.select(*docs.columns)
+    """docs with exactly one row of each class of equal texts: that of the largest doc_id (null ids lose, but of null ids
+    only one stays too), then of the least hash of the text as given, then of all columns. Columns as given."""
+    classes = staged(duplicate_classes(docs))
+    own = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    best = classes.filter(own).groupBy("round", "gid").agg(F.min("row").alias("best"))
+    marks = classes.join(best, ["round", "gid"]).select(F.col("doc_id").alias("__member"), F.col("row").alias("__row"), "copies", (own & (F.col("row") == F.col("best"))).alias("__stays"))
+    marks = staged(marks.withColumnRenamed("copies", "__copies"))
+    out = docs.join(marks, docs["doc_id"].eqNullSafe(F.col("__member")) & (fingerprint_of(text_of()) == F.col("__row")), "left").filter(F.coalesce("__stays", F.lit(True)))
+    if marks.filter("__stays and __copies > 1").isEmpty():
+        return out.select(*docs.columns)
+    repeated = F.coalesce("__copies", F.lit(1)) > 1
+    return out.filter(~repeated).select(*docs.columns).union(one_each(out.filter(repeated), [F.col("__member"), F.col("__row")], docs.columns))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

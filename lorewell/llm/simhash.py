@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm.common import staged, table, text_of
+from lorewell.llm.common import fingerprint_of, one_each, staged, table, text_of
 from lorewell.llm.components import components
 
 WORDS, BITS, BLOCK = 3, 3, 1 << 15
@@ -37,15 +37,16 @@ def simhash(text: str | None) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
-def simhashes(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) per row; a null text counts as empty."""
+def simhashes(docs: DataFrame, row: bool = False) -> DataFrame:
+    """(doc_id, fp) per row, with row the hash of the text too; a null text counts as empty."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([simhash(x.as_py()) for x in b.column(1)], pa.int64())], ["doc_id", "fp"])
+            fp = pa.array([simhash(x.as_py()) for x in b.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), fp, *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
-    rows = docs.select(F.col("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    rows = docs.select(F.col("doc_id"), text_of().alias("text"), *([fingerprint_of(text_of()).alias("row")] if row else []))
+    return rows.mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long" + ", row long" * row)
 
 
 def embedding(fp: Column) -> Column:
@@ -93,9 +94,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group: that whose doc_id is the group's component_id. Columns as given."""
-    keep = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
+    """docs with exactly one row of each group: that of the smallest doc_id (null ids lose, but of null ids only one stays
+    too), then of the least hash of the text, then of all columns. Columns as given."""
+    rows = staged(simhashes(docs, row=True))
+    roots = staged(components(links(rows.select("fp").distinct())))
+    each = rows.groupBy("fp", "doc_id", "row").agg(F.count("*").alias("copies")).join(roots, F.col("fp") == roots.node, "left")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "copies")
+    keep = each.groupBy(F.coalesce("root", "fp")).agg(F.min(order).alias("k"))
+    keep = staged(keep.select(F.col("k.doc_id").alias("__keep"), F.col("k.row").alias("__row"), F.col("k.copies").alias("__copies")))
+    out = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__keep")) & (fingerprint_of(text_of()) == F.col("__row")))
+    if keep.filter("__copies > 1").isEmpty():
+        return out.select(*docs.columns)
+    return out.filter("__copies = 1").select(*docs.columns).union(one_each(out.filter("__copies > 1"), [F.col("__keep"), F.col("__row")], docs.columns))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,3 +216,17 @@ def test_encode_stage_returns_tokens_and_text(docs, spark):
     assert len(digests) == len(got) and all(r.n_tokens == len(got[r.doc_id].ids) == got[r.doc_id].n_tokens for r in digests)
     for r in digests:
         assert (r.ids_sha256, r.decoded_sha256) == (sha(np.array(got[r.doc_id].ids, "<u4").tobytes()), sha(got[r.doc_id].decoded.encode()))
+
+
+def test_dedup_stages_keep_one_row_of_each_class(spark, docs):
+    rows = [(1, "Same Text", "a"), (2, "same text", "a"), (2, "SAME text", "b"), (2, "same text", "a"), (2, "same text", "b"), (None, "only null ids here", "a"), (None, "only null ids here", "a"), (None, "ONLY null ids here", "c"),
+            (3, "alone", "a"), (None, "alone with null", "a"), (2, "another text of id two", "a"), (1, "another TEXT of id two", "a"), (4, None, "a"), (4, "", "a")]
+    given = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumn("m", exact_dedup.F.create_map("row", "row"))
+    low = lambda r: (r.text or "").lower()
+    for stage, pick in ((exact_dedup.without_duplicates, max), (simhash.without_near_duplicates, min)):
+        got = stage(given).collect()
+        want = {t: pick([i for i, x, _ in rows if (x or "").lower() == t and i is not None], default=None) for t in {(x or "").lower() for _, x, _ in rows}}
+        assert sorted((low(r), r.doc_id) for r in got) == sorted(want.items()) and stage(given).columns == given.columns
+        assert sorted(map(repr, stage(given.repartition(5)).collect())) == sorted(map(repr, got))
+        once = collections.Counter(r.doc_id for r in stage(docs).collect())
+        assert once == collections.Counter(r.doc_id for r in stage(docs.union(docs)).collect()) and set(once.values()) == {1}
