@@ -4,46 +4,56 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm.common import ascii_lower, discard, fingerprint_of, one_each, staged, table, text_of
+from lorewell.llm.common import ascii_lower, discard, hash_of_row, salt_of, salted, salts_of, sieved, staged, table, text_of, whole_row
 
 #: Bytes of the first digit; each later digit is GROWTH times as wide, so rounds grow with the length's logarithm.
 FIRST, GROWTH = 32, 8
 
 
-def duplicate_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, keep_id, group_size, round, gid, copies), one for each doc_id and text of the rows whose normalised
-    text occurs more than once. round and gid name the class; copies: rows that have this doc_id and text.
+def equal_texts(docs: DataFrame, carried: Column) -> tuple[DataFrame, DataFrame]:
+    """(alone, classes): alone(row, id), the rows whose normalised text occurs once; classes(row, id, keep_id, group_size,
+    round, gid), the others. row is what is carried along for each row, id its doc_id; round and gid name the class.
 
     Texts are split by successive digits of bytes, most significant first (their byte length goes before them, so all
     members of a group end together). A group leaves when it is a singleton or has ended; what is left moves on to the
-    next digit. Groups are told apart by comparing the bytes themselves, never a digest. Counts are aggregated before
-    the shuffle and joined back, so a group of any size is spread over tasks.
+    next digit. Groups are told apart by comparing the bytes themselves, never a digest.
+
+    The first digit is counted on narrow rows (length, digit). A filter of fixed size over the groups that have company
+    (sieved()) then lets almost all singletons go where they are; only the texts of the others are ever shuffled. Counts
+    are aggregated before the shuffle and joined back by a salt of the id too, so a group of any size is spread over
+    tasks. The plan is the same at every size.
     """
-    text = ascii_lower(text_of()).cast("binary")
-    rows = docs.select("doc_id", fingerprint_of(text_of()).alias("row"), F.octet_length(text_of()).alias("n"), text.alias("rest"))
-    left, done, at, width = rows.withColumn("gid", F.lit(0).cast("long")), [], 0, FIRST
-    old = None
+    text = text_of()
+    digit = F.substring(ascii_lower(F.left(text, F.lit(FIRST))).cast("binary"), 1, FIRST)
+    rows = docs.select(carried.alias("row"), F.col("doc_id").alias("id"), text.alias("text"), F.octet_length(text).alias("n"), digit.alias("digit"))
+    company = rows.groupBy("n", "digit").agg(F.count("*").alias("size")).filter("size > 1")
+    marked = sieved(rows, company, ["n", "digit"])
+    alone = [marked.filter(~F.col("maybe")).select("row", "id")]
+    rest = F.substring(ascii_lower(F.col("text")).cast("binary"), FIRST + 1, 1 << 30)
+    left = marked.filter("maybe").select("row", "id", "n", F.lit(0).cast("long").alias("gid"), "digit", rest.alias("rest"))
+    left, classes, at, width, key = staged(left), [], FIRST, FIRST, ["gid", "n", "digit"]
+    given = left
     while True:
-        digit = F.substring("rest", 1, width)
-        dealt = left.select("doc_id", "row", "n", "gid", digit.alias("digit"), F.expr(f"substring(rest, {width + 1})").alias("rest"))
-        groups = dealt.groupBy("gid", "n", "digit").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
+        groups = left.groupBy(*key).agg(F.count("*").alias("group_size"), F.max("id").alias("keep_id"), salts_of("id").alias("salts"))
         groups = staged(groups.filter("group_size > 1").withColumn("next", F.monotonically_increasing_id()))
-        if groups.isEmpty():
-            break
+        met = left.withColumn("salt", salt_of("id")).join(salted(groups).hint("merge"), [*key, "salt"], "left")
+        met = staged(met.select("row", "id", "n", F.col("next").alias("gid"), "rest", "keep_id", "group_size"))
+        discard(groups)
+        alone.append(met.filter("gid is null").select("row", "id"))
+        ended = met.filter((F.col("n") <= at) & F.col("gid").isNotNull())
+        classes.append(ended.select("row", "id", "keep_id", "group_size", F.lit(len(classes)).alias("round"), "gid"))
+        if given is not None:
+            discard(given)
+            given = None
+        going = met.filter((F.col("n") > at) & F.col("gid").isNotNull())
+        if going.isEmpty():
+            return reduce(DataFrame.union, alone), reduce(DataFrame.union, classes)
+        width *= GROWTH
         at += width
-        left = staged(dealt.join(groups, ["gid", "n", "digit"]).select("doc_id", "row", "n", F.col("next").alias("gid"), "rest", "group_size", "keep_id"))
-        if old is not None:
-            discard(old)
-        ended = F.col("n") <= at
-        done.append(staged(left.filter(ended).select("doc_id", "row", "keep_id", "group_size", F.lit(len(done)).alias("round"), "gid")))
-        old, left, width = left, left.filter(~ended).drop("group_size", "keep_id"), width * GROWTH
-    if not done:
-        return rows.select("doc_id", "row", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(0).alias("round"), F.lit(0).cast("long").alias("gid"), F.lit(1).cast("long").alias("copies")).limit(0)
-    named = [F.first(c).alias(c) for c in ("keep_id", "group_size", "round", "gid")]
-    return reduce(DataFrame.union, done).groupBy("doc_id", "row").agg(*named, F.count("*").alias("copies"))
+        left = going.select("row", "id", "n", "gid", F.substring("rest", 1, width).alias("digit"), F.expr(f"substring(rest, {width + 1})").alias("rest"))
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -53,27 +63,23 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     among null ids only, all stay as none can be named). A row that repeats id and text as well is marked like its
     twin. An empty table gives no rows. Other columns are not read.
     """
-    text = text_of()
-    rows = docs.select("doc_id", fingerprint_of(text).alias("row"), F.sha2(ascii_lower(text).cast("binary"), 256).alias("text_sha256"))
-    classes = duplicate_classes(docs).select(F.col("doc_id").alias("member"), F.col("row").alias("member_row"), "keep_id", "group_size")
-    out = rows.join(classes, F.col("doc_id").eqNullSafe(F.col("member")) & (F.col("row") == F.col("member_row")), "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256")
+    sha = F.sha2(ascii_lower(text_of()).cast("binary"), 256)
+    alone, classes = equal_texts(docs.select("doc_id", "text"), sha)
+    one = alone.select(F.col("id").alias("doc_id"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("row").alias("text_sha256"))
+    kept = F.col("id").eqNullSafe(F.col("keep_id"))
+    return one.union(classes.select("id", "keep_id", "group_size", kept, "row"))
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """docs with exactly one row of each class of equal texts: that of the largest doc_id (null ids lose, but of null ids
-    only one stays too), then of the least hash of the text as given, then of all columns. Columns as given."""
-    classes = staged(duplicate_classes(docs))
-    own = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    best = classes.filter(own).groupBy("round", "gid").agg(F.min("row").alias("best"))
-    marks = classes.join(best, ["round", "gid"]).select(F.col("doc_id").alias("__member"), F.col("row").alias("__row"), "copies", (own & (F.col("row") == F.col("best"))).alias("__stays"))
-    marks = staged(marks.withColumnRenamed("copies", "__copies"))
-    out = docs.join(marks, docs["doc_id"].eqNullSafe(F.col("__member")) & (fingerprint_of(text_of()) == F.col("__row")), "left").filter(F.coalesce("__stays", F.lit(True)))
-    if marks.filter("__stays and __copies > 1").isEmpty():
-        return out.select(*docs.columns)
-    repeated = F.coalesce("__copies", F.lit(1)) > 1
-    return out.filter(~repeated).select(*docs.columns).union(one_each(out.filter(repeated), [F.col("__member"), F.col("__row")], docs.columns))
+    only one stays too), then of the largest hash of all columns (maps left out). Columns as given, whatever their names;
+    null texts count as empty; an empty table gives no rows.
+
+    A row travels whole, so none has to be named again to be found; of a class each task hands on one row at most."""
+    rows = docs.select(whole_row(docs).alias("all"), F.col("doc_id"), F.col("text"), hash_of_row(docs).alias("tie"))
+    alone, classes = equal_texts(rows, F.struct("all", "tie"))
+    best = classes.groupBy("round", "gid").agg(F.max_by("row", F.struct("id", "row.tie")).alias("row"))
+    return alone.select("row.all.*").union(best.select("row.all.*"))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
