@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from lorewell.llm.common import fingerprint_of, one_each, staged, table, text_of
+from lorewell.llm.common import discard, hash_of_row, salt_of, salted, salts_of, sieved, staged, table, text_of, whole_row
 from lorewell.llm.components import components
 
 WORDS, BITS, BLOCK = 3, 3, 1 << 15
@@ -37,16 +38,9 @@ def simhash(text: str | None) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
-def simhashes(docs: DataFrame, row: bool = False) -> DataFrame:
-    """(doc_id, fp) per row, with row the hash of the text too; a null text counts as empty."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = pa.array([simhash(x.as_py()) for x in b.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fp, *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
-
-    rows = docs.select(F.col("doc_id"), text_of().alias("text"), *([fingerprint_of(text_of()).alias("row")] if row else []))
-    return rows.mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long" + ", row long" * row)
+@F.arrow_udf(LongType())
+def simhash_of(texts: pa.Array) -> pa.Array:
+    return pa.array([simhash(t.as_py()) for t in texts], pa.int64())
 
 
 def embedding(fp: Column) -> Column:
@@ -69,13 +63,23 @@ def links(fps: DataFrame) -> DataFrame:
     at = fps.select("fp", embedding(F.col("fp")).alias("e"))
     cells = F.array(F.shiftrightunsigned("e", 32), F.col("e").bitwiseAND(F.lit(0xFFFFFFFF)))
     home = at.select("fp", "e", F.posexplode(cells).alias("grid", "cell"))
-    step = lambda c: F.transform(F.sequence(F.lit(0), F.lit(30), F.lit(2)), lambda i: F.when(F.call_function("shiftright", c, i).bitwiseAND(F.lit(3)) == 0, c + F.call_function("shiftleft", F.lit(1).cast("long"), i)).when(F.call_function("shiftright", c, i).bitwiseAND(F.lit(3)) == 1, c + F.call_function("shiftleft", F.lit(2).cast("long"), i)))
-    asks = home.select(F.col("fp").alias("ask"), F.col("e").alias("ask_e"), "grid", F.col("cell").alias("own"), F.explode(F.concat(F.array("cell"), step(F.col("cell")))).alias("cell")).filter("cell is not null")
-    met = asks.join(home, ["grid", "cell"]).filter((F.col("own") != F.col("cell")) | (F.col("ask") < F.col("fp")))
+    asks = home.select(F.col("fp").alias("ask"), F.col("e").alias("ask_e"), "grid", F.col("cell").alias("own"), F.explode(F.concat(F.array("cell"), _steps_up(F.col("cell")))).alias("cell"))
+    met = asks.filter("cell is not null").join(home, ["grid", "cell"]).filter((F.col("own") != F.col("cell")) | (F.col("ask") < F.col("fp")))
     near = met.filter(F.bit_count(F.col("e").bitwiseXOR(F.col("ask_e"))) <= BITS).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("ask"))) <= BITS)
     return near.select(F.col("ask").alias("a"), F.col("fp").alias("b"))
 
 
+def _steps_up(cell: Column) -> Column:
+    """The cells one step up along each of the 16 axes, null where there is none: code 00 becomes 01, 01 becomes 11."""
+
+    def step(i: Column) -> Column:
+        code = F.call_function("shiftright", cell, i).bitwiseAND(F.lit(3))
+        up = lambda n: cell + F.call_function("shiftleft", F.lit(n).cast("long"), i)
+        return F.when(code == 0, up(1)).when(code == 1, up(2))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(30), F.lit(2)), step)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -84,7 +88,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null. Null and empty texts have fingerprint zero. Repeated rows are returned as often as given; an empty table
     gives no rows; other columns are not read.
     """
-    rows = staged(simhashes(docs))
+    rows = staged(docs.select("doc_id", simhash_of(text_of()).alias("fp")))
     points = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = staged(components(links(points.select("fp"))))
     joined = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -95,17 +99,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with exactly one row of each group: that of the smallest doc_id (null ids lose, but of null ids only one stays
-    too), then of the least hash of the text, then of all columns. Columns as given."""
-    rows = staged(simhashes(docs, row=True))
-    roots = staged(components(links(rows.select("fp").distinct())))
-    each = rows.groupBy("fp", "doc_id", "row").agg(F.count("*").alias("copies")).join(roots, F.col("fp") == roots.node, "left")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "copies")
-    keep = each.groupBy(F.coalesce("root", "fp")).agg(F.min(order).alias("k"))
-    keep = staged(keep.select(F.col("k.doc_id").alias("__keep"), F.col("k.row").alias("__row"), F.col("k.copies").alias("__copies")))
-    out = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__keep")) & (fingerprint_of(text_of()) == F.col("__row")))
-    if keep.filter("__copies > 1").isEmpty():
-        return out.select(*docs.columns)
-    return out.filter("__copies = 1").select(*docs.columns).union(one_each(out.filter("__copies > 1"), [F.col("__keep"), F.col("__row")], docs.columns))
+    too), then of the least hash of all columns (maps left out). Columns as given, whatever their names; null texts count
+    as empty; an empty table gives no rows.
+
+    Rows are written once with their fingerprint, and what links reads that column alone. A filter of fixed size then lets
+    rows without company go where they are; the others are joined to their group by a salt of the id too, and of a group
+    each task hands on one row at most. Rows travel whole, so none has to be named again to be found."""
+    rows = staged(docs.select(whole_row(docs).alias("all"), F.col("doc_id").alias("id"), hash_of_row(docs).alias("tie"), simhash_of(text_of()).alias("fp")))
+    points = staged(rows.groupBy("fp").agg(F.count("*").alias("copies"), salts_of("id").alias("salts")))
+    roots = staged(components(links(points.select("fp"))))
+    company = points.join(roots, F.col("fp") == F.col("node"), "left").filter("copies > 1 or root is not null")
+    company = staged(company.select("fp", F.coalesce("root", "fp").alias("root"), "salts"))
+    marked = sieved(rows, company, ["fp"])
+    met = marked.filter("maybe").withColumn("salt", salt_of("id")).join(salted(company).hint("merge"), ["fp", "salt"], "left")
+    met = staged(met.select("all", "id", "tie", "root"))
+    for used in (points, roots):
+        discard(used)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "tie")
+    best = met.filter("root is not null").groupBy("root").agg(F.min_by("all", order).alias("all"))
+    alone = [marked.filter(~F.col("maybe")), met.filter("root is null"), best]
+    return reduce(DataFrame.union, [x.select("all.*") for x in alone])
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
