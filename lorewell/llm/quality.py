@@ -104,21 +104,33 @@ def fit(p: np.ndarray, u: np.ndarray) -> Model:
     return model
 
 
+def sample(rows: DataFrame, most: int) -> DataFrame:
+    """(key, value) -> `most` rows of different keys at most, those of the least keys. Keys are hashes, so a bound on them
+    that lets about `most` through (ten deviations more) is applied first, in the scan; what reaches one task is bounded."""
+    n = max(1, rows.count())
+    share = min(1.0, (most + 10 * most**0.5) / n)
+    few = rows.filter(F.shiftrightunsigned("key", 1) < F.lit(int(share * (1 << 62)) * 2)) if share < 1 else rows
+    return few.groupBy("key").agg(F.min("value").alias("value")).orderBy("key").limit(most)
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on a bounded sample of rows whose fold is not 2: POSITIVES trusted ones (label 1) and UNLABELLED of any kind,
-    whose labels are not looked at. Both bounds hold at any size; which rows are drawn depends on a hash of the id."""
-    ids = docs.select("doc_id").filter("doc_id is not null").filter(fold_of("doc_id", 4) != 2)
-    good = labels.filter("quality = 1 and doc_id is not null").filter(fold_of("doc_id", 4) != 2).select("doc_id").distinct()
-    draw = lambda df, n, seed: df.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
-    chosen = draw(good, POSITIVES, 1).select("doc_id", F.lit(True).alias("trusted")).union(draw(ids, UNLABELLED, 2).select("doc_id", F.lit(False).alias("trusted")))
+    whose labels are not looked at. Both bounds hold at any size; which rows are drawn depends on a hash of id and text,
+    and rows that repeat both are one."""
+    rows = docs.filter("doc_id is not null").filter(fold_of("doc_id", 4) != 2).select("doc_id", text_of().alias("text"))
+    key = lambda seed: F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed)).alias("key")
+    good = labels.filter("quality = 1 and doc_id is not null").filter(fold_of("doc_id", 4) != 2)
+    good = sample(good.select(F.xxhash64("doc_id").alias("key"), F.col("doc_id").alias("value")), POSITIVES).select(F.col("value").alias("doc_id"))
+    # POSITIVES ids at most are broadcast; should their rows be more, they are drawn from once more.
+    trusted = sample(rows.join(F.broadcast(good), "doc_id", "left_semi").select(key(1), F.col("text").alias("value")), POSITIVES).withColumn("trusted", F.lit(True))
+    unlabelled = sample(rows.select(key(2), F.col("text").alias("value")), UNLABELLED).withColumn("trusted", F.lit(False))
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"doc_id": part.doc_id, "trusted": part.trusted, "x": [features(t) for t in part.text]})
+            yield pd.DataFrame({"key": part.key, "trusted": part.trusted, "x": [features(t) for t in part.value]})
 
-    # At most POSITIVES + UNLABELLED ids of 9 bytes are broadcast.
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = rows.mapInPandas(work, f"doc_id {dict(docs.dtypes)['doc_id']}, trusted boolean, x array<double>").toPandas().sort_values(["trusted", "doc_id"], kind="stable")
+    # POSITIVES + UNLABELLED rows of 13 numbers at most come to the driver.
+    got = trusted.union(unlabelled).mapInPandas(work, "key long, trusted boolean, x array<double>").toPandas().sort_values(["trusted", "key"], kind="stable")
     part = lambda flag: np.array(got[got.trusted == flag].x.tolist(), float).reshape(-1, FEATURES)
     return fit(part(True), part(False))
 
@@ -142,7 +154,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score THRESHOLD or more, columns as given."""
+    """The rows of docs that score THRESHOLD or more, columns as given. Null and empty texts score as a text of zeros; a
+    repeated row stays or goes with its twin; an empty table gives no rows; ids and extra columns don't matter."""
     return docs.filter(quality_score(train(docs, labels)) >= THRESHOLD)
 
 
