@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lorewell.llm.common import WORD, fingerprint_of, staged, table, text_of
+from lorewell.llm.common import WORD, fingerprint_of, staged, table, text_of, whole_row
 
-#: Output shards are 2 ** DEPTH; words that a block holds about; weights by the source's place; passes over a source at most.
-DEPTH, BLOCK_WORDS, WEIGHTS, MOST, SEED = 5, 20_000, (1, 2, 3), 3, 17
-#: Blocks of a source at most, so that one task can put them in order; beyond it blocks hold more words.
-BLOCKS = 65_536
-#: Times that a source's last block is gone through for rows that still fit.
-PASSES = 5
+#: Words that an output shard and a block hold about; weights by the source's place; passes over a source at most.
+SHARD_WORDS, BLOCK_WORDS, WEIGHTS, MOST, SEED = 1 << 23, 20_000, (1, 2, 3), 3, 17
+#: Blocks on either side of a source's cut whose rows are chosen one by one; times that they are gone through for rows that
+#: still fit, before one row is changed for another.
+NEAR, PASSES = 8, 4
 
 
 def unit(*parts: Column) -> Column:
@@ -76,14 +77,15 @@ def hypergeometric(kk: Column, nn: Column, n: Column, u: Column) -> Column:
     return _let(F.struct(low.alias("lo"), high.alias("hi")), walk)
 
 
-def split_quotas(quotas: DataFrame) -> DataFrame:
-    """(source, quota) -> source, shard, blocks, start: how many of its blocks each shard gets, and which come first.
+def split_quotas(quotas: DataFrame, depth: int) -> DataFrame:
+    """(source, quota) -> source, shard, blocks, start: how many of its blocks each of 2 ** depth shards gets, and which
+    come first.
 
     The root holds all quotas. Each node halves its count of blocks: source by source, the left child's part is a
     hypergeometric draw given what earlier sources took, so that the halves are as a fair shuffle would deal them. A
-    level is one pass over rows (node, source); a node's sources are numbered by running sums."""
-    now = quotas.select("source", F.col("quota").alias("kk"), F.lit(0).alias("node"))
-    for level in range(DEPTH):
+    level is one pass over rows (node, source); a node's sources are gone through in one row of the result."""
+    now = quotas.select("source", F.col("quota").alias("kk"), F.lit(0).cast("long").alias("node"))
+    for level in range(depth):
         node = Window.partitionBy("node")
         s = now.withColumn("total", F.sum("kk").over(node)).withColumn("order", F.row_number().over(node.orderBy(F.col("source").asc_nulls_last())))
         half = F.floor((F.col("total") + F.col("node") % 2) / 2).cast("long")
@@ -97,9 +99,13 @@ def split_quotas(quotas: DataFrame) -> DataFrame:
 
         draw = F.aggregate("rows", start, give, lambda a: a["out"])
         s = s.withColumn("left", draw).select("node", F.explode(F.arrays_zip("rows", "left")).alias("x"))
-        now = s.select(F.col("x.rows.source").alias("source"), F.explode(F.array(F.struct(F.col("x.left").alias("kk"), (F.col("node") * 2).alias("node")), F.struct((F.col("x.rows.kk") - F.col("x.left")).alias("kk"), (F.col("node") * 2 + 1).alias("node")))).alias("y")).select("source", "y.kk", "y.node")
+        child = lambda kk, node: F.struct(kk.alias("kk"), node.alias("node"))
+        both = F.array(child(F.col("x.left"), F.col("node") * 2), child(F.col("x.rows.kk") - F.col("x.left"), F.col("node") * 2 + 1))
+        now = s.select(F.col("x.rows.source").alias("source"), F.explode(both).alias("y")).select("source", "y.kk", "y.node")
+        if level % 4 == 3:
+            now = staged(now)
     before = Window.partitionBy("source").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    return now.select("source", F.col("node").alias("shard"), F.col("kk").alias("blocks"), F.coalesce(F.sum("kk").over(before), F.lit(0)).alias("start"))
+    return now.select("source", F.col("node").alias("shard"), F.col("kk").alias("blocks"), F.coalesce(F.sum("kk").over(before), F.lit(0)).cast("long").alias("start"))
 
 
 def _beside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -115,85 +121,136 @@ def size_of() -> Column:
     return F.regexp_count(text_of(), F.lit(WORD)).cast("long")
 
 
-def _blocks(source_size: Column) -> Column:
-    return F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.ceil(source_size / BLOCK_WORDS))).cast("long")
+def key_of() -> Column:
+    """Rows that repeat id and text go together."""
+    return F.xxhash64("doc_id", fingerprint_of(text_of()))
+
+
+def _block(n_blocks: Column) -> Column:
+    """A row's block: which of n_blocks equal spans of the hashes it falls into. A source's rows in order of their hash are
+    a random permutation, so its blocks, numbered by span, are permuted blocks already."""
+    return F.floor(unit(F.col("key")) * n_blocks).cast("long")
+
+
+def _cuts(blocks: DataFrame) -> DataFrame:
+    """(source, block, words, n_blocks, rest) -> source, cut, left: the block in which the running sum of a source passes
+    rest, and what is left there. Sums are taken over spans of about the square root of all blocks first, then over the
+    blocks of one span, so no window goes over all blocks of a source."""
+    span = F.floor(F.col("block") / F.ceil(F.sqrt("n_blocks"))).cast("long")
+    b = blocks.withColumn("span", span)
+
+    def passed(rows: DataFrame, by: str) -> DataFrame:
+        before = Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+        return rows.filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words"))).withColumn("rest", F.col("rest") - F.col("before"))
+
+    spans = passed(b.groupBy("source", "span", "rest").agg(F.sum("words").alias("words")), "span")
+    inside = _beside(b.drop("rest"), spans.select("source", "span", "rest"), ["source", "span"])
+    return passed(inside, "block").select("source", F.col("block").alias("cut"), F.col("rest").alias("left"))
 
 
 def _filling(inside: DataFrame) -> DataFrame:
-    """(source, block, rules): which rows of inside(source, block, key, rank, size, rest) fill the rest of their block.
-
-    A row is taken if its rank and size are at most those of one rule. Each pass takes rows by rank while they fit, of
-    those that are small enough for what the passes before have left; so a very long row blocks none behind it. The last
-    pass lets in one row beyond the rest where that ends nearer to it. One block a source at most is gone through."""
-    block = Window.partitionBy("source", "block")
-    line, now = block.orderBy("rank", "key"), inside.withColumn("left", F.col("rest")).withColumn("taken", F.lit(False))
-    for k in range(PASSES):
-        last = k + 1 == PASSES
-        now = now.withColumn(f"fit{k}", F.col("left") * (2 if last else 1))
-        fits = ~F.col("taken") & (F.col("size") <= F.col(f"fit{k}"))
+    """(source, chosen): the keys of the rows of inside(source, key, size, left, taken) that stand for the blocks around
+    each source's cut. Rows of the blocks before it are taken at first; left is what is missing then.
+
+    Each pass takes rows in hash order while they fit, of those that are small enough for what the passes before have
+    left, so a very long row blocks none behind it. In the end one row, or none, is changed for another, or none: those
+    two whose sizes differ most nearly by what is still left. A source has 2 * NEAR such blocks of about BLOCK_WORDS."""
+    source = Window.partitionBy("source")
+    line = source.orderBy(F.xxhash64(F.lit(SEED + 2), "key"), "key")
+    now = inside.groupBy("source", "key", "left", "taken").agg(F.sum("size").alias("size"))
+    for _ in range(PASSES):
+        fits = ~F.col("taken") & (F.col("size") <= F.col("left"))
         now = now.withColumn("sum", F.sum(F.when(fits, F.col("size"))).over(line))
-        now = now.withColumn("now", fits & (F.col("sum") - (F.col("size") / 2 if last else 0) <= F.col("left")))
-        now = now.withColumn(f"to{k}", F.max(F.when(F.col("now"), F.col("rank"))).over(block))
-        now = now.withColumn("left", F.col("left") - F.coalesce(F.sum(F.when(F.col("now"), F.col("size"))).over(block), F.lit(0)))
+        now = now.withColumn("now", fits & (F.col("sum") <= F.col("left")))
+        now = now.withColumn("left", F.col("left") - F.coalesce(F.sum(F.when(F.col("now"), F.col("size"))).over(source), F.lit(0)))
         now = now.withColumn("taken", F.col("taken") | F.col("now"))
-    rules = F.array(*[F.struct(F.first(f"to{k}").alias("to"), F.first(f"fit{k}").alias("fit")) for k in range(PASSES)])
-    return now.groupBy("source", "block").agg(rules.alias("rules"))
-
-
-def mix(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns keep of docs, with __size, __source_size, __target and __places: array<struct<shard, turn>>, an entry
-    for each time that the row is in the mix.
-
-    Rows fall into blocks of their source by a hash of id and text. A source's blocks are permuted by a hash; it gives as
-    many whole passes as its target holds, then blocks in that order, and from the last block rows that fit, in hash
-    order: a source ends within one row of its target, and mostly much nearer. Blocks taken are numbered in permuted order, and the
-    splitting tree's shards draw disjoint runs of them. Null texts have size 0; a null source is a source; rows that
-    repeat id and text go together; an empty table gives no rows.
-    """
-    key = F.xxhash64("doc_id", fingerprint_of(text_of()))
-    rows = staged(docs.select(F.col("source"), key.alias("key"), size_of().alias("size")))
-    goal = staged(targets(rows).withColumn("n_blocks", _blocks(F.col("source_size"))))
-    block = lambda: F.pmod(F.xxhash64(F.lit(SEED), F.col("key")), F.col("n_blocks"))
-    in_block = _beside(rows, goal.select("source", "n_blocks"), ["source"]).select("source", "key", "size", block().alias("block"))
-    blocks = in_block.groupBy("source", "block").agg(F.sum("size").alias("words"))
-    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(SEED + 1), "block"), "block")
-    before = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = _beside(blocks.withColumn("turn", F.row_number().over(order) - 1).withColumn("before", before), goal.drop("n_blocks"), ["source"])
+    # Two rows that are no rows, of size 0, stand for giving none back and for taking none.
+    blank = now.groupBy("source").agg(F.first("left").alias("left")).withColumn("key", F.lit(None).cast("long")).withColumn("size", F.lit(0).cast("long"))
+    now = now.select("source", "key", "left", "size", "taken")
+    now = now.union(blank.select("source", "key", "left", "size", F.lit(True))).union(blank.select("source", "key", "left", "size", F.lit(False)))
+    at = now.withColumn("at", F.when(F.col("taken"), F.col("size") + F.col("left")).otherwise(F.col("size").cast("double")))
+    order = source.orderBy("at", F.col("taken"), F.col("key").asc_nulls_first())
+    other = F.when(~F.col("taken"), F.struct("size", "key"))
+    below = F.last(other, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    above = F.first(other, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    off = lambda o: F.abs(F.col("at") - o["size"])
+    at = at.withColumn("below", below).withColumn("above", above)
+    pair = F.when(F.coalesce(off(F.col("below")), F.lit(math.inf)) <= F.coalesce(off(F.col("above")), F.lit(math.inf)), F.col("below")).otherwise(F.col("above"))
+    at = at.withColumn("pair", F.when(F.col("taken"), pair))
+    best = F.min_by(F.struct(F.col("key").alias("out"), F.col("pair.key").alias("in")), F.when(F.col("pair").isNotNull(), F.struct(off(F.col("pair")).alias("off"), "key")))
+    at = at.withColumn("swap", best.over(source)).filter("key is not null")
+    stays = F.col("taken") & ~F.coalesce(F.col("key") == F.col("swap.out"), F.lit(False)) | F.coalesce(F.col("key") == F.col("swap.in"), F.lit(False))
+    return at.groupBy("source").agg(F.collect_list(F.when(stays, F.col("key"))).alias("chosen"))
+
+
+def mixing_plan(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows(source, key, size) -> one row a source: source, source_size, target, n_blocks, passes, low, high, chosen, width,
+    cells; and the count of shards.
+
+    A source gives as many whole passes as its target holds, then the blocks before low, and of those up to high the
+    chosen keys: it ends within one row of its target, and mostly much nearer. The blocks it gives are numbered, pass by
+    pass; the splitting tree's shards draw disjoint runs of the numbers. cells holds, for each span of width numbers, the
+    runs that meet it. There are as many shards (a power of two) as hold SHARD_WORDS each."""
+    goal = targets(rows).withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / BLOCK_WORDS)).cast("long"))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long")
-    blocks = blocks.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size") - F.col("before"))
-    full, part = F.col("rest") >= F.col("words"), (F.col("rest") >= 0.5) & (F.col("rest") < F.col("words"))
-    blocks = staged(blocks.withColumn("full", full).withColumn("part", part))
-    rank = F.xxhash64(F.lit(SEED + 2), "key")
-    inside = _beside(in_block, blocks.filter("part").select("source", "block", "rest"), ["source", "block"])
-    blocks = _beside(blocks, _filling(staged(inside.withColumn("rank", rank))), ["source", "block"], "left")
-    copies = F.col("passes") + F.when(F.col("full") | F.col("part"), 1).otherwise(0)
-    blocks = staged(blocks.withColumn("copies", copies))
-    drawn = blocks.withColumn("pass", F.explode(F.expr("filter(sequence(1L, greatest(copies, 1L)), x -> x <= copies)")))
-    number = Window.partitionBy("source").orderBy("pass", "turn")
-    drawn = drawn.select("source", "block", "pass", (F.row_number().over(number) - 1).alias("number"))
-    shards = split_quotas(drawn.groupBy("source").agg(F.count("*").alias("quota"))).filter("blocks > 0")
-    runs = shards.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("start", "shard"))).alias("runs"))
-    at = F.element_at(F.filter("runs", lambda r: r["start"] <= F.col("number")), -1)["shard"]
-    placed = _beside(drawn, runs, ["source"]).select("source", "block", F.struct("pass", at.alias("shard")).alias("place"))
-    places = placed.groupBy("source", "block").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    plan = _beside(blocks, places, ["source", "block"], "left")
-    plan = staged(plan.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "passes", "part", "rules", "places"))
-    g = goal.select(F.col("source").alias("__g"), "source_size", "target", "n_blocks")
-    base = docs.select(*keep, F.col("source").alias("__source"), key.alias("key"), size_of().alias("__size"))
-    base = base.join(g, F.col("__source").eqNullSafe(F.col("__g")))
-    base = base.join(plan, F.col("__source").eqNullSafe(F.col("__s")) & (block() == F.col("__b")))
-    fills = F.coalesce(F.exists("rules", lambda r: (rank <= r["to"]) & (F.col("__size") <= r["fit"])), F.lit(False))
-    here = F.filter(F.coalesce("places", F.array().cast("array<struct<pass:bigint,shard:int>>")), lambda p: ~F.col("part") | (p["pass"] <= F.col("passes")) | fills)
-    turn = F.transform(here, lambda p: F.struct(p["shard"].alias("shard"), F.xxhash64(F.lit(SEED + 3), "key", p["pass"]).alias("turn")))
-    return base.select(*keep, "__size", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), turn.alias("__places"))
+    goal = staged(goal.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")))
+    in_block = _beside(rows, goal.select("source", "n_blocks", "rest"), ["source"]).withColumn("block", _block(F.col("n_blocks")))
+    blocks = in_block.groupBy("source", "block", "n_blocks", "rest").agg(F.sum("size").alias("words"))
+    cuts = staged(_cuts(blocks.filter("rest > 0")))
+    cuts = cuts.withColumn("low", F.greatest(F.lit(0).cast("long"), F.col("cut") - NEAR)).withColumn("high", F.col("cut") + NEAR)
+    around = _beside(in_block.drop("rest", "n_blocks"), cuts, ["source"]).filter("block >= low and block < high")
+    chosen = _filling(staged(around.select("source", "key", "size", "left", (F.col("block") < F.col("cut")).alias("taken"))))
+    goal = staged(_beside(_beside(goal, cuts.drop("left", "cut"), ["source"], "left"), chosen, ["source"], "left").fillna({"low": 0, "high": 0}))
+    quota = F.col("passes") * F.col("n_blocks") + F.least("high", "n_blocks")
+    words = goal.agg(F.sum("target")).first()[0] or 0
+    depth = max(0, math.ceil(math.log2(max(1, words / SHARD_WORDS))))
+    runs = split_quotas(goal.select("source", quota.alias("quota")), depth).filter("blocks > 0")
+    every = Window.partitionBy("source")
+    runs = runs.withColumn("width", F.ceil(F.sum("blocks").over(every) / F.count("*").over(every)).cast("long"))
+    meets = F.sequence(F.floor(F.col("start") / F.col("width")), F.floor((F.col("start") + F.col("blocks") - 1) / F.col("width")))
+    cells = runs.withColumn("cell", F.explode(meets)).groupBy("source", "width", "cell").agg(F.array_sort(F.collect_list(F.struct("start", "shard"))).alias("runs"))
+    cells = cells.groupBy("source", "width").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "runs"))), lambda c: c["runs"]).alias("cells"))
+    return staged(_beside(goal.drop("rest"), cells, ["source"], "left")), 1 << depth
+
+
+def placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows(source, key, ...) with the columns of their source's plan and places: array<struct<shard, turn>>, an entry for
+    each time that the row is in the mix. The plan has one row a source; Catalyst broadcasts it if its size allows."""
+    at = _beside(rows, plan, ["source"]).withColumn("block", _block(F.col("n_blocks")))
+    more = (F.col("block") < F.col("low")) | (F.col("block") < F.col("high")) & F.coalesce(F.array_contains("chosen", F.col("key")), F.lit(False))
+    last = F.col("passes") + F.when(more, 1).otherwise(0)
+
+    def place(k: Column) -> Column:
+        number = (k - 1) * F.col("n_blocks") + F.col("block")
+        runs = F.get("cells", F.floor(number / F.col("width")).cast("int"))
+        run = F.element_at(F.filter(runs, lambda r: r["start"] <= number), -1)
+        return F.struct(run["shard"].cast("int").alias("shard"), F.xxhash64(F.lit(SEED + 3), "key", k).alias("turn"))
+
+    each = F.filter(F.sequence(F.lit(1).cast("long"), F.greatest(last, F.lit(1).cast("long"))), lambda k: k <= last)
+    return at.withColumn("places", F.transform(each, place))
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, taken, shards (that of each time it is taken).
+
+    Rows fall into blocks of their source by a hash of id and text. Null texts have size 0; a null source is a source;
+    rows that repeat id and text go together, a third of all rows as well; an empty table gives no rows; other columns are
+    not read. The texts are read once."""
+    rows = staged(docs.select("doc_id", "source", key_of().alias("key"), size_of().alias("size")))
+    out = placed(rows, mixing_plan(rows.select("source", "key", "size"))[0])
+    taken = (F.col("size") * F.size("places")).cast("long")
+    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.transform("places", lambda p: p["shard"]).alias("shards"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row as often as it was drawn, by shard, shuffled within the shard; columns as given."""
-    rows = mix(docs, docs.columns).withColumn("__place", F.explode("__places"))
-    return rows.repartition(1 << DEPTH, "__place.shard", F.pmod("__place.turn", F.lit(8))).sortWithinPartitions("__place.shard", "__place.turn").select(*docs.columns)
+    """The mix itself: each row as often as it was drawn; partition k of the result is shard k, whole and shuffled. Columns
+    as given, whatever their names; nulls, repeats and empty tables as in mix()."""
+    rows = staged(docs.select("source", key_of().alias("key"), size_of().alias("size")))
+    plan, shards = mixing_plan(rows)
+    out = placed(docs.select(whole_row(docs).alias("all"), "source", key_of().alias("key")), plan).select("all", F.explode("places").alias("place"))
+    return out.repartitionById(shards, F.col("place.shard")).sortWithinPartitions("place.turn").select("all.*")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(table(spark, sf_dir, "documents"), ["doc_id"])
-    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.size("__places")).cast("long").alias("taken"))
+    return mix(table(spark, sf_dir, "documents"))
