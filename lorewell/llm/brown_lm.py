@@ -3,266 +3,472 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm.common import ascii_lower, discard, fingerprint_of, fold_of, staged, table, text_of
+from lorewell.llm.common import discard, fold_of, staged, table, text_of
 
-#: Classes at least (beyond that the cube root of the count of words), sweeps of the exchange, additive smoothing of
-#: words and of class transitions.
+#: Classes at least (beyond that the count of words to the power 0.3), sweeps of the exchange at most, additive smoothing
+#: of words and of class transitions.
 CLASSES, SWEEPS, ALPHA, BETA = 64, 6, 0.1, 0.5
-#: Words of a slice on average; the count of slices grows with the vocabulary. Entries that a task weighs at a time.
-SLICE, ENTRIES = 1 << 18, 1 << 14
-#: The most frequent words, whose class and count every scoring task holds; those of all other words are joined.
-HELD = 65_536
-END, END_ID, SPACES = b"", 0, r"[\x20\x09-\x0D]+"
-
-
-def word_id(word: bytes) -> int:
-    """Spark's xxhash64 of a word; the end token is 0."""
-    return ((xxhash.xxh64_intdigest(word, 42) ^ (1 << 63)) - (1 << 63)) if word else END_ID
+#: About so many of the most frequent words, of those said LEAST times or more, are exchanged again and again; every other
+#: counted word is placed once. (Words said once or twice fit any class, and exchanging them too makes unseen texts
+#: likelier by less: at sf0.01 2 % instead of 6 %.)
+HELD, LEAST = 65_536, 5
+#: Parts that the exchanged words are dealt into; distinct words, and tokens, that a task counts before it hands them on.
+SLICES, DISTINCT, TOKENS = 512, 300_000, 1 << 22
+END = b""
+_NONE = 0xFFFF  # stands for the class of a word that isn't held
 
 
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def count_pairs(train: DataFrame) -> DataFrame:
-    """(a, b, n): how often the word b follows the word a; a text begins and ends with the end token."""
-    end = F.array(F.lit(END_ID).cast("long"))
-    words = F.filter(F.split(ascii_lower(text_of()), SPACES), lambda w: w != "")
-    ids = train.select(F.concat(end, F.transform(words, lambda w: F.xxhash64(w)), end).alias("i"))
-    pairs = ids.select(F.explode(F.arrays_zip(F.slice("i", 1, F.size("i") - 1).alias("a"), F.slice("i", 2, F.size("i") - 1).alias("b"))).alias("p"))
-    return pairs.select("p.a", "p.b").groupBy("a", "b").agg(F.count("*").alias("n"))
+def count_words(train: DataFrame) -> DataFrame:
+    """(word, n) over all training texts; each text ends with one end token, the empty word."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for b in batches:
+            for text in b.column(0):
+                seen.update(tokens(text.as_py()))
+                seen[END] += 1
+                if len(seen) >= DISTINCT:
+                    yield _columns(word=pa.array(seen.keys(), pa.binary()), n=pa.array(seen.values(), pa.int64()))
+                    seen = Counter()
+        if seen:
+            yield _columns(word=pa.array(seen.keys(), pa.binary()), n=pa.array(seen.values(), pa.int64()))
+
+    return train.select(text_of().alias("text")).mapInArrow(work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(all values of a column of lists, offsets of the lists)."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    at = column.offsets.to_numpy()
-    return column.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]], at - at[0]
+def _columns(**columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def slices_of(words: DataFrame, parts: int) -> DataFrame:
-    """(p, w, n): the words whose id is p modulo parts, in order of the id, and their counts."""
-    each = words.groupBy(F.pmod("word", F.lit(parts)).cast("int").alias("p")).agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("s"))
-    return each.select("p", F.col("s.word").alias("w"), F.col("s.n").alias("n"))
+def held_words(words: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """About HELD most frequent words and their counts, by falling count; the end token is always among them.
 
+    A small histogram of the counts gives the count above which HELD words lie; of the words at that count a share is
+    taken by hash. So no more rows than these meet in the driver."""
+    step = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(F.log2("n") * 16)).cast("long")
+    left, cut, share = HELD, 1, 1.0
+    for r in words.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # about 2 000 steps at most
+        cut, share = r.step, min(1.0, left / r["count"])
+        left -= r["count"]
+        if left <= 0:
+            break
+    few = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(share * (1 << 30))
+    often = (F.col("n") >= LEAST) & ((step > cut) | (step == cut) & few)
+    rows = words.filter(often | (F.col("word") == F.lit(END))).collect()
+    rows = sorted(((bytes(r.word), r.n) for r in rows), key=lambda x: (-x[1], x[0])) or [(END, 0)]
+    return [w for w, _ in rows], np.array([n for _, n in rows], np.int64)
 
-def first_labels(slices: DataFrame, k: int) -> DataFrame:
-    """(p, k): a slice's words are dealt out over the classes by falling count; the end token has the last class."""
+
+def count_pairs(train: DataFrame, held: list[bytes]) -> DataFrame:
+    """(a, b, n): how often the held word b follows the held word a; a text begins and ends with the end token."""
+    shared, size = train.sparkSession.sparkContext.broadcast(held), len(held)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                p, w, n = b.column(0)[i].as_py(), _values(b.column(1).slice(i, 1))[0], _values(b.column(2).slice(i, 1))[0]
-                label = np.empty(len(w), np.int32)
-                label[np.argsort(-n, kind="stable")] = (np.arange(len(w)) + p) % (k - 1)
-                label[w == END_ID] = k - 1
-                yield _row(("p", pa.int32(), p), ("k", pa.list_(pa.int32()), label))
+        of = {w: i for i, w in enumerate(shared.value)}
+        end, get, said = of[END], of.get, []
 
-    return slices.mapInArrow(work, "p int, k array<int>")
+        def summed() -> pa.RecordBatch:
+            w = np.array(said, np.int64)
+            a, b = w[:-1], w[1:]
+            code, n = np.unique((a * size + b)[(a >= 0) & (b >= 0)], return_counts=True)
+            return _columns(a=pa.array(code // size, pa.int32()), b=pa.array(code % size, pa.int32()), n=pa.array(n, pa.int64()))
 
+        for batch in batches:
+            for text in batch.column(0):
+                said.append(end)
+                said += [get(w, -1) for w in tokens(text.as_py())]
+                said += (end, -1)  # nothing stands between two texts
+                if len(said) >= TOKENS:
+                    yield summed()
+                    said = []
+        if said:
+            yield summed()
+
+    return train.select(text_of().alias("text")).mapInArrow(work, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def slices_of(pairs: DataFrame) -> DataFrame:
+    """(slice, after, w, v, n): the pairs of the words of a slice (those that are `slice` modulo SLICES) as packed numbers,
+    once with the words after them and once with those before. At most HELD * HELD / SLICES of each in a row."""
+    two = pairs.select(F.lit(True).alias("after"), F.col("a").alias("w"), F.col("b").alias("v"), "n").union(pairs.select(F.lit(False), "b", "a", "n"))
+
+    def pack(key: tuple, t: pa.Table) -> pa.Table:
+        packed = lambda c, kind: pa.array([t.column(c).to_numpy().astype(kind).tobytes()], pa.binary())
+        w = pa.array([(t.column("w").to_numpy() // SLICES).astype("<i4").tobytes()], pa.binary())
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "after": [key[1].as_py()], "w": w, "v": packed("v", "<i4"), "n": packed("n", "<i8")})
+
+    each = two.groupBy((F.col("w") % SLICES).alias("slice"), "after").applyInArrow(pack, "slice int, after boolean, w binary, v binary, n binary")
+    part = lambda after: F.max(F.when(F.col("after") == after, F.struct("w", "v", "n")))
+    return each.groupBy("slice").agg(part(True).alias("r"), part(False).alias("l"))
+
+
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1.0))
+
+
+def likelihood(seen: np.ndarray) -> float:
+    """Of the class bigrams, but for a sum that doesn't depend on the classes."""
+    return float(_xlogx(seen).sum() - _xlogx(seen.sum(axis=0)).sum() - _xlogx(seen.sum(axis=1)).sum())
+
+
+def pair_gains(left: np.ndarray, right: np.ndarray, own: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """words x classes: the rise of the sum over class pairs as a word's pairs are added to a class. left and right (words x
+    classes): how often each class stands before and after the word, itself not counted; own: how often it follows itself."""
+    k, f, base = len(seen), _xlogx, _xlogx(seen)
+    out, both = np.zeros(left.shape), np.arange(k)
+    for near, rows, log in ((left, seen, base), (right, seen.T, base.T)):
+        w, d = np.nonzero(near)
+        n = near[w, d]
+        for at in range(0, len(w), 1 << 14):
+            part = slice(at, at + (1 << 14))
+            more = f(rows[d[part]] + n[part, None]) - log[d[part]]
+            more[np.arange(len(more)), d[part]] = 0.0  # pairs of the class with itself are counted below
+            first = np.flatnonzero(np.diff(w[part], prepend=-1))
+            out[w[part][first]] += np.add.reduceat(more, first, axis=0)
+    return out + f(seen[both, both] + left + right + own[:, None]) - base[both, both]
+
+
+def gains(left: np.ndarray, right: np.ndarray, own: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """words x classes: by how much likelihood() rises as a word joins a class, but for a sum that is the same for all
+    classes (the word's neighbours are said more often, whatever its class). seen: class pairs without the word."""
+    out, f = pair_gains(left, right, own, seen), _xlogx
+    for near, other, total in ((right, left, seen.sum(axis=1)), (left, right, seen.sum(axis=0))):
+        out -= f(total + other + (near.sum(axis=1) + own)[:, None]) - f(total + other)
+    return out
 
-def _row(*cells: tuple) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for _, t, v in cells], [c for c, _, _ in cells])
 
+def gains_of_moves(left: np.ndarray, right: np.ndarray, own: np.ndarray, mine: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """As gains(), for words that are counted in seen, each in its class `mine`: as if each alone were taken out first."""
+    f, i = _xlogx, np.arange(len(mine))
+    out = pair_gains(left, right, own, seen)
+    stays = f(seen[mine, mine]) - f(seen[mine, mine] - left[i, mine] - right[i, mine] - own)
+    for near, other, rows in ((left, right, seen), (right, left, seen.T)):
+        # Pairs of another class with the word's own one: there the word's pairs of the other side are taken out.
+        at = np.flatnonzero(near[i, mine] > 0)
+        x, n, o = rows[mine[at]], near[at, mine[at]][:, None], other[at]
+        out[at] += f(x - o + n) - f(x - o) - f(x + n) + f(x)
+        total, said = rows.sum(axis=0), (near.sum(axis=1) + own)[:, None]  # left: how often a class comes second
+        out -= f(total + said) - f(total)
+        stays -= f(total[mine]) - f(total[mine] - said[:, 0])
+        for cut in range(0, len(mine), 4096):
+            p = slice(cut, cut + 4096)
+            column = rows.T[mine[p]]
+            rise = f(column) - f(column - near[p])
+            rise[np.arange(len(rise)), mine[p]] = 0.0
+            stays[p] += rise.sum(axis=1)
+    out[i, mine] = stays
+    return out
 
-def _both(blocks: DataFrame, slices: DataFrame, parts: int, column: str) -> DataFrame:
-    """blocks, each with the column of its slice of first words (xa) and that of second words (xb)."""
-    first = slices.select(F.col("p").alias("pa"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("pb"), F.col(column).alias("xa"))
-    then = slices.select(F.col("p").alias("pb"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("pa"), F.col(column).alias("xb"))
-    return blocks.join(first, ["pa", "pb"]).join(then, ["pa", "pb"])
 
+def _contexts(row: dict, side: str, s: int, labels: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words x classes without the word itself, how often it follows itself, classes of the words, class pairs)."""
+    mine = labels[s::SLICES]
+    if row is None:
+        return np.zeros((len(mine), k)), np.zeros(len(mine)), mine, np.zeros((k, k))
+    w, v, n = np.frombuffer(row["w"], "<i4"), np.frombuffer(row["v"], "<i4"), np.frombuffer(row["n"], "<i8").astype(float)
+    pairs = np.bincount(mine[w] * k + labels[v], n, k * k).reshape(k, k)
+    itself = w.astype(np.int64) * SLICES + s == v
+    own = np.bincount(w[itself], n[itself], len(mine))
+    return np.bincount(w[~itself] * np.int64(k) + labels[v[~itself]], n[~itself], len(mine) * k).reshape(-1, k), own, mine, pairs
 
-def blocks_of(pairs: DataFrame, slices: DataFrame, parts: int) -> DataFrame:
-    """(pa, pb, a, b, n): the pairs with a word of slice pa before one of slice pb, as places in the slices."""
-    of = lambda c: F.pmod(c, F.lit(parts)).cast("int")
-    raw = pairs.groupBy(of("a").alias("pa"), of("b").alias("pb")).agg(F.collect_list(F.struct("a", "b", "n")).alias("s"))
-    raw = raw.select("pa", "pb", F.col("s.a").alias("a"), F.col("s.b").alias("b"), F.col("s.n").alias("n"))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-        for r in batches:
-            for i in range(r.num_rows):
-                a, b, n, xa, xb = (_values(r.column(c).slice(i, 1))[0] for c in range(2, 7))
-                yield _row(("pa", pa.int32(), r.column(0)[i].as_py()), ("pb", pa.int32(), r.column(1)[i].as_py()), ("a", ints, np.searchsorted(xa, a).astype(np.int32)), ("b", ints, np.searchsorted(xb, b).astype(np.int32)), ("n", longs, n))
+def class_pairs(slices: DataFrame, labels: np.ndarray, k: int) -> np.ndarray:
+    """k x k counts of class pairs over all pairs of held words: k squared numbers a task come to the driver."""
 
-    return _both(raw, slices, parts, "w").mapInArrow(work, "pa int, pb int, a array<int>, b array<int>, n array<long>")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        for b in batches:
+            for s, r in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                total += _contexts(r.as_py(), "r", s, labels, k)[3]
+        at = np.flatnonzero(total)
+        yield _columns(at=pa.array(at, pa.int64()), n=pa.array(total.ravel()[at], pa.float64()))
+
+    return _square(slices.select("slice", "r").mapInArrow(work, "at long, n double"), k)
+
+
+def _square(cells: DataFrame, k: int) -> np.ndarray:
+    out = np.zeros(k * k)
+    for r in cells.groupBy("at").agg(F.sum("n").alias("n")).collect():  # k squared at most
+        out[r["at"]] = r.n
+    return out.reshape(k, k)
+
+
+def moves(left: np.ndarray, right: np.ndarray, own: np.ndarray, mine: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The best class of each word, with the others where they are; its own where that is as good. The last class is the
+    end token's alone."""
+    i, last = np.arange(len(mine)), len(seen) - 1
+    gain = gains_of_moves(left, right, own, mine, seen)[:, :last]
+    best, held = gain.argmax(axis=1), np.minimum(mine, last - 1)
+    return np.where((mine == last) | (gain[i, best] <= gain[i, held] + 1e-9), mine, best)
+
+
+def exchange(slices: DataFrame, held: int, end: int, k: int) -> tuple[np.ndarray, list[float]]:
+    """(class of each held word, likelihoods): the words are dealt out by falling count. In each sweep half of them move at
+    once, each to the class that raises the likelihood most if it moved alone. Should all of them together not raise it,
+    half of the moves are taken back, and so on: it never falls. Only these classes and counts of class pairs come to the
+    driver."""
+    labels = np.arange(held) % (k - 1)
+    labels[end] = k - 1
+    seen = class_pairs(slices, labels, k)
+    found = [likelihood(seen)]
+    for sweep in range(SWEEPS):
 
+        def work(batches: Iterator[pa.RecordBatch], labels: np.ndarray = labels, seen: np.ndarray = seen, sweep: int = sweep) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for s, r, l in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):  # noqa: E741
+                    right, own, mine, _ = _contexts(r.as_py(), "r", s, labels, k)
+                    left = _contexts(l.as_py(), "l", s, labels, k)[0]
+                    turn = np.flatnonzero(np.arange(len(mine)) % 2 == sweep % 2)
+                    new = moves(left[turn], right[turn], own[turn], mine[turn], seen)
+                    yield _columns(w=pa.array(turn * SLICES + s, pa.int32()), k=pa.array(new, pa.int32()))
+
+        got = slices.mapInArrow(work, "w int, k int").toPandas()  # half of the held words
+        trial = labels.copy()
+        trial[got.w.to_numpy()] = got.k.to_numpy()
+        for back in range(4):
+            then = class_pairs(slices, trial, k)
+            if likelihood(then) > found[-1]:
+                labels, seen = trial, then
+                found.append(likelihood(then))
+                break
+            moved = np.flatnonzero(trial != labels)
+            trial[moved[(moved // SLICES >> back) % 2 == 0]] = labels[moved[(moved // SLICES >> back) % 2 == 0]]
+    return labels, found
+
+
+def read_documents(docs: DataFrame, held: list[bytes], counts: np.ndarray, labels: np.ndarray) -> DataFrame:
+    """One row per row of docs: uid, doc_id, held_out, n_tokens, known, top (sum of log10(n + ALPHA) over the held words),
+    classes (packed: the class of each token, the end token before and after; _NONE for words that aren't held) and rare,
+    those words in order: array<struct<w, b, a>> with the classes before and after."""
+    shared = docs.sparkSession.sparkContext.broadcast((held, counts, labels))
+    kind = dict(docs.dtypes)["doc_id"]
+    rare_type = pa.struct([("w", pa.binary()), ("b", pa.int32()), ("a", pa.int32())])
 
-def contexts(blocks: DataFrame, labels: DataFrame, parts: int, k: int) -> DataFrame:
-    """(p, key, n): for each block, how often each class stands before (key place*2k + class) and after (place*2k + k +
-    class) the words of slice p; rows with p = -1 have the counts of class pairs, key first*k + second."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, counts, labels = shared.value
+        of, logs, uid = {w: i for i, w in enumerate(held)}, np.append(np.log10(counts + ALPHA), 0.0), TaskContext.get().partitionId() << 40
+        end, get, classes, known = of[END], of.get, np.append(labels, _NONE).astype("<u2"), np.append(counts > 0, False)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part, made, words, befores, afters, ends = batch.slice(start, 256), [], [], [], [], [0]
+                for text in part.column(2):
+                    said = tokens(text.as_py())
+                    at = np.array([end, *[get(w, -1) for w in said], end], np.int64)
+                    c, rest = classes[at], np.flatnonzero(at < 0)
+                    words += [said[i - 1] for i in rest.tolist()]
+                    befores.append(c[rest - 1])
+                    afters.append(c[rest + 1])
+                    ends.append(len(words))
+                    made.append((uid, len(at) - 1, int(known[at[1:]].sum()), float(logs[at[1:]].sum()), c.tobytes()))
+                    uid += 1
+                number = lambda parts: pa.array(np.concatenate(parts).astype(np.int32), pa.int32())
+                rare = pa.StructArray.from_arrays([pa.array(words, pa.binary()), number(befores), number(afters)], fields=list(rare_type))
+                u, n, m, top, packed = zip(*made, strict=True)
+                yield _columns(uid=pa.array(u, pa.int64()), doc_id=part.column(0), held_out=part.column(1), n_tokens=pa.array(n, pa.int64()), known=pa.array(m, pa.int64()),
+                               top=pa.array(top, pa.float64()), classes=pa.array(packed, pa.binary()), rare=pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare))
+
+    rows = docs.select("doc_id", (fold_of("doc_id", 10) == 0).alias("held_out"), text_of().alias("text"))
+    return rows.mapInArrow(work, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, known long, top double, classes binary, rare array<struct<w:binary,b:int,a:int>>")
+
+
+def place_rare(read: DataFrame, seen: np.ndarray) -> DataFrame:
+    """(w, n, k) of every counted word that isn't held: n, and the class that raises the likelihood most as the word joins
+    it, by its own contexts: the classes of the held words before and after it. Words that stand among other such words
+    only have one more class to themselves, the last."""
+    k = len(seen)
+    each = read.filter(~F.col("held_out")).select(F.explode("rare").alias("x")).groupBy("x.w", "x.b", "x.a").agg(F.count("*").alias("n"))
+    met = each.groupBy("w").agg(F.sum("n").alias("n"), F.collect_list(F.struct("b", "a", "n")).alias("c"))  # k squared contexts at most
 
-    def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key, at = np.unique(key, return_inverse=True)
-        return key, np.bincount(at, n, len(key)).astype(np.int64)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = gain_of_one(seen)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2048):
+                part = batch.slice(start, 2048)
+                lists = part.column(2).combine_chunks() if isinstance(part.column(2), pa.ChunkedArray) else part.column(2)
+                offsets = lists.offsets.to_numpy()
+                b, a, n = (lists.values.field(c).to_numpy()[offsets[0] : offsets[-1]] for c in ("b", "a", "n"))
+                word = np.repeat(np.arange(part.num_rows), np.diff(offsets))
+                near = [np.bincount(word[x != _NONE] * k + x[x != _NONE], n[x != _NONE], part.num_rows * k).reshape(-1, k) for x in (b, a)]
+                best = of(*near)[:, : k - 1].argmax(axis=1)
+                best[(near[0].sum(axis=1) == 0) & (near[1].sum(axis=1) == 0)] = k
+                yield _columns(w=part.column(0), n=part.column(1), k=pa.array(best, pa.int32()))
+
+    return met.mapInArrow(work, "w binary, n long, k int")
+
+
+def gain_of_one(seen: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """gains() for words that are said a few times: rises by 1 to 8 pairs are looked up instead of worked out anew."""
+    k, f, base = len(seen), _xlogx, _xlogx(seen)
+    few = np.stack([f(seen + n) - base for n in range(9)])
+    few[:, np.arange(k), np.arange(k)] = 0.0
+    sums = [seen.sum(axis=1), seen.sum(axis=0)]
+    diagonal = seen[np.arange(k), np.arange(k)]
+
+    def of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        out = np.zeros(left.shape)
+        for near, side in ((left, few), (right, few.transpose(0, 2, 1))):
+            w, d = np.nonzero((near > 0) & (near <= 8))
+            if len(w):
+                first = np.flatnonzero(np.diff(w, prepend=-1))
+                out[w[first]] += np.add.reduceat(side[near[w, d].astype(int), d], first, axis=0)
+        often = np.flatnonzero((left > 8).any(axis=1) | (right > 8).any(axis=1))
+        both = left + right
+        w, d = np.nonzero(both)
+        out[w, d] += f(diagonal[d] + both[w, d]) - f(diagonal[d])
+        for near, other, total in ((right, left, sums[0]), (left, right, sums[1])):
+            said = near.sum(axis=1)
+            n, at = np.unique(said, return_inverse=True)
+            out -= (f(total + n[:, None]) - f(total))[at]
+            w, d = np.nonzero(other)
+            rise = lambda x: f(x + said[w]) - f(x)  # noqa: B023, E731
+            out[w, d] += rise(total[d]) - rise(total[d] + other[w, d])
+        if len(often):
+            out[often] = gains(left[often], right[often], np.zeros(len(often)), seen)
+        return out
+
+    return of
+
+
+def filled(read: DataFrame, placed: DataFrame) -> DataFrame:
+    """read_documents() with the classes and counts of its rare words filled in: doc_id, held_out, n_tokens, n_known, top,
+    classes. A word without a count has no class: _NONE."""
+    kind = dict(read.dtypes)["doc_id"]
+    said = read.select("uid", F.posexplode("rare").alias("pos", "x")).select("uid", "pos", F.col("x.w").alias("w"))
+    known = said.join(placed, "w", "left").select("uid", "pos", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("k", F.lit(_NONE)).cast("int").alias("k"))
+    each = known.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "k"))).alias("s"))
+    each = each.select(F.col("uid").alias("of"), F.col("s.n").alias("n"), F.col("s.k").alias("k"))
+    rows = read.select("uid", "doc_id", "held_out", "n_tokens", "known", "top", "classes").join(each, F.col("uid") == F.col("of"), "left").drop("uid", "of")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longs = pa.list_(pa.int64())
-        for r in batches:
-            for i in range(r.num_rows):
-                a, b, n, la, lb = (_values(r.column(c).slice(i, 1))[0] for c in range(2, 7))
-                ka, kb = la[a].astype(np.int64), lb[b].astype(np.int64)
-                for p, key in ((r.column(0)[i].as_py(), a * np.int64(2 * k) + k + kb), (r.column(1)[i].as_py(), b * np.int64(2 * k) + ka), (-1, ka * k + kb)):
-                    key, total = summed(key, n)
-                    yield _row(("p", pa.int32(), p), ("key", longs, key), ("n", longs, total))
-
-    return _both(blocks, labels, parts, "k").mapInArrow(work, "p int, key array<long>, n array<long>")
-
-
-def class_pairs(near: DataFrame, k: int) -> np.ndarray:
-    """k x k counts of class pairs, from contexts()."""
-    out = np.zeros((k, k))
-    each = near.filter("p = -1").select(F.explode(F.arrays_zip("key", "n")).alias("e")).groupBy("e.key").agg(F.sum("e.n").alias("n"))
-    for r in each.collect():  # k squared at most
-        out[r.key // k, r.key % k] = r.n
-    return out
+        for b in batches:
+            known, top, classes = b.column(3).to_pylist(), b.column(4).to_pylist(), []
+            for i in range(b.num_rows):
+                c = np.frombuffer(b.column(5)[i].as_py(), "<u2")
+                if b.column(6)[i].is_valid:
+                    n, k = b.column(6)[i].values.to_numpy(), b.column(7)[i].values.to_numpy()
+                    c = c.copy()
+                    c[c == _NONE] = k
+                    known[i] += int((n > 0).sum())
+                    top[i] += float(np.log10(n + ALPHA).sum())
+                classes.append(c.tobytes())
+            yield _columns(doc_id=b.column(0), held_out=b.column(1), n_tokens=b.column(2), n_known=pa.array(known, pa.int64()), top=pa.array(top, pa.float64()), classes=pa.array(classes, pa.binary()))
 
+    return rows.mapInArrow(work, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, top double, classes binary")
 
-def _moving(rate: np.ndarray, sweep: int, k: int) -> Callable:
-    """Moves the words of a slice whose place is as odd as the sweep, ENTRIES contexts at a time."""
-
-    def moved(key: tuple, old: pa.Table, met: pa.Table) -> pa.Table:
-        label = _values(old.column("k"))[0].copy()
-        at, n = _values(met.column("key"))[0], _values(met.column("n"))[0]
-        mine = (at // (2 * k)) % 2 == sweep % 2
-        at, n = at[mine], n[mine]
-        order = np.argsort(at, kind="stable")
-        at, n = at[order], n[order]
-        starts = np.flatnonzero(np.diff(at // (2 * k), prepend=-1))
-        words, ends = at[starts] // (2 * k), np.append(starts[1:], len(at))
-        i = 0
-        while i < len(words):
-            j = max(i + 1, int(np.searchsorted(ends, starts[i] + ENTRIES, "right")))
-            part = slice(starts[i], ends[j - 1])
-            gain = np.add.reduceat(rate[at[part] % (2 * k)] * n[part, None], starts[i:j] - starts[i], axis=0)
-            own = words[i:j]
-            label[own] = np.where(label[own] == k - 1, k - 1, gain.argmax(axis=1))
-            i = j
-        return pa.table({"p": pa.array([key[0].as_py()], pa.int32()), "k": pa.array([label], pa.list_(pa.int32()))})
-
-    return moved
-
-
-def exchange(blocks: DataFrame, labels: DataFrame, parts: int, k: int) -> DataFrame:
-    """(p, k): the class of each word of each slice. In each sweep, half of all counted words move to the class that makes
-    their own neighbours likeliest. Only the k x k counts of class pairs come to the driver; a task has one slice of the
-    words. The end token keeps a class of its own."""
-    for sweep in range(SWEEPS):
-        near = staged(contexts(blocks, labels, parts, k))
-        seen = class_pairs(near, k)
-        of_class = np.hstack([seen.T, seen])
-        rate = np.log((of_class + 0.5) / (of_class.sum(axis=1, keepdims=True) + k))[: k - 1].T.copy()
 
-        new = staged(labels.groupBy("p").cogroup(near.filter("p >= 0").groupBy("p")).applyInArrow(_moving(rate, sweep, k), "p int, k array<int>"))
-        discard(near)
-        discard(labels)
-        labels = new
-    return labels
+def transitions(rows: DataFrame, k: int) -> np.ndarray:
+    """k x k: how often each class follows each, over all tokens of the training rows of filled()."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k)
+        for b in batches:
+            for packed in b.column(0):
+                c = np.frombuffer(packed.as_py(), "<u2").astype(np.int64)
+                np.add.at(total, c[:-1] * k + c[1:], 1) if len(c) < 64 else np.add(total, np.bincount(c[:-1] * k + c[1:], minlength=k * k), out=total)
+        at = np.flatnonzero(total)
+        yield _columns(at=pa.array(at, pa.int64()), n=pa.array(total[at], pa.float64()))
+
+    return _square(rows.filter(~F.col("held_out")).select("classes").mapInArrow(work, "at long, n double"), k)
+
+
+class Brown:
+    """A trained model: the held words with counts and classes, the other words as a table (w, n, k), the rows read by it,
+    and what scoring needs."""
+
+    def __init__(self, docs: DataFrame) -> None:
+        train = docs.filter(fold_of("doc_id", 10) != 0)
+        words = staged(count_words(train))
+        self.total, self.distinct = (int(x or 0) for x in words.agg(F.sum("n"), F.count("*")).first())
+        self.held, self.counts = held_words(words)
+        discard(words)
+        k = min(_NONE - 2, max(CLASSES, math.ceil(self.distinct**0.3)))
+        pairs = staged(count_pairs(train, self.held))
+        slices = staged(slices_of(pairs))
+        discard(pairs)
+        self.labels, self.likelihoods = exchange(slices, len(self.held), self.held.index(END), k)
+        read = staged(read_documents(docs, self.held, self.counts, self.labels))
+        self.rare = staged(place_rare(read, class_pairs(slices, self.labels, k)))
+        discard(slices)
+        self.k = k + 1
+        n_class, v_class = (np.bincount(self.labels, x, self.k).astype(float) for x in (self.counts, self.counts > 0))
+        for r in self.rare.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # a row a class
+            n_class[r.k], v_class[r.k] = n_class[r.k] + r.n, v_class[r.k] + r.v
+        self.rows = staged(filled(read, self.rare))
+        discard(read)
+        self.seen = transitions(self.rows, self.k)
+        self.move = np.log10((self.seen + BETA) / (self.seen.sum(axis=1, keepdims=True) + BETA * self.k))
+        self.below = -np.log10(n_class + ALPHA * (v_class + 1))
+        self.base_below = math.log10(self.total + ALPHA * (self.distinct + 1))
+
+
+class Paths:
+    """Sums over the classes of a packed text, END to END. A word without a count may be of any class: over a run of such
+    words all paths of classes are summed up, and what depends on the run's length alone is kept."""
+
+    def __init__(self, move: np.ndarray, below: np.ndarray) -> None:
+        self.move, self.below, self.step = move, below, 10 ** (move + below)
+        self.over = {1: (10**move, 0.0)}
+
+    def through(self, run: int) -> np.ndarray:
+        """classes x classes: log10 of the chance to pass `run` words without a count between two classes."""
+        made = max(r for r in self.over if r <= run)
+        m, scale = self.over[made]
+        while made < run:
+            m = self.step @ m
+            made, top = made + 1, m.max()
+            m, scale = m / top, scale + math.log10(top)
+            if made <= 64:
+                self.over[made] = m, scale
+        return np.log10(np.maximum(self.step @ m, 1e-300)) + scale
+
+    def sum(self, packed: bytes) -> float:
+        c = np.frombuffer(packed, "<u2")
+        if not (c == _NONE).any():
+            return float((self.move[c[:-1], c[1:]] + self.below[c[1:]]).sum())
+        at = np.flatnonzero(c != _NONE)
+        p, q, run = c[at[:-1]], c[at[1:]], np.diff(at) - 1
+        total = float(self.below[q].sum() + self.move[p[run == 0], q[run == 0]].sum())
+        for r in np.unique(run[run > 0]).tolist():
+            total += float(self.through(r)[p[run == r], q[run == r]].sum())
+        return total
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
-    Counts are over all training rows (fold of the id modulo 10 not 0), and every word counted there gets its class by
-    exchange. score sums, over a text's words and its end, log10 P(class | class before) + log10 P(word | class), both
-    with additive smoothing; a word without a count has the class that most words counted once have. Null texts count as
-    empty: just an end token. Rows that repeat id and text are each returned. Without training rows all counts are 0. An
-    empty table gives no rows; other columns are not read.
+    Counts are over all training rows (fold of the id modulo 10 not 0). Every word counted there gets its class by its own
+    contexts: the most frequent ones by sweeps of the exchange, each other one when it joins the class that raises the
+    likelihood most. score sums, over a text's words and its end, log10 P(class | class before) + log10 P(word | class),
+    both with additive smoothing; a word without a count may be of any class, and all such paths are summed. Null texts count
+    as empty: just an end token. Repeated rows are each returned. Without training rows all counts are 0. An empty table
+    gives no rows; other columns are not read. The texts are read three times; after that classes stand for words.
     """
-    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
-    words, seen, k = classes_of(docs.filter(fold_of("doc_id", 10) != 0))
-    n_class, v_class, once = np.zeros(k), np.zeros(k), np.zeros(k)
-    for r in words.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).collect():  # k rows
-        n_class[r.k], v_class[r.k], once[r.k] = r.n, r.v, r.once
-    total, distinct, unseen = int(n_class.sum()), int(v_class.sum()), int(once.argmax())
-    move = np.log10((seen + BETA) / (seen.sum(axis=1, keepdims=True) + BETA * k))
-    below = -np.log10(n_class + ALPHA * (v_class + 1))
-    base_below = math.log10(total + ALPHA * (distinct + 1))
-    held = words.orderBy(F.desc("n"), "word").limit(HELD).toPandas()  # HELD words at most
-    if not (held.word == END_ID).any():  # no training rows
-        held.loc[len(held)] = [END_ID, 0, k - 1]
-    shared = spark.sparkContext.broadcast((held.word.to_numpy(np.int64), held.n.to_numpy(np.float64), held.k.to_numpy(np.int64), move, below))
-    OUT = f"doc_id {kind}, row long, word long, pos int, before int, after int, n_tokens long, known long, top double, fixed double"
+    m = Brown(docs)
+    move, below, base_below = m.move, m.below, m.base_below
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, n, classes, move, below = shared.value
-        of = {int(w): i for i, w in enumerate(ids)}
-        logs, classes, below = np.append(np.log10(n + ALPHA), 0.0), np.append(classes, -1), np.append(below, 0.0)
-        move = np.pad(move, (0, 1))  # class -1, of the words to be joined, adds nothing
-        met: dict[bytes, int] = {END: of[END_ID]}
-        for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part, at, out = batch.slice(start, 64), [], []
-                for i, (row, text) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                    said, rest = [END, *tokens(text), END], []
-                    places = np.empty(len(said), np.int64)
-                    for p, w in enumerate(said):
-                        h = met.get(w)
-                        if h is None:
-                            h = of.get(word_id(w))
-                            if h is None:
-                                rest.append((p, word_id(w)))
-                                h = -1
-                            else:
-                                met[w] = h
-                        places[p] = h
-                    c, own = classes[places], places[1:]
-                    out.append((row, row, -1, 0, 0, len(own), int((n[own[own >= 0]] > 0).sum()), float(logs[own].sum()), float(move[c[:-1], c[1:]].sum() + below[c[1:]].sum())))
-                    out += [(row, w, p, int(c[p - 1]), int(c[p + 1]), 0, 0, 0.0, 0.0) for p, w in rest]
-                    at += [i] * (1 + len(rest))
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), *[pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)]], [x.split()[0] for x in OUT.split(", ")])
-
-    rows = docs.select("doc_id", fingerprint_of(text_of()).alias("row"), text_of().alias("text"))
-    said = rows.mapInArrow(work, OUT).join(words, "word", "left")
-    rest = F.when(F.col("pos") >= 0, F.struct("pos", "before", "after", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("k", F.lit(unseen)).cast("int").alias("k")))
-    per = said.groupBy("doc_id", "row").agg(F.count_if(F.col("pos") < 0).alias("copies"), *[F.sum(c).alias(c) for c in ("n_tokens", "known", "top", "fixed")], F.collect_set(rest).alias("rest"))
-    share = lambda c: (F.col(c) / F.col("copies"))
-    per = per.select("doc_id", "copies", share("n_tokens").cast("long"), share("known").cast("long"), share("top"), share("fixed"), *[F.col(f"rest.{c}") for c in ("pos", "before", "after", "n", "k")])
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, _, move, below = shared.value
+        paths = Paths(move, below)
         for b in batches:
-            tokens_, known, top, fixed = (b.column(c).to_numpy(zero_copy_only=False) for c in range(2, 6))
-            (pos, at), (before, _), (after, _), (n, _), (c, _) = (_values(b.column(x)) for x in range(6, 11))
-            doc = np.repeat(np.arange(b.num_rows), np.diff(at))
-            order = np.lexsort((pos, doc))
-            doc, before, after, n, c = doc[order], before[order], after[order], n[order], c[order]
-            own = np.log10(n + ALPHA)
-            prev = np.where(before >= 0, before, np.roll(c, 1))  # a joined word before this one stands before it here too
-            gain = own + below[c] + move[prev, c] + np.where(after >= 0, move[c, np.maximum(after, 0)], 0.0)
-            added = lambda x: np.bincount(doc, x, b.num_rows)  # noqa: B023, E731
-            top = top + added(own)
-            score = top + fixed + added(gain - own)
-            known = known + added((n > 0).astype(float)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tokens_, pa.int64()), pa.array(known, pa.int64()), pa.array(top - tokens_ * base_below, pa.float64()), pa.array(score, pa.float64())], ["doc_id", "copies", "n_tokens", "n_known", "base_score", "score"])
-
-    done = per.mapInArrow(finish, f"doc_id {kind}, copies long, n_tokens long, n_known long, base_score double, score double")
-    each = done.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return each.select("doc_id", (fold_of("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def classes_of(train: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
-    """((word, n, k) of every counted word, counts of class pairs, count of classes)."""
-    pairs = staged(count_pairs(train))
-    words = staged(pairs.groupBy(F.col("b").alias("word")).agg(F.sum("n").alias("n")))  # each word ends one pair each time it is said
-    distinct = words.count()
-    parts, k = max(1, -(-distinct // SLICE)), max(CLASSES, math.ceil(distinct ** (1 / 3)))
-    slices = staged(slices_of(words, parts))
-    blocks = staged(blocks_of(pairs, slices, parts))
-    discard(pairs)
-    labels = exchange(blocks, staged(first_labels(slices, k)), parts, k)
-    seen = class_pairs(staged(contexts(blocks, labels, parts, k).filter("p = -1")), k)
-    zipped = slices.join(labels, "p").select(F.explode(F.arrays_zip("w", "n", "k")).alias("e"))
-    return staged(zipped.select(F.col("e.w").alias("word"), F.col("e.n").alias("n"), F.col("e.k").alias("k"))), seen, k
+            top, n, scores = b.column(4).to_numpy(), b.column(2).to_numpy(), [paths.sum(packed.as_py()) for packed in b.column(5)]
+            base, score = pa.array(top - n * base_below, pa.float64()), pa.array(top + np.array(scores), pa.float64())
+            yield _columns(doc_id=b.column(0), held_out=b.column(1), n_tokens=b.column(2), n_known=b.column(3), base_score=base, score=score)
+
+    kind = dict(docs.dtypes)["doc_id"]
+    out = m.rows.mapInArrow(work, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(m.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
