@@ -6,79 +6,123 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lorewell.llm.common import table
+from lorewell.llm.common import staged, table
 
-#: Records of one URL are dealt out in spans of this length in time; headers that a 304 may change.
-SPAN = 1_000_000
+#: Records that a span of time holds about, and spans at most.
+SPAN_RECORDS, SPANS = 50_000, 10_000
+#: Headers that a 304 answer may change.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "vary"]
 
 
 def canonical_url(url: Column) -> Column:
-    """Lower-case host without www. or m. and default port, https for http, no fragment, no final slash."""
+    """Lower-case host without www. or m. and default port, https for http, no fragment, no final slash. A URL without a
+    scheme stays as it is but for its fragment."""
     u = F.regexp_replace(F.trim(url), "#.*$", "")
     host = F.regexp_replace(F.lower(F.regexp_extract(u, r"^[a-zA-Z]+://([^/?]*)", 1)), r"^(www|m)\.|:(80|443)$", "")
     rest = F.regexp_replace(F.regexp_extract(u, r"^[a-zA-Z]+://[^/?]*(.*)$", 1), "/$", "")
-    return F.concat(F.lit("https://"), host, rest)
+    return F.when(host == "", u).otherwise(F.concat(F.lit("https://"), host, rest))
+
+
+def lower_names(headers: Column) -> Column:
+    """A map of headers with lower-case names; of names that differ by case only the first one's value."""
+    entries = F.map_entries(headers)
+    names = F.array_distinct(F.transform(F.map_keys(headers), lambda k: F.lower(k)))
+    value = lambda n: F.get(F.filter(entries, lambda e: F.lower(e["key"]) == n), 0)["value"]
+    return F.map_from_arrays(names, F.transform(names, value))
+
+
+def validators(etag: Column, modified: Column, their_etag: Column, their_modified: Column) -> Column:
+    """'resolved', 'mismatch' or 'unchecked': by ETag where both have one (weak comparison: W/ doesn't count), else by
+    Last-Modified where both have one."""
+    plain = lambda tag: F.regexp_replace(tag, "^W/", "")
+    same = F.when(etag.isNotNull() & their_etag.isNotNull(), plain(etag) == plain(their_etag)).when(modified.isNotNull() & their_modified.isNotNull(), modified == their_modified)
+    return F.when(same.isNull(), "unchecked").when(same, "resolved").otherwise("mismatch")
+
+
+def span_of(records: DataFrame) -> Column:
+    """The span of time that ts falls into: quantiles over all records, so no span, of whatever URL, holds many more than
+    SPAN_RECORDS (or a SPANS-th) of them."""
+    spans = min(SPANS, max(1, records.count() // SPAN_RECORDS))
+    ends = records.agg(F.percentile_approx("ts", [i / spans for i in range(1, spans)] or [0.5], 10 * SPANS)).first()[0] if spans > 1 else []
+    return F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col("ts"))) if ends else F.lit(0)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """records: record_id, url, ts (long), kind ('response' or 'revisit'), etag, headers (map). One row per revisit:
-    record_id, canonical_url, response_id, status, headers.
+    """records: record_id, url, ts (long), kind ('response' or 'revisit'), etag, last_modified, headers (map). One row per
+    revisit: record_id, canonical_url, response_id, status, headers.
 
     An as-of join: for each revisit the full response of the same canonical URL with the largest (ts, record_id) before
     its own ts. A URL's records are dealt out by spans of time; the last response of each span is carried to later spans
-    over one row a span, so a URL with a third of all records is no single task. status: 'resolved' where the validators
-    agree, 'unchecked' where either lacks one, 'mismatch' where they differ (no headers then), 'orphan' where nothing
-    earlier stands. Headers are the response's with the permitted ones of the revisit over them. Records with a null URL
-    or time are orphans; a revisit at the time of a response is not after it; repeated rows are returned each.
+    over one row a span, so a URL with a third of all records is no single task. status: see validators(); 'orphan' where
+    nothing earlier stands; response_id and headers are null for a mismatch and an orphan. Headers are the response's with
+    the permitted ones of the revisit over them, names in lower case. Revisits with a null URL or time are orphans and
+    responses with one are never found; a revisit at the time of a response is not after it; repeated rows are returned
+    each; an empty table gives no rows; other columns are not read.
     """
-    r = records.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "ts", "kind", "etag", F.coalesce("headers", F.expr("cast(map() as map<string,string>)")).alias("headers"))
-    r = r.withColumn("span", F.floor(F.col("ts") / SPAN))
+    none = F.expr("cast(map() as map<string,string>)")
+    r = records.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "ts", "kind", "etag", "last_modified", lower_names(F.coalesce("headers", none)).alias("headers"))
     usable = F.col("canonical_url").isNotNull() & F.col("ts").isNotNull()
-    answer = F.when((F.col("kind") == "response") & usable, F.struct("ts", "record_id", "etag", "headers"))
-    lasts = r.withColumn("answer", answer).groupBy("canonical_url", "span").agg(F.max_by("answer", F.when(answer.isNotNull(), F.struct("ts", "record_id"))).alias("last"))
+    lost = r.filter(~usable & (F.col("kind") == "revisit")).select("record_id", "canonical_url", F.lit(None).cast(dict(r.dtypes)["record_id"]).alias("response_id"), F.lit("orphan").alias("status"), F.lit(None).cast("map<string,string>").alias("headers"))
+    r = r.filter(usable).withColumn("span", span_of(records))
+    answer = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "etag", "last_modified", "headers"))
+    when = F.when(F.col("kind") == "response", F.struct("ts", "record_id"))
+    lasts = r.groupBy("canonical_url", "span").agg(F.max_by(answer, when).alias("last"))
     order = Window.partitionBy("canonical_url").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    lasts = lasts.select("canonical_url", "span", F.last("last", ignorenulls=True).over(order).alias("carried"))
+    lasts = lasts.select("canonical_url", "span", F.last("last", ignorenulls=True).over(order).alias("carried")).filter("carried is not null")
     inside = Window.partitionBy("canonical_url", "span").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("here", F.max_by(answer, F.when(answer.isNotNull(), F.struct("ts", "record_id"))).over(inside))
-    carried = lasts.select(F.col("canonical_url").alias("u"), F.col("span").alias("s"), "carried")
-    r = r.filter("kind = 'revisit'").join(carried, F.col("canonical_url").eqNullSafe(F.col("u")) & F.col("span").eqNullSafe(F.col("s")), "left")
-    found = F.when(usable, F.coalesce("here", "carried"))
-    r = r.withColumn("found", found)
-    status = F.when(F.col("found").isNull(), "orphan").when(F.col("etag").isNull() | F.col("found.etag").isNull(), "unchecked").when(F.col("etag") == F.col("found.etag"), "resolved").otherwise("mismatch")
-    own = F.map_filter("headers", lambda k, _: F.lower(k).isin(PERMITTED))
-    merged = F.map_concat(F.map_filter(F.col("found.headers"), lambda k, _: ~F.array_contains(F.map_keys(own), k)), own)
-    return r.withColumn("status", status).select("record_id", "canonical_url", F.when(F.col("status") != "mismatch", F.col("found.record_id")).alias("response_id"), "status", F.when(F.col("status").isin("resolved", "unchecked"), merged).alias("headers"))
+    r = r.withColumn("here", F.max_by(answer, when).over(inside)).filter("kind = 'revisit'")
+    r = r.join(lasts, ["canonical_url", "span"], "left").withColumn("found", F.coalesce("here", "carried"))
+    status = F.when(F.col("found").isNull(), "orphan").otherwise(validators(F.col("etag"), F.col("last_modified"), F.col("found.etag"), F.col("found.last_modified")))
+    own = F.map_filter("headers", lambda k, _: k.isin(PERMITTED))
+    merged = F.map_concat(F.map_filter(F.col("found.headers"), lambda k, _: ~F.map_contains_key(own, k)), own)
+    ok = F.col("status").isin("resolved", "unchecked")
+    out = r.withColumn("status", status)
+    return out.select("record_id", "canonical_url", F.when(ok, F.col("found.record_id")).alias("response_id"), "status", F.when(ok, merged).alias("headers")).union(lost)
 
 
 def archive_of(pages: DataFrame) -> DataFrame:
-    """An archive made of the pages table: page k is a response at time 1000*k + 1, tagged by its content; every page is
-    asked again at 1000*k + 500 through another form of its URL. Of those revisits every third has no tag and every fifth
-    another page's."""
-    tag = F.md5(F.coalesce("html", F.lit("")).cast("binary"))
-    id_ = F.col("page_id").cast("long")
-    of = lambda **kw: F.create_map(*[x for k, v in kw.items() for x in (F.lit(k.replace("_", "-")), v)])
-    full = pages.select((id_ * 2).alias("record_id"), "url", (id_ * 1000 + 1).alias("ts"), F.lit("response").alias("kind"), tag.alias("etag"), of(content_type=F.lit("text/html"), etag=tag, date=(id_ * 1000 + 1).cast("string")).alias("headers"))
-    seen = F.when(id_ % 3 == 0, F.lit(None)).when(id_ % 5 == 0, F.md5(F.lit("other").cast("binary"))).otherwise(tag)
-    again = pages.select((id_ * 2 + 1).alias("record_id"), F.concat("url", F.lit("#again")).alias("url"), (id_ * 1000 + 500).alias("ts"), F.lit("revisit").alias("kind"), seen.alias("etag"), of(date=(id_ * 1000 + 500).cast("string"), content_length=F.lit("0")).alias("headers"))
+    """An archive made of the pages table. A third of the pages share one URL, a third share a URL by twelves, the others
+    keep their own. Each page gives a full response (every fifth doesn't) and a revisit, at times that run through all of
+    the archive's span, so the response that a revisit finds is mostly another page's, one of many before it or none.
+    Tags are strong, weak, missing or of the page's content; some have a date of change; some times and URLs are null."""
+    p = pages.select(F.col("page_id").cast("long").alias("id"), "url", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("sum"))
+    twelve = F.concat(F.lit("https://www.Site.example/p/"), F.floor(F.col("id") / 12).cast("string"), F.lit("/"))
+    p = p.withColumn("at", F.when(F.col("id") % 3 == 0, "http://hot.example:80/").when(F.col("id") % 3 == 1, twelve).otherwise(F.col("url")))
+    header = lambda name, value: F.when(value.isNotNull(), F.struct(F.lit(name).alias("key"), value.cast("string").alias("value")))
+    headers = lambda *h: F.map_from_entries(F.filter(F.array(*h), lambda e: e.isNotNull()))
+    id_, number = F.col("id"), lambda n: (F.col("id") % n).cast("string")
+    ts = (id_ * 7919) % 1_000_003
+    etag = F.when(id_ % 4 == 0, F.lit(None)).when(id_ % 4 == 3, F.col("sum")).otherwise(F.concat(F.lit('"v'), number(2), F.lit('"')))
+    day = F.when(id_ % 4 != 2, F.concat(F.lit("day "), (F.floor(id_ / 7) % 2).cast("string")))
+    full = p.filter("id % 5 <> 0").select((id_ * 2).alias("record_id"), F.col("at").alias("url"), ts.alias("ts"), F.lit("response").alias("kind"), etag.alias("etag"), day.alias("last_modified"),
+                                          headers(header("Content-Type", F.lit("text/html")), header("ETag", etag), header("Date", ts), header("X-Sum", F.col("sum"))).alias("headers"))
+    later = F.when(id_ % 97 != 0, (id_ * 104_729 + 13) % 1_000_003)
+    seen = F.when(id_ % 5 == 0, F.lit(None)).when(id_ % 5 == 3, F.lit('W/"v1"')).when(id_ % 5 == 4, F.col("sum")).otherwise(F.concat(F.lit('"v'), (id_ % 5 - 1).cast("string"), F.lit('"')))
+    again = p.select((id_ * 2 + 1).alias("record_id"), F.when(id_ % 101 != 0, F.concat("at", F.lit("#again"))).alias("url"), later.alias("ts"), F.lit("revisit").alias("kind"), seen.alias("etag"),
+                     F.concat(F.lit("day "), number(2)).alias("last_modified"), headers(header("date", later), header("CACHE-CONTROL", number(10)), header("content-length", F.lit("0"))).alias("headers"))
     return full.union(again)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = resolve_revisits(archive_of(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    out = resolve_revisits(staged(archive_of(table(spark, sf_dir, "pages").select("page_id", "url", "html"))))
     flat = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     return out.select("record_id", "canonical_url", "response_id", "status", flat.alias("headers"))
 
 
 OP7_SQL = r"""
-WITH p AS (SELECT CAST(page_id AS BIGINT) AS id, md5(coalesce(html, '')) AS tag, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
-c AS (
-  SELECT id, tag, 'https://' || regexp_replace(lower(regexp_extract(u, '^[a-zA-Z]+://([^/?]*)', 1)), '^(www|m)\.|:(80|443)$', '', 'g')
-         || regexp_replace(regexp_extract(u, '^[a-zA-Z]+://[^/?]*(.*)$', 1), '/$', '') AS cu FROM p),
-r AS (SELECT id, cu, tag, CASE WHEN id % 3 = 0 THEN NULL WHEN id % 5 = 0 THEN md5('other') ELSE tag END AS seen FROM c)
-SELECT id * 2 + 1 AS record_id, cu AS canonical_url,
-       CASE WHEN seen IS NULL OR seen = tag THEN id * 2 END AS response_id,
-       CASE WHEN seen IS NULL THEN 'unchecked' WHEN seen = tag THEN 'resolved' ELSE 'mismatch' END AS status,
-       CASE WHEN seen IS NULL OR seen = tag THEN 'content-type=text/html;date=' || CAST(id * 1000 + 500 AS VARCHAR) || ';etag=' || tag END AS headers
-FROM r
+WITH p AS (SELECT CAST(page_id AS BIGINT) AS id, md5(coalesce(html, '')) AS digest,
+  CASE CAST(page_id AS BIGINT) % 3 WHEN 0 THEN 'http://hot.example:80/' WHEN 1 THEN 'https://www.Site.example/p/' || (CAST(page_id AS BIGINT) // 12) || '/' ELSE url END AS addr FROM pages),
+u AS (SELECT *, regexp_replace(trim(addr), '#.*$', '') AS u FROM p),
+c AS (SELECT id, digest, CASE WHEN regexp_extract(u, '^[a-zA-Z]+://([^/?]*)', 1) = '' THEN u ELSE 'https://' || regexp_replace(lower(regexp_extract(u, '^[a-zA-Z]+://([^/?]*)', 1)), '^(www|m)\.|:(80|443)$', '', 'g')
+         || regexp_replace(regexp_extract(u, '^[a-zA-Z]+://[^/?]*(.*)$', 1), '/$', '') END AS cu FROM u),
+full_ AS (SELECT id * 2 AS response_id, cu, (id * 7919) % 1000003 AS ts, digest,
+  CASE WHEN id % 4 = 0 THEN NULL WHEN id % 4 = 3 THEN digest ELSE '"v' || (id % 2) || '"' END AS etag, CASE WHEN id % 4 <> 2 THEN 'day ' || (id // 7 % 2) END AS day FROM c WHERE id % 5 <> 0 AND cu IS NOT NULL),
+last_ AS (SELECT * FROM full_ QUALIFY row_number() OVER (PARTITION BY cu, ts ORDER BY response_id DESC) = 1),
+again AS (SELECT id, id * 2 + 1 AS record_id, CASE WHEN id % 101 <> 0 THEN cu END AS cu, CASE WHEN id % 97 <> 0 THEN (id * 104729 + 13) % 1000003 END AS ts,
+  CASE id % 5 WHEN 0 THEN NULL WHEN 3 THEN 'W/"v1"' WHEN 4 THEN digest ELSE '"v' || (id % 5 - 1) || '"' END AS etag, 'day ' || (id % 2) AS day FROM c),
+met AS (SELECT a.*, l.response_id, l.etag AS etag2, l.day AS day2, l.digest AS digest2 FROM again a ASOF LEFT JOIN last_ l ON a.cu = l.cu AND a.ts > l.ts),
+s AS (SELECT *, CASE WHEN response_id IS NULL THEN 'orphan' WHEN etag IS NOT NULL AND etag2 IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = regexp_replace(etag2, '^W/', '') THEN 'resolved' ELSE 'mismatch' END
+  WHEN day IS NOT NULL AND day2 IS NOT NULL THEN CASE WHEN day = day2 THEN 'resolved' ELSE 'mismatch' END ELSE 'unchecked' END AS status FROM met)
+SELECT record_id, cu AS canonical_url, CASE WHEN status IN ('resolved', 'unchecked') THEN response_id END AS response_id, status,
+  CASE WHEN status IN ('resolved', 'unchecked') THEN 'cache-control=' || (id % 10) || ';content-type=text/html;date=' || ts || coalesce(';etag=' || etag2, '') || ';x-sum=' || digest2 END AS headers FROM s
 """
