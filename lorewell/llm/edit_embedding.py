@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lorewell.llm.common import staged, table, text_of
+from lorewell.llm.common import discard, salt_of, salted, salts_of, sieved, staged, table, text_of
 from lorewell.llm.components import components
 
 #: Sampled places of the embedding, classes of characters, period of the walk's randomness.
 SLOTS, CLASSES, PERIOD = 128, 32, 1 << 16
-#: Banding: bands of so many sampled places each, and the likeness that verification asks for.
-BANDS, PER_BAND, LIKE = 16, 8, 0.8
+#: Banding: bands of so many sampled places each, the likeness that verification asks for, and the size up to which all
+#: pairs of a band are compared.
+BANDS, PER_BAND, LIKE, SMALL = 16, 8, 0.8, 32
 _SIGNS, _PAD = "0123456789abcdefghijklmnopqrstuv", "-"
 
 
@@ -167,18 +168,52 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return whole.union(ends.mapInPandas(finish, f"doc_id {kind}, {_OUT}"))
 
 
+def alike(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """pairs(a, b, ...) of points(id, fingerprint) with same: in how many sampled places they are equal."""
+    named = lambda n, to: points.select(F.col("id").alias(n), F.col("fingerprint").alias(to))
+    met = pairs.join(named("a", "f"), "a").join(named("b", "g"), "b")
+    equal = F.filter(F.arrays_zip(F.split("f", "").alias("x"), F.split("g", "").alias("y")), lambda p: p["x"] == p["y"])
+    return met.withColumn("same", F.size(equal)).drop("f", "g")
+
+
+def near_links(points: DataFrame) -> DataFrame:
+    """(a, b): pairs of points(id, fingerprint), all fingerprints different, that share a band of sampled places and are
+    alike in LIKE of all places or more.
+
+    Bands that stand alone go first (by a filter of fixed size, so few rows are joined). In a band of SMALL points or fewer
+    all pairs are compared. A larger one is compared with its smallest point; those alike are linked through it, and only
+    the others, which a band of near copies hardly has, are compared with every point of the band. No band is left out,
+    that of the padding neither. A pair at a likeness of 0.8 shares a band with a chance of 0.95, at 0.9 of 0.9999."""
+    bands = F.array(*[F.xxhash64(F.lit(k), F.substring("fingerprint", 1 + k * PER_BAND, PER_BAND)) for k in range(BANDS)])
+    rows = points.select("id", F.explode(bands).alias("key"))
+    company = staged(rows.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("hub")).filter("m > 1"))
+    inside = staged(sieved(rows, company, ["key"]).filter("maybe").select("id", "key").join(company, "key"))
+    each = inside.select("key", F.col("id").alias("a"))
+    small = inside.filter(F.col("m") <= SMALL).join(each, "key").filter("a < id").select("a", F.col("id").alias("b"))
+    large = inside.filter((F.col("m") > SMALL) & (F.col("id") != F.col("hub")))
+    spokes = staged(alike(large.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), points))
+    far = large.join(spokes.filter(F.col("same") < LIKE * SLOTS).select(F.col("a").alias("hub"), F.col("b").alias("id")), ["hub", "id"], "left_semi")
+    rest = far.select("key", "id").join(each, "key").filter("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+    met = alike(small.union(rest).distinct(), points).union(spokes)
+    return met.filter(F.col("same") >= LIKE * SLOTS).select("a", "b")
+
+
 def near_documents(prints: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint) -> doc_id, class_id: fingerprints that share a band of sampled places are compared, and those
-    alike in LIKE of their places or more are linked; class_id is the smallest fingerprint reached. Equal fingerprints
-    are one point."""
-    points = prints.select(F.col("fingerprint").alias("f")).distinct()
-    bands = F.array(*[F.substring("f", 1 + k * PER_BAND, PER_BAND) for k in range(BANDS)])
-    band = points.select("f", F.posexplode(bands).alias("k", "band")).filter(F.col("band") != _PAD * PER_BAND)
-    met = band.join(band.select(F.col("f").alias("g"), "k", "band"), ["k", "band"]).filter("f < g").select("f", "g").distinct()
-    same = F.size(F.filter(F.arrays_zip(F.split("f", "").alias("x"), F.split("g", "").alias("y")), lambda p: p.x == p.y))
-    roots = components(met.filter(same >= LIKE * SLOTS).select(F.col("f").alias("a"), F.col("g").alias("b")))
-    return prints.join(roots, prints.fingerprint == roots.node, "left").select("doc_id", F.coalesce("root", "fingerprint").alias("class_id"))
+    """prints(doc_id, fingerprint, ...) with class_id: the smallest doc_id that near_links() reach, the row's own included
+    (null if there are null ids only). Equal fingerprints are one point. Repeated rows have their twin's class; an empty
+    table gives no rows."""
+    points = staged(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), salts_of("doc_id").alias("salts")).withColumn("id", F.monotonically_increasing_id()))
+    roots = components(near_links(points.select("id", "fingerprint")))
+    known = points.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
+    classes = known.join(known.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("size")), "root").filter("size > 1")
+    classes = staged(classes.select("fingerprint", "class_id", "salts"))
+    discard(points)
+    marked = sieved(prints, classes, ["fingerprint"])
+    met = marked.filter("maybe").withColumn("salt", salt_of("doc_id")).join(salted(classes.withColumn("linked", F.lit(True))), ["fingerprint", "salt"], "left")
+    class_id = F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("doc_id"))
+    alone = marked.filter(~F.col("maybe")).select(*prints.columns, F.col("doc_id").alias("class_id"))
+    return alone.union(met.withColumn("class_id", class_id).select(*prints.columns, "class_id"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(table(spark, sf_dir, "documents"))
+    return near_documents(fingerprints(table(spark, sf_dir, "documents")))
