@@ -19,9 +19,8 @@ from lorewell.llm.components import components
 
 #: Sampled places of the embedding, classes of characters, period of the walk's randomness.
 SLOTS, CLASSES, PERIOD = 128, 32, 1 << 16
-#: Banding: bands of so many sampled places each, the likeness that verification asks for, and the size up to which all
-#: pairs of a band are compared.
-BANDS, PER_BAND, LIKE, SMALL = 16, 8, 0.8, 32
+#: Banding: bands of so many sampled places each, and the likeness that verification asks for.
+BANDS, PER_BAND, LIKE = 16, 8, 0.8
 _SIGNS, _PAD = "0123456789abcdefghijklmnopqrstuv", "-"
 
 
@@ -177,25 +176,32 @@ def alike(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def near_links(points: DataFrame) -> DataFrame:
-    """(a, b): pairs of points(id, fingerprint), all fingerprints different, that share a band of sampled places and are
-    alike in LIKE of all places or more.
+    """(a, b): links between points(id, fingerprint), all fingerprints different. Two points that share a band of sampled
+    places and are alike in LIKE of all places or more are joined, by one link or by some; nothing else is.
 
-    Bands that stand alone go first (by a filter of fixed size, so few rows are joined). In a band of SMALL points or fewer
-    all pairs are compared. A larger one is compared with its smallest point; those alike are linked through it, and only
-    the others, which a band of near copies hardly has, are compared with every point of the band. No band is left out,
-    that of the padding neither. A pair at a likeness of 0.8 shares a band with a chance of 0.95, at 0.9 of 0.9999."""
+    Bands that stand alone go first (by a filter of fixed size, so few rows are joined). Each band is compared with its
+    smallest point; those alike are linked through it, and only the others, which a band of near copies hardly has, are
+    compared with every point of the band. No band is left out, that of the padding neither. A pair at a likeness of 0.8
+    shares a band with a chance of 0.95, at 0.9 of 0.9999."""
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("fingerprint", 1 + k * PER_BAND, PER_BAND)) for k in range(BANDS)])
     rows = points.select("id", F.explode(bands).alias("key"))
     company = staged(rows.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("hub")).filter("m > 1"))
     inside = staged(sieved(rows, company, ["key"]).filter("maybe").select("id", "key").join(company, "key"))
-    each = inside.select("key", F.col("id").alias("a"))
-    small = inside.filter(F.col("m") <= SMALL).join(each, "key").filter("a < id").select("a", F.col("id").alias("b"))
-    large = inside.filter((F.col("m") > SMALL) & (F.col("id") != F.col("hub")))
-    spokes = staged(alike(large.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), points))
-    far = large.join(spokes.filter(F.col("same") < LIKE * SLOTS).select(F.col("a").alias("hub"), F.col("b").alias("id")), ["hub", "id"], "left_semi")
-    rest = far.select("key", "id").join(each, "key").filter("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-    met = alike(small.union(rest).distinct(), points).union(spokes)
-    return met.filter(F.col("same") >= LIKE * SLOTS).select("a", "b")
+    spokes = staged(alike(inside.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), points))
+    off = spokes.filter(F.col("same") < LIKE * SLOTS).select(F.col("a").alias("hub"), F.col("b").alias("id"))
+    far = inside.join(off, ["hub", "id"], "left_semi").filter("m > 2").select("key", "id")
+    rest = far.join(inside.select("key", F.col("id").alias("a")), "key").filter("a <> id")
+    met = alike(rest.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), points)
+    near = F.col("same") >= LIKE * SLOTS
+    return _one_hub_each(spokes.filter(near)).union(met.filter(near).select("a", "b")).distinct()
+
+
+def _one_hub_each(spokes: DataFrame) -> DataFrame:
+    """Links(a: hub, b) from BANDS hubs at most to each point: the same classes with one link a point and those among hubs."""
+    each = spokes.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("hubs"))
+    other = F.transform(F.expr("slice(hubs, 2, size(hubs))"), lambda h: F.struct(F.get("hubs", 0).alias("a"), h.alias("b")))
+    link = F.explode(F.concat(F.array(F.struct(F.get("hubs", 0).alias("a"), F.col("b").alias("b"))), other))
+    return each.select(link.alias("x")).select("x.a", "x.b").distinct()
 
 
 def near_documents(prints: DataFrame) -> DataFrame:
