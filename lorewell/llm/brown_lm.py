@@ -215,6 +215,11 @@ def moves(left: np.ndarray, right: np.ndarray, own: np.ndarray, mine: np.ndarray
     return np.where((mine == last) | (gain[i, best] <= gain[i, held] + 1e-9), mine, best)
 
 
+def _coin(words: np.ndarray, toss: int) -> np.ndarray:
+    """0 or 1 for each word, by a hash of its place."""
+    return (words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40 + toss)) & np.uint64(1)
+
+
 def exchange(slices: DataFrame, held: int, end: int, k: int) -> tuple[np.ndarray, list[float]]:
     """(class of each held word, likelihoods): the words are dealt out by falling count. In each sweep half of them move at
     once, each to the class that raises the likelihood most if it moved alone. Should all of them together not raise it,
@@ -231,7 +236,7 @@ def exchange(slices: DataFrame, held: int, end: int, k: int) -> tuple[np.ndarray
                 for s, r, l in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):  # noqa: E741
                     right, own, mine, _ = _contexts(r.as_py(), "r", s, labels, k)
                     left = _contexts(l.as_py(), "l", s, labels, k)[0]
-                    turn = np.flatnonzero(np.arange(len(mine)) % 2 == sweep % 2)
+                    turn = np.flatnonzero(_coin(np.arange(len(mine)) * SLICES + s, 0) == sweep % 2)
                     new = moves(left[turn], right[turn], own[turn], mine[turn], seen)
                     yield _columns(w=pa.array(turn * SLICES + s, pa.int32()), k=pa.array(new, pa.int32()))
 
@@ -245,7 +250,8 @@ def exchange(slices: DataFrame, held: int, end: int, k: int) -> tuple[np.ndarray
                 found.append(likelihood(then))
                 break
             moved = np.flatnonzero(trial != labels)
-            trial[moved[(moved // SLICES >> back) % 2 == 0]] = labels[moved[(moved // SLICES >> back) % 2 == 0]]
+            moved = moved[_coin(moved, back + 1) == 0]
+            trial[moved] = labels[moved]
     return labels, found
 
 
