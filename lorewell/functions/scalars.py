@@ -193,19 +193,61 @@ def title_from_url(url: Column) -> Column:
     return F.when(last != "", last).otherwise(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#:]*)", 1))
 
 
-def title_from_text(text: Column) -> Column:
-    first = F.trim(F.get(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), 0))
-    return F.regexp_replace(first, "^# +", "")
+def title_from_text(text: Column, url: Column) -> Column:
+    """The first line that isn't blank: a heading without its mark, else what whole characters fit 80 bytes with '...' after; without such a
+    line the title of the URL."""
+    first = F.get(F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != ""), 0)
+    cut = F.concat(F.regexp_replace(F.make_valid_utf8(F.substring(first.cast("binary"), 1, 80).cast("string")), "\uFFFD$", ""), F.lit("..."))
+    heading = F.regexp_replace(F.substring(first, 3, 1 << 30), r"(?U)^\s+|\s+$", "")
+    return F.coalesce(F.when(F.startswith(first, F.lit("# ")), heading).when(F.octet_length(first) > 80, cut).otherwise(first), title_from_url(url))
+
+
+# Entities that titles hold; &amp; comes last, as it opens the others.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&#x27;": "'", "&#34;": '"', "&nbsp;": " ", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&copy;": "©", "&amp;": "&"}
 
 
 def html_title(html: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
+    """The text of the first title, its entities resolved and its white space collapsed."""
+    title = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    for name, value in ENTITIES.items():
+        title = F.replace(title, F.lit(name), F.lit(value))
+    return F.trim(F.regexp_replace(title, r"\s+", " "))
+
+
+# Media types that are read; every other text/ type is as well.
+MEDIA_TYPES = ["text/html", "application/xhtml+xml", "text/plain", "text/markdown", "text/x-markdown", "text/csv", "text/tab-separated-values", "application/json", "text/xml", "application/xml"]
+
+
+def content_type_supported(content_type: Column) -> Column:
+    """Whether the media type before any parameters is taken; null is not."""
+    kind = F.lower(F.trim(F.substring_index(content_type, ";", 1)))
+    return F.coalesce(kind.isin(MEDIA_TYPES) | F.startswith(kind, F.lit("text/")), F.lit(False))
 
 
 def redact_credentials(text: Column) -> Column:
-    """Passwords in URLs and after known keys are masked."""
-    s = F.regexp_replace(text, r"://([^:/@\s]+):([^@/\s]+)@", "://$1:******@")
-    return F.regexp_replace(s, r"(?i)\b(password|passwd|pwd|secret|token|api_key)(\s*[=:]\s*)[^\s&;,]+", "$1$2******")
+    """Passwords in URLs, and values after known keys up to white space, ; or &, are masked. A key may end a longer name."""
+    s = F.regexp_replace(text, r"://([^:/\s@]+):([^@/\s]+)@", "://$1:******@")
+    return F.regexp_replace(s, r"(?i)(password|passwd|pwd|secret|token|api_?key)\s*([=:])\s*([^;\s&]+)", "$1$2******")
+
+
+def encrypt_column(text: Column, key: Column) -> Column:
+    """AES-GCM with a nonce of its own for each value, as base64; the key has 16, 24 or 32 bytes."""
+    return F.base64(F.aes_encrypt(text, key, F.lit("GCM")))
+
+
+def decrypt_column(text: Column, key: Column) -> Column:
+    return F.aes_decrypt(F.unbase64(text), key, F.lit("GCM")).cast("string")
+
+
+def job_progress(done: Column, total: Column, start: int = 20, share: int = 75) -> Column:
+    """Percent of a job whose work proper takes `share` of it; a job without files is at its start."""
+    return F.when(total > 0, start + F.floor(done / total * share)).otherwise(start).cast("int")
+
+
+def chunk_key(id_: Column, path: Column, start: Column, end: Column, content_hash: Column, content: Column) -> Column:
+    """By what rankings know a chunk: its id, else path:start:end, else its hash, else its content, else its path."""
+    some = lambda c: F.nullif(c.cast("string"), F.lit(""))
+    return F.coalesce(some(id_), F.when((start > 0) | (end > 0), F.concat_ws(":", some(path), start, end)), some(content_hash), some(content), some(path))
 
 
 def is_sensitive_column(name: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lorewell.functions import scalars as S
 
@@ -49,3 +50,32 @@ def table_ddl_document(tree: DataFrame, database: str, engine: str) -> DataFrame
     text = F.concat(head, F.lit("CREATE "), F.upper("type"), F.lit(" "), full, F.lit(" (\n"), body, F.lit("\n);\n\n"), section("-- Indexes:\n", F.transform("indexes", index)), section("-- Relationships:\n", ties))
     out = tree.select(F.concat(F.lit("schema/"), F.concat_ws("/", "schema", "name"), F.lit(".sql")).alias("path"), F.lit("sql").alias("language"), text.alias("content"))
     return out.withColumn("content_hash", S.content_hash(F.col("content")))
+
+
+def numbered(rows: DataFrame, key: str, per: int = 100_000) -> DataFrame:
+    """rows with row_index from 0 in order of a numeric key: rows are ranked inside ranges of the key (quantiles, about `per`
+    rows each) and the counts of the ranges before are added, so no task orders the whole table."""
+    parts = max(1, rows.count() // per)
+    ends = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else []
+    part = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col(key))) if ends else F.lit(0)
+    rows = rows.withColumn("_part", part)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = rows.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy(key)
+    return rows.join(F.broadcast(offsets), "_part").withColumn("row_index", F.row_number().over(inside) - 1 + F.col("_before")).drop("_part", "_before")
+
+
+def row_batch_documents(rows: DataFrame, key: str, schema: str, table: str, database: str, engine: str, batch: int = 1000, most: int | None = None) -> DataFrame:
+    """path, language, content, content_hash, size_bytes of each batch of rows: a head of two lines and a blank one, then a
+    JSON object a row, names sorted, nulls kept. most: the first rows only, as for a sample of an external table."""
+    columns = sorted(rows.columns)
+    r = numbered(rows, key)
+    r = r.filter(F.col("row_index") < most) if most else r
+    line = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    lines = F.array_sort(F.collect_list(F.struct("row_index", line.alias("line"))))
+    out = r.groupBy((F.floor(F.col("row_index") / batch) + 1).alias("number")).agg(lines.alias("lines"))
+    number = F.col("number").cast("string")
+    head = F.concat(F.lit(f"-- Database Records: {schema}.{table} (Batch "), number, F.lit(f")\n-- Database: {database} | Engine: {engine} | Total Records: "), F.size("lines").cast("string"), F.lit("\n\n"))
+    text = F.concat(head, F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n"))
+    out = out.select(F.concat(F.lit(f"data/{schema}/{table}_batch_"), number, F.lit(".jsonl")).alias("path"), F.lit("json").alias("language"), text.alias("content"))
+    return out.select("*", S.content_hash(F.col("content")).alias("content_hash"), F.octet_length("content").cast("long").alias("size_bytes"))

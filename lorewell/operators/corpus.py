@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -67,12 +67,13 @@ def chunk_spans(lines: list[str], target: int, overlap: int, most: int, language
     return spans
 
 
-def sync_diff(existing: DataFrame, scanned: DataFrame) -> DataFrame:
-    """(project_id, file_path, content_hash) twice -> both hashes and change: added, modified, unchanged, deleted."""
-    e = existing.select("project_id", "file_path", F.col("content_hash").alias("old_hash"))
-    s = scanned.select("project_id", "file_path", F.col("content_hash").alias("new_hash"))
-    change = F.when(F.col("old_hash").isNull(), "added").when(F.col("new_hash").isNull(), "deleted").when(F.col("old_hash") != F.col("new_hash"), "modified").otherwise("unchanged")
-    return e.join(s, ["project_id", "file_path"], "full_outer").withColumn("change", change)
+def sync_diff(existing: DataFrame, scanned: DataFrame, key: tuple[str, ...] = ("project_id", "file_path")) -> DataFrame:
+    """(key, content_hash) twice -> both hashes and change: added, modified, unchanged, deleted. Add source_id to the key
+    where a project has several sources. A row with a null hash is there all the same; null equals null."""
+    there = lambda df, hash_, mark: df.select(*key, F.col("content_hash").alias(hash_), F.lit(True).alias(mark))
+    met = there(existing, "old_hash", "_old").join(there(scanned, "new_hash", "_new"), list(key), "full_outer")
+    change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "deleted").when(~F.col("old_hash").eqNullSafe(F.col("new_hash")), "modified").otherwise("unchanged")
+    return met.withColumn("change", change).drop("_old", "_new")
 
 
 def dedup_embeddings(chunks: DataFrame, cache: DataFrame) -> DataFrame:
@@ -81,11 +82,31 @@ def dedup_embeddings(chunks: DataFrame, cache: DataFrame) -> DataFrame:
     return chunks.join(known, ["project_id", "content_hash"], "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
 
 
+def rejected(rows: DataFrame, required: list[str]) -> Column:
+    """Whether a row lacks a required value: null, or an empty array. Keep such rows apart before upsert()."""
+    lacks = F.lit(False)
+    for c in required:
+        lacks = lacks | F.col(c).isNull() | (F.size(c) == 0 if dict(rows.dtypes)[c].startswith("array") else F.lit(False))
+    return F.coalesce(lacks, F.lit(True))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str], changed: list[str]) -> DataFrame:
-    """Rows of new over rows of old by key: the changed columns are overwritten, the others keep their old value."""
-    n = new.select(*key, F.lit(True).alias("_new"), *[F.col(c).alias(f"_new_{c}") for c in new.columns if c not in key])
-    pick = [F.coalesce(f"_new_{c}", c).alias(c) if c in changed else F.coalesce(c, f"_new_{c}").alias(c) for c in old.columns if c not in key]
-    return old.join(n, key, "full_outer").select(*key, *pick)
+    """Rows of new over rows of old by key: the changed columns are overwritten, by nulls too, the others keep their old
+    value. Of rows of new with the same key one stays (that of the largest hash of all its values). Rows of new with a null
+    in the key are rejected (see rejected()), and rows of old are returned as often as given."""
+    rest = [c for c in new.columns if c not in key]
+    row = F.struct(F.lit(True).alias("_"), *rest)
+    n = new.filter(~rejected(new, key)).groupBy(*key).agg(F.max_by(row, F.xxhash64(*(rest or key))).alias("_new"))
+    o = old.withColumn("_old", F.lit(True))
+    pick = [F.when(F.col("_new").isNotNull() & (F.col("_old").isNull() | F.lit(c in changed)), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in old.columns if c not in key]
+    return o.join(n, key, "full_outer").select(*key, *pick)
+
+
+def update_source_status(sources: DataFrame, new: DataFrame) -> DataFrame:
+    """sources and new(source, status, last_commit, synced_at): the new status; commit and time only where they are given."""
+    n = new.select("source", *[F.col(c).alias(f"_{c}") for c in ("status", "last_commit", "synced_at")])
+    pick = {"status": F.coalesce("_status", "status"), "last_commit": F.coalesce(F.nullif("_last_commit", F.lit("")), "last_commit"), "synced_at": F.coalesce("_synced_at", "synced_at")}
+    return sources.join(n, "source", "left").select(*[pick.get(c, F.col(c)).alias(c) for c in sources.columns])
 
 
 def delete_rows(rows: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
@@ -111,14 +132,27 @@ def rrf(rankings: DataFrame, k: int = 60) -> DataFrame:
     return best.groupBy("query_id", "key").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
 
 
-def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
+def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, k: int = 5, least: float = 0.0, filters: list[str] | None = None) -> DataFrame:
     """queries(query_id, project_id, query, query_vector), chunks(project_id, id, vector, content, file_path): the vector
-    pool of max(4k, 20) is scored by its words and both rankings are fused. Blank queries return nothing."""
+    pool of max(4k, 20), less what is below `least` where that is above 0, is scored by its words; both rankings are fused
+    by rrf(), and of what the file filters let through the best k stay. Blank queries return nothing."""
     k = k if k > 0 else 5
     q = queries.filter(S.non_blank(F.col("query"))).withColumn("query", F.trim("query"))
-    pool = vector_topk(q, chunks, max(4 * k, 20)).withColumn("lexical", S.lexical_score(F.col("query"), F.col("content"), F.col("file_path")))
+    pool = vector_topk(q, chunks, max(4 * k, 20))
+    if least > 0:
+        pool = pool.filter(F.col("similarity") >= least)
+    pool = pool.withColumn("lexical", F.round(S.lexical_score(F.col("query"), F.col("content"), F.col("file_path")), 9))
     order = Window.partitionBy("query_id").orderBy(F.desc("lexical"), "rank")
     pool = pool.withColumn("lexical_rank", F.when(F.col("lexical") > 0, F.row_number().over(order)))
-    score = 1.0 / (60 + F.col("rank")) + F.coalesce(1.0 / (60 + F.col("lexical_rank")), F.lit(0.0))
+    fused = rrf(rankings_union(pool)).select("query_id", F.col("key").alias("id"), "score")
+    pool = pool.join(fused, ["query_id", "id"])
+    if filters:
+        pool = pool.filter(S.file_filter(F.col("file_path"), filters))
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("similarity"), "id")
-    return pool.withColumn("score", score).withColumn("place", F.row_number().over(last)).filter(F.col("place") <= k)
+    return pool.withColumn("place", F.row_number().over(last)).filter(F.col("place") <= k)
+
+
+def rankings_union(pool: DataFrame) -> DataFrame:
+    """(query_id, key, ranking, rank): the ranking by vectors, and that by words of the rows that have one."""
+    both = F.array(F.struct(F.lit(1).alias("ranking"), F.col("rank")), F.struct(F.lit(2).alias("ranking"), F.col("lexical_rank").alias("rank")))
+    return pool.select("query_id", F.col("id").alias("key"), F.explode(both).alias("x")).select("query_id", "key", "x.ranking", "x.rank").filter("rank is not null")

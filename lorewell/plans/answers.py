@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -142,9 +144,8 @@ def _(s, sf):
 @_query("update_source_status", "SELECT source, CASE WHEN max(doc_id) % 2 = 0 THEN 'synced' ELSE 'idle' END AS status, CASE WHEN max(doc_id) % 4 = 0 THEN 'c2' ELSE 'c1' END AS last_commit FROM documents GROUP BY source")
 def _(s, sf):
     have = _read(s, sf, "documents").groupBy("source").agg(F.max("doc_id").alias("top")).withColumn("status", F.lit("idle")).withColumn("last_commit", F.lit("c1"))
-    new = have.filter("top % 2 = 0").select("source", F.lit("synced").alias("status"), F.when(F.col("top") % 4 == 0, "c2").otherwise("").alias("last_commit"))
-    new = new.withColumn("last_commit", F.nullif("last_commit", F.lit("")))
-    return corpus.upsert(have.drop("top"), new, ["source"], ["status", "last_commit"])
+    new = have.filter("top % 2 = 0").select("source", F.lit("synced").alias("status"), F.when(F.col("top") % 4 == 0, "c2").otherwise("").alias("last_commit"), F.lit(None).cast("timestamp").alias("synced_at"))
+    return corpus.update_source_status(have.withColumn("synced_at", F.lit(None).cast("timestamp")), new).select("source", "status", "last_commit")
 
 
 @_query("append_message", "SELECT conv_id, CAST(count(*) + 1 AS BIGINT) AS messages, max(turn) + 1 AS last_turn FROM conversations GROUP BY conv_id")
@@ -180,9 +181,11 @@ def _(s, sf):
 _scalar("row_json", "customer", "c_custkey", lambda: F.to_json(F.struct("c_custkey", "c_mktsegment", "c_name", "c_nationkey"), {"ignoreNullFields": "false"}), "CAST(json_object('c_custkey', c_custkey, 'c_mktsegment', c_mktsegment, 'c_name', c_name, 'c_nationkey', c_nationkey) AS VARCHAR)")
 _scalar("url_is_safe", "pages", "page_id", lambda: S.url_is_safe(F.col("url")), r"regexp_matches(lower(url), '^https?://[^/?#:]+') AND NOT regexp_matches(lower(url), '^https?://(localhost|[^/?#:]*\.(local|internal|localhost)|(10|127|0)\.[0-9.]+)([/?#:]|$)')")
 _scalar("is_binary", "documents", "doc_id", lambda: S.is_binary(F.col("text")), "contains(left(text, 8000), chr(0))")
-_scalar("title_from_text", "benchmark", "item_id", lambda: S.title_from_text(F.col("text")), "regexp_replace(trim(regexp_extract(text, '[^\\n]*\\S[^\\n]*')), '^# +', '')")
+_FIRST = "trim(regexp_extract(text, '[^\\n]*\\S[^\\n]*'))"
+_scalar("title_from_text", "benchmark", "item_id", lambda: S.title_from_text(F.col("text"), F.lit("https://a.example/x.md")), f"CASE WHEN {_FIRST} = '' THEN 'x' WHEN starts_with({_FIRST}, '# ') THEN trim(substr({_FIRST}, 3)) WHEN octet_length(encode({_FIRST})) > 80 THEN left({_FIRST}, list_max(list_filter(range(1, 81), lambda i: octet_length(encode(left({_FIRST}, i))) <= 80))) || '...' ELSE {_FIRST} END")
 _scalar("markdown_cell", "documents", "doc_id", lambda: F.sha2(S.markdown_cell(F.col("text")), 256), "sha256(trim(regexp_replace(replace(text, '|', '\\|'), '\\r\\n|\\n|\\r', ' ', 'g')))")
-_scalar("encrypt_column", "pages", "page_id", lambda: F.aes_decrypt(F.aes_encrypt("url", F.lit("0123456789abcdef0123456789abcdef")), F.lit("0123456789abcdef0123456789abcdef")).cast("string"), "url")
+_KEY = secrets.token_hex(16)
+_scalar("encrypt_column", "pages", "page_id", lambda: S.decrypt_column(S.encrypt_column(F.col("url"), F.lit(_KEY)), F.lit(_KEY)), "url")
 _scalar("repo_slug", "pages", "page_id", lambda: S.repo_slug(F.lit(""), F.regexp_extract("url", r"//([^?#]*)", 1)), r"nullif(regexp_extract(regexp_extract(url, '//([^?#]*)', 1), '^([^/\s]+/[^/\s#]+)$', 1), '')")
 
 
@@ -195,3 +198,64 @@ def _(s, sf):
 @_query("embed_chunks")
 def _(s, sf):
     return vectors.embed_chunks(_chunks(s, sf), vectors.hash_embedding).select("doc_id", "chunk_index", "content_hash", S.vector_literal(F.col("vector")).alias("vector"))
+
+
+@_query("similarity_min", f"{SIMS} SELECT query_id, id, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 20 AND round(sim, 9) >= 0.2")
+def _(s, sf):
+    return corpus.vector_topk(*_retrieval(s, sf), k=20).filter(F.round("similarity", 9) >= 0.2).select("query_id", "id", "rank")
+
+
+_FUSED = HYBRID.rpartition(",\nbest AS")[0]
+
+
+@_query("filtered_retrieve", f"{_FUSED}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sim DESC, id) AS place FROM fused WHERE id % 2 = 1) SELECT query_id, id, CAST(place AS INT) AS place FROM best WHERE place <= 5")
+def _(s, sf):
+    return corpus.hybrid_retrieve(*_retrieval(s, sf), filters=["*1.md", "*3.md", "*5.md", "*7.md", "*9.md"]).select("query_id", "id", "place")
+
+
+@_query("job_progress", "SELECT source, CAST(20 + floor(count_if(doc_id % 11 <> 0)::DOUBLE / count(*) * 75) AS INT) AS percent FROM documents GROUP BY source")
+def _(s, sf):
+    n = _read(s, sf, "documents").groupBy("source").agg(F.count_if(F.col("doc_id") % 11 != 0).alias("done"), F.count("*").alias("total"))
+    return n.select("source", S.job_progress(F.col("done"), F.col("total")).alias("percent"))
+
+
+@_query("answer_usage", f"SELECT conv_id, CAST(sum({TOKENS.replace('content', 'text')}) AS BIGINT) AS tokens, CAST(count(*) AS BIGINT) AS answers FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
+def _(s, sf):
+    c = _read(s, sf, "conversations").filter("role = 'assistant'")
+    return c.groupBy("conv_id").agg(F.sum(S.estimate_tokens(F.col("text"))).alias("tokens"), F.count("*").alias("answers"))
+
+
+@_query("list_projects", "SELECT source, min(doc_id) AS created FROM documents GROUP BY source ORDER BY created DESC, source LIMIT 20")
+def _(s, sf):
+    return _read(s, sf, "documents").groupBy("source").agg(F.min("doc_id").alias("created")).orderBy(F.desc("created"), "source").limit(20)
+
+
+@_query("list_sources", "SELECT source, min(doc_id) AS created FROM documents GROUP BY source")
+def _(s, sf):
+    return _read(s, sf, "documents").groupBy("source").agg(F.min("doc_id").alias("created")).orderBy("created", "source")
+
+
+@_query("list_jobs", "SELECT user_id, max(ts) AS last_at FROM events GROUP BY user_id ORDER BY last_at DESC, user_id LIMIT 20")
+def _(s, sf):
+    return _read(s, sf, "events").groupBy("user_id").agg(F.max("ts").alias("last_at")).orderBy(F.desc("last_at"), "user_id").limit(20)
+
+
+@_query("project_search", "SELECT source, CAST(count(*) AS BIGINT) AS documents FROM documents WHERE contains(lower(source), 'c1') OR contains(lower(lang), 'c1') GROUP BY source")
+def _(s, sf):
+    met = F.lower("source").contains("c1") | F.lower("lang").contains("c1")
+    return _read(s, sf, "documents").filter(met).groupBy("source").agg(F.count("*").alias("documents"))
+
+
+@_query("chunk_key", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CAST(doc_id AS VARCHAR) WHEN 1 THEN source || ':1:' || (doc_id % 9 + 1) WHEN 2 THEN sha256(text) ELSE source END AS chunk_key FROM documents")
+def _(s, sf):
+    d, n = _read(s, sf, "documents"), F.col("doc_id") % 4
+    line = lambda c: F.when(n == 1, c)
+    key = S.chunk_key(F.when(n == 0, F.col("doc_id")), F.col("source"), line(F.lit(1)), line((F.col("doc_id") % 9 + 1).cast("int")), F.when(n == 2, S.content_hash(F.col("text"))), F.lit(None).cast("string"))
+    return d.select("doc_id", key.alias("chunk_key"))
+
+
+@_query("all_chunks", f"{CH} SELECT doc_id, chunk_index FROM ch")
+def _(s, sf):
+    d = _chunks(s, sf).join(_read(s, sf, "documents").select("doc_id", F.col("source").alias("project_id")), "doc_id")
+    c = corpus.dedup_embeddings(d, d.filter("doc_id % 2 = 0"))
+    return c.filter(~F.col("cached")).unionByName(c.filter("cached")).select("doc_id", "chunk_index")

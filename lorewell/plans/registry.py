@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorewell.functions import scalars as S
-from lorewell.operators import corpus
+from lorewell.operators import catalog, corpus
 
 _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -39,15 +39,19 @@ def _scalar(name: str, tbl: str, key: str, made, sql: str, col: str = "value") -
     _query(name, f"SELECT {key}, {sql} AS {col} FROM {tbl}")(lambda s, sf: _read(s, sf, tbl).select(key, made().alias(col)))
 
 
+_unescaped = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+for _name, _value in S.ENTITIES.items():
+    _unescaped = "replace({}, '{}', '{}')".format(_unescaped, _name, _value.replace("'", "''"))
 _scalar("content_hash", "documents", "doc_id", lambda: S.content_hash(F.col("text")), "sha256(text)")
 _scalar("estimate_tokens", "documents", "doc_id", lambda: S.estimate_tokens(F.col("text")).cast("long"), r"CAST(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, floor(len(regexp_extract_all(text, '[^\s\x{85}\x{A0}\p{Z}\x{0B}]+')) * 1.3::DOUBLE)) END AS BIGINT)")
 _scalar("normalize_newlines", "documents", "doc_id", lambda: F.sha2(S.normalize_newlines(F.col("text")), 256), r"sha256(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n$', ''))")
 _scalar("slugify_title", "benchmark", "item_id", lambda: S.slugify_title(F.col("text")), r"CASE WHEN rtrim(left(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 50), '-') = '' THEN 'untitled' ELSE rtrim(left(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 50), '-') END")
-_scalar("html_title", "pages", "page_id", lambda: S.html_title(F.col("html")), r"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'))")
+_scalar("html_title", "pages", "page_id", lambda: S.html_title(F.col("html")), rf"trim(regexp_replace({_unescaped}, '\s+', ' ', 'g'))")
 _scalar("title_from_url", "pages", "page_id", lambda: S.title_from_url(F.col("url")), r"CASE WHEN regexp_replace(regexp_extract(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '([^/]+)/*$', 1), '\.[^.]*$', '') <> '' THEN regexp_replace(regexp_extract(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '([^/]+)/*$', 1), '\.[^.]*$', '') ELSE regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1) END")
-_scalar("redact_credentials", "documents", "doc_id", lambda: F.sha2(S.redact_credentials(F.col("text")), 256), r"sha256(regexp_replace(regexp_replace(text, '://([^:/@\s]+):([^@/\s]+)@', '://\1:******@', 'g'), '(?i)\b(password|passwd|pwd|secret|token|api_key)(\s*[=:]\s*)[^\s&;,]+', '\1\2******', 'g'))")
+_scalar("redact_credentials", "documents", "doc_id", lambda: F.sha2(S.redact_credentials(F.col("text")), 256), r"sha256(regexp_replace(regexp_replace(text, '://([^:/\s@]+):([^@/\s]+)@', '://\1:******@', 'g'), '(?i)(password|passwd|pwd|secret|token|api_?key)\s*([=:])\s*([^;\s&]+)', '\1\2******', 'g'))")
 _scalar("query_terms", "benchmark", "item_id", lambda: F.array_join(S.query_terms(F.col("text")), " "), "array_to_string(regexp_extract_all(lower(text), '[a-z0-9_]+'), ' ')")
-_scalar("content_type_supported", "pages", "page_id", lambda: F.regexp_like(F.col("html"), F.lit("(?i)^<!doctype html")), "regexp_matches(html, '(?i)^<!doctype html')")
+_KINDS = ["text/html; charset=utf-8", "Application/JSON", "image/png", "text/x-anything", "application/pdf", " application/xml "]
+_scalar("content_type_supported", "pages", "page_id", lambda: S.content_type_supported(F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("page_id") % 6 + 1).cast("int"))), "page_id % 6 NOT IN (2, 4)")
 
 
 @_query("detect_language", f"WITH {DOCS} SELECT doc_id, 'markdown' AS value FROM docs")
@@ -227,12 +231,12 @@ def _(s, sf):
     return corpus.hybrid_retrieve(*_retrieval(s, sf)).select("query_id", "id", "place", F.round("score", 6).alias("score"), F.round("similarity", 6).alias("similarity"))
 
 
-@_query("row_batch_documents", "WITH r AS (SELECT *, (row_number() OVER (ORDER BY c_custkey) - 1) // 1000 AS batch FROM customer) SELECT CAST(batch AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS row_count, sha256(string_agg(c_custkey || ':' || c_name, chr(10) ORDER BY c_custkey)) AS body FROM r GROUP BY batch")
+@_query("row_batch_documents", """WITH r AS (SELECT *, (row_number() OVER (ORDER BY c_custkey) - 1) // 1000 + 1 AS n FROM customer),
+b AS (SELECT n, count(*) AS c, string_agg('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}', chr(10) ORDER BY c_custkey) AS body FROM r GROUP BY n)
+SELECT 'data/public/customer_batch_' || n || '.jsonl' AS path, sha256('-- Database Records: public.customer (Batch ' || n || ')' || chr(10) || '-- Database: shop | Engine: postgres | Total Records: ' || c || chr(10) || chr(10) || body || chr(10)) AS content_hash FROM b""")
 def _(s, sf):
-    c = _read(s, sf, "customer").select("c_custkey", "c_name")
-    c = c.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("c_custkey")) - 1) / 1000))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: F.concat(x["c_custkey"].cast("string"), F.lit(":"), x["c_name"])), "\n")
-    return c.groupBy("batch").agg(F.count("*").alias("row_count"), F.sha2(body, 256).alias("body"))
+    c = _read(s, sf, "customer").select("c_custkey", "c_mktsegment", "c_name", "c_nationkey")
+    return catalog.row_batch_documents(c, "c_custkey", "public", "customer", "shop", "postgres").select("path", "content_hash")
 
 
 @_query("dedup_sync_requests", "SELECT event_id, before IS NULL OR epoch_us(ts) - epoch_us(before) > 300000000 AS accepted FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events)")

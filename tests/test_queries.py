@@ -7,7 +7,10 @@ import duckdb
 import pytest
 
 from lorewell import plans
-from lorewell.operators.corpus import chunk_spans, rrf, sync_diff
+from lorewell.functions import scalars as S
+from lorewell.operators import catalog
+from lorewell.operators.corpus import chunk_spans, hybrid_retrieve, rejected, rrf, sync_diff, update_source_status, upsert
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +50,54 @@ def test_sync_diff(spark):
     make = lambda *x: spark.createDataFrame([("p", *r) for r in x], "project_id string, file_path string, content_hash string")
     got = sync_diff(make(("main.go", "1"), ("utils.go", "1"), ("old.go", "1")), make(("main.go", "1"), ("utils.go", "2"), ("new.go", "1")))
     assert {r.file_path: r.change for r in got.collect()} == {"main.go": "unchanged", "utils.go": "modified", "old.go": "deleted", "new.go": "added"}
+
+
+def test_sync_diff_with_null_hashes(spark):
+    make = lambda *x: spark.createDataFrame([("p", *r) for r in x], "project_id string, file_path string, content_hash string")
+    got = sync_diff(make(("a", None), ("b", None), ("c", "1")), make(("a", None), ("b", "1"), ("d", None)))
+    assert {r.file_path: r.change for r in got.collect()} == {"a": "unchanged", "b": "modified", "c": "deleted", "d": "added"}
+
+
+def test_upsert(spark):
+    kind = "k int, v string, made int"
+    old = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (3, None, None)], kind)
+    new = spark.createDataFrame([(2, None, 9), (3, "c", 9), (3, "c", 9), (4, "d", 9), (None, "x", 9)], kind)
+    assert sorted(map(tuple, upsert(old, new, ["k"], ["v"]).collect())) == [(1, "a", 1), (2, None, 1), (3, "c", None), (4, "d", 9)]
+    rows = spark.createDataFrame([(1, [0.1]), (2, []), (3, None), (None, [0.1])], "k int, e array<float>")
+    assert [r.k for r in rows.filter(~rejected(rows, ["k", "e"])).collect()] == [1]
+
+
+def test_update_source_status(spark):
+    kind = "source string, status string, last_commit string, synced_at timestamp"
+    old, new = spark.createDataFrame([("a", "idle", "c1", None), ("b", "idle", "c1", None)], kind), spark.createDataFrame([("a", "synced", "", None)], kind)
+    assert {r.source: (r.status, r.last_commit) for r in update_source_status(old, new).collect()} == {"a": ("synced", "c1"), "b": ("idle", "c1")}
+
+
+def one(spark, make, *values):
+    return [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").orderBy("i").select(make(F.col("v"))).collect()]
+
+
+def test_scalars_by_hand(spark):
+    assert one(spark, S.redact_credentials, "Password = TopSecret x", "DB_PASSWORD=hunter2", "apikey: abc", "password=a,b;c", "postgres://admin:secret12345@h/d", "token=a&b=c") == ["Password=****** x", "DB_PASSWORD=******", "apikey:******", "password=******;c", "postgres://admin:******@h/d", "token=******&b=c"]
+    assert one(spark, S.html_title, "<title>a &amp; b &lt;c&gt;\n d</title>", "<p>x</p>") == ["a & b <c> d", ""]
+    assert one(spark, lambda c: S.title_from_text(c, F.lit("https://h.example/docs/page.html")), "\n  # Head \nx", "y" * 200, "\n \n", "short") == ["Head", "y" * 80 + "...", "page", "short"]
+    assert one(spark, S.content_type_supported, "text/html; charset=utf-8", "Application/JSON", "image/png", "text/odd", None, "application/pdf") == [True, True, False, True, False, False]
+    key = F.lit("k" * 32)
+    assert one(spark, lambda c: S.decrypt_column(S.encrypt_column(c, key), key), "postgres://u:p@h/d", "", None) == ["postgres://u:p@h/d", "", None]
+    assert one(spark, lambda c: S.encrypt_column(c, key), "same", "same")[0] != "same" and len(set(one(spark, lambda c: S.encrypt_column(c, key), "same", "same"))) == 2
+
+
+def test_row_batches(spark):
+    rows = spark.createDataFrame([(i, f"n{i}", None) for i in range(25)], "id int, name string, price double")
+    got = {r.path: r for r in catalog.row_batch_documents(rows, "id", "public", "products", "shop", "postgres", batch=10).collect()}
+    assert sorted(got) == [f"data/public/products_batch_{k}.jsonl" for k in (1, 2, 3)]
+    first = got["data/public/products_batch_1.jsonl"].content.split("\n")
+    assert first[:4] == ["-- Database Records: public.products (Batch 1)", "-- Database: shop | Engine: postgres | Total Records: 10", "", '{"id":0,"name":"n0","price":null}'] and len(first) == 14
+    assert [r.row_index for r in catalog.numbered(rows, "id", per=4).orderBy("id").collect()] == list(range(25))
+
+
+def test_retrieval_filters(spark):
+    q = spark.createDataFrame([(1, "p", "find me", [1.0, 0.0])], "query_id int, project_id string, query string, query_vector array<double>")
+    c = spark.createDataFrame([("p", 1, [1.0, 0.0], "find me here", "a/x.go"), ("p", 2, [0.0, 1.0], "other", "b/y.go"), ("o", 3, [1.0, 0.0], "find me", "a/z.go")], "project_id string, id int, vector array<double>, content string, file_path string")
+    assert [r.id for r in hybrid_retrieve(q, c).orderBy("place").collect()] == [1, 2]
+    assert [r.id for r in hybrid_retrieve(q, c, least=0.5).collect()] == [1] and [r.id for r in hybrid_retrieve(q, c, filters=["b/"]).collect()] == [2]
