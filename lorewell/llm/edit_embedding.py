@@ -5,12 +5,12 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -171,33 +171,71 @@ def alike(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """pairs(a, b, ...) of points(id, fingerprint) with same: in how many sampled places they are equal."""
     named = lambda n, to: points.select(F.col("id").alias(n), F.col("fingerprint").alias(to))
     met = pairs.join(named("a", "f"), "a").join(named("b", "g"), "b")
-    equal = F.filter(F.arrays_zip(F.split("f", "").alias("x"), F.split("g", "").alias("y")), lambda p: p["x"] == p["y"])
-    return met.withColumn("same", F.size(equal)).drop("f", "g")
+    return met.withColumn("same", same_places("f", "g")).drop("f", "g")
+
+
+def same_places(f: str, g: str) -> Column:
+    return F.size(F.filter(F.arrays_zip(F.split(f, "").alias("x"), F.split(g, "").alias("y")), lambda p: p["x"] == p["y"]))
 
 
 def near_links(points: DataFrame) -> DataFrame:
     """(a, b): links between points(id, fingerprint), all fingerprints different. Two points that share a band of sampled
     places and are alike in LIKE of all places or more are joined, by one link or by some; nothing else is.
 
-    Bands that stand alone go first (by a filter of fixed size, so few rows are joined). Each band is compared with its
-    smallest point; those alike are linked through it. Only the others are compared with the band's points that aren't
-    joined with them yet, and what they join are the classes found so far. No band is left out, that of the padding neither. A pair at a likeness of 0.8
-    shares a band with a chance of 0.95, at 0.9 of 0.9999."""
+    Bands that stand alone go first (by a filter of fixed size, so few rows are joined). Then in turns: each band that still
+    holds points of several classes names one point of its largest class, and only the points of its other classes are
+    compared with that one; what is alike joins the classes. A turn makes one comparison a point and band at most, and bands
+    of one class are done. Once a turn no longer halves what is left, the points outside a band's largest class are compared
+    with those of its other classes, where they meet: no pair but the alike is kept. No band is left out, that of the padding
+    neither. A pair at a likeness of 0.8 shares a band with a chance of 0.95, at 0.9 of 0.9999."""
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("fingerprint", 1 + k * PER_BAND, PER_BAND)) for k in range(BANDS)])
     rows = points.select("id", F.explode(bands).alias("key"))
-    company = staged(rows.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("hub")).filter("m > 1"))
-    inside = staged(sieved(rows, company, ["key"]).filter("maybe").select("id", "key").join(company, "key"))
-    spokes = staged(alike(inside.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), points))
-    off = spokes.filter(F.col("same") < LIKE * SLOTS).select(F.col("a").alias("hub"), F.col("b").alias("id"))
-    far = inside.join(off, ["hub", "id"], "left_semi").filter("m > 2").select("key", "id")
-    near = F.col("same") >= LIKE * SLOTS
-    joined = staged(_one_hub_each(spokes.filter(near)))
-    roots = staged(components(joined))
-    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    rest = far.select("key", F.col("id").alias("a")).join(inside.select("key", F.col("id").alias("b")), "key").select("a", "b").filter("a <> b").distinct()
-    rest = rest.join(root("a"), "a", "left").join(root("b"), "b", "left").withColumns({f"root_{c}": F.coalesce(f"root_{c}", c) for c in "ab"})
-    met = alike(rest.filter("root_a <> root_b"), points).filter(near).select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b"))
-    return joined.union(met).distinct()
+    company = staged(rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"))
+    members = sieved(rows, company, ["key"]).filter("maybe").join(company, "key", "left_semi")
+    members = staged(members.select("key", "id", F.col("id").alias("root")))
+    discard(company)
+    links, turn, before = [], 0, float("inf")
+    while True:
+        inside, left = _open_bands(members, turn)
+        discard(members)
+        last = left["pairs"] <= left["members"] or left["pairs"] > before / 2
+        near = _across(inside, points) if last else _to_hubs(inside, points)
+        met = staged(_one_hub_each(near.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct()))
+        links.append(met)
+        if last:
+            discard(inside)
+            return reduce(DataFrame.union, links)
+        roots = components(met).select(F.col("node").alias("root"), F.col("root").alias("now"))
+        members = staged(inside.join(roots, "root", "left").select("key", "id", F.coalesce("now", "root").alias("root")))
+        discard(inside)
+        turn, before = turn + 1, left["pairs"]
+
+
+def _open_bands(members: DataFrame, turn: int) -> tuple[DataFrame, dict]:
+    """members(key, id, root) of the bands with several classes, with top (the largest class) and hub (a point of it, another
+    each turn), and what is left: members, and the pairs that _across() would compare at most."""
+    each = members.groupBy("key", "root").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("hub"))
+    bands = each.groupBy("key").agg(F.max(F.struct("n", "root", "hub")).alias("x"), F.count("*").alias("classes"), F.sum("n").alias("m"))
+    bands = staged(bands.filter("classes > 1").select("key", F.col("x.root").alias("top"), "x.hub", "m", (F.col("m") - F.col("x.n")).alias("others")))
+    pairs = F.sum(F.col("m").cast("double") * F.col("others"))
+    left = bands.agg(F.coalesce(pairs, F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("m"), F.lit(0)).alias("members")).first().asDict()
+    inside = staged(members.join(bands.drop("m", "others"), "key"))
+    discard(bands)
+    return inside, left
+
+
+def _to_hubs(inside: DataFrame, points: DataFrame) -> DataFrame:
+    """The points of a band's other classes that are alike to the hub of its largest one."""
+    asked = inside.filter("root <> top").select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("top").alias("root_a"), F.col("root").alias("root_b"))
+    return alike(asked.distinct(), points).filter(F.col("same") >= LIKE * SLOTS)
+
+
+def _across(inside: DataFrame, points: DataFrame) -> DataFrame:
+    """Alike points of a band whose classes differ; one of them at least is outside the largest class."""
+    rows = inside.join(points, "id").withColumn("in_top", F.col("root") == F.col("top"))
+    side = lambda c: rows.select("key", *[F.col(x).alias(f"{x}_{c}") for x in ("id", "root", "in_top", "fingerprint")])
+    met = side("a").filter("not in_top_a").join(side("b"), "key").filter("root_a <> root_b and (in_top_b or id_a < id_b)")
+    return met.filter(same_places("fingerprint_a", "fingerprint_b") >= LIKE * SLOTS)
 
 
 def _one_hub_each(spokes: DataFrame) -> DataFrame:

@@ -318,12 +318,23 @@ def test_near_classes_against_all_pairs(spark, docs):
     prints = edit_embedding.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
     got = edit_embedding.near_documents(prints).collect()
     assert len(got) == len(rows) and edit_embedding.near_documents(prints.limit(0)).count() == 0
-    fps, met, found = sorted({r.fingerprint for r in got}), 0, 0
+    fps, met, found, linked = sorted({r.fingerprint for r in got}), 0, 0, {}
     of = {r.fingerprint: r.class_id for r in got}
     for i, a in enumerate(fps):
         for b in fps[i + 1 :]:
             if edit_embedding.likeness(a, b) >= 0.8:
                 met, found = met + 1, found + (of[a] == of[b])
+                if any(a[k : k + edit_embedding.PER_BAND] == b[k : k + edit_embedding.PER_BAND] for k in range(0, edit_embedding.SLOTS, edit_embedding.PER_BAND)):
+                    assert of[a] == of[b]
+                    linked.setdefault(a, set()).add(b)
+                    linked.setdefault(b, set()).add(a)
+    for a in fps:  # and no class holds more than what those links reach
+        reached, at = {a}, [a]
+        while at:
+            new = linked.get(at.pop(), set()) - reached
+            reached |= new
+            at += new
+        assert {b for b in fps if of[b] == of[a]} == reached
     assert met > 100 and found >= 0.9 * met
     ids = {r.doc_id: r.class_id for r in got}
     assert ids[9002] == ids[9003] == 9002 and ids[9000] == ids[9001] == 9000
