@@ -206,7 +206,9 @@ def near_links(points: DataFrame) -> DataFrame:
             discard(inside)
             return reduce(DataFrame.union, links)
         roots = components(met).select(F.col("node").alias("root"), F.col("root").alias("now"))
-        members = staged(inside.join(roots, "root", "left").select("key", "id", F.coalesce("now", "root").alias("root")))
+        roots = salted(inside.groupBy("root").agg(salts_of("id").alias("salts")).join(roots, "root"))  # a class may hold a third of all points
+        members = inside.withColumn("salt", salt_of("id")).join(roots, ["root", "salt"], "left")
+        members = staged(members.select("key", "id", F.coalesce("now", "root").alias("root")))
         discard(inside)
         turn, before = turn + 1, left["pairs"]
 
@@ -253,7 +255,8 @@ def near_documents(prints: DataFrame) -> DataFrame:
     points = staged(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), salts_of("doc_id").alias("salts")).withColumn("id", F.monotonically_increasing_id()))
     roots = components(near_links(points.select("id", "fingerprint")))
     known = points.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
-    classes = known.join(known.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("size")), "root").filter("size > 1")
+    whole = known.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("size"), salts_of("id").alias("salts")).filter("size > 1")
+    classes = known.withColumn("salt", salt_of("id")).join(salted(whole), ["root", "salt"])
     classes = staged(classes.select("fingerprint", "class_id", "salts"))
     discard(points)
     marked = sieved(prints, classes, ["fingerprint"])
