@@ -15,6 +15,40 @@ def drop_sensitive_columns(columns: DataFrame, excluded: list[str], auto: bool =
     return out.filter(~(F.coalesce("is_sensitive", F.lit(False)) | S.is_sensitive_column(F.col("name")))) if auto else out
 
 
+# Schemas that belong to the engine.
+SYSTEM_SCHEMAS = {
+    "postgres": ["pg_catalog", "information_schema", "crdb_internal"],
+    "mssql": ["guest", "INFORMATION_SCHEMA", "sys", "db_owner", "db_securityadmin", "db_accessadmin"],
+}
+
+
+def catalog_filter(rows: DataFrame, engine: str, schemas: list[str] = (), tables: list[str] = (), schema: str = "table_schema", table: str = "table_name") -> DataFrame:
+    """Rows of a catalog table of the named schemas and tables; without names, all but the engine's own schemas. Plain
+    predicates, so that a JDBC scan takes them down to the database."""
+    where = F.col(schema).isin(list(schemas)) if schemas else ~F.col(schema).isin(SYSTEM_SCHEMAS.get(engine, []))
+    return rows.filter(where & F.col(table).isin(list(tables)) if tables else where)
+
+
+_NAMED = ["constraint_name", "table_schema"]
+
+
+def catalog_pk_join(constraints: DataFrame, usage: DataFrame) -> DataFrame:
+    """table_constraints and key_column_usage -> schema, table, position, column of primary keys, as catalog_tree() takes them."""
+    keys = constraints.filter("constraint_type = 'PRIMARY KEY'").select(*_NAMED, "table_name")
+    met = usage.select(*_NAMED, "table_name", "column_name", "ordinal_position").join(keys, [*_NAMED, "table_name"], "left_semi")
+    return met.select(F.col("table_schema").alias("schema"), F.col("table_name").alias("table"), F.col("ordinal_position").alias("position"), F.col("column_name").alias("column"))
+
+
+def catalog_fk_join(constraints: DataFrame, usage: DataFrame, target: DataFrame) -> DataFrame:
+    """table_constraints, key_column_usage and constraint_column_usage -> schema, table, position, column, to_schema, to_table,
+    to_column. A key of several columns gives each pair of them, as those tables don't say which belong together."""
+    keys = constraints.filter("constraint_type = 'FOREIGN KEY'").select(*_NAMED, "table_name")
+    mine = usage.select(*_NAMED, "table_name", "column_name", "ordinal_position").join(keys, [*_NAMED, "table_name"], "left_semi")
+    there = target.select("constraint_name", F.col("constraint_schema").alias("table_schema"), F.col("table_schema").alias("to_schema"), F.col("table_name").alias("to_table"), F.col("column_name").alias("to_column"))
+    met = mine.join(there, _NAMED)
+    return met.select(F.col("table_schema").alias("schema"), F.col("table_name").alias("table"), F.col("ordinal_position").alias("position"), F.col("column_name").alias("column"), "to_schema", "to_table", "to_column")
+
+
 def catalog_tree(tables: DataFrame, columns: DataFrame, keys: DataFrame, foreign: DataFrame, indexes: DataFrame) -> DataFrame:
     """One row per table (schema, name, type, comment) with ordered arrays: columns, primary_key, foreign_keys, indexes.
     The parts are keyed by (schema, table) and ordered by their position; a column's name is in `column`."""

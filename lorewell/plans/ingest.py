@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorewell.operators import corpus
-from lorewell.plans.registry import _query, _read, _snapshots
+from lorewell.operators import ingest as whole
+from lorewell.operators.vectors import hash_embedding
+from lorewell.plans.registry import DIFF, DOCS, _query, _read, _snapshots
 from lorewell.sources import scans
 from lorewell.streaming import jobs
 
@@ -56,3 +58,40 @@ def _(s, sf):
 def _(s, sf):
     part = lambda t, k, p: scans.scanned(_read(s, sf, t), F.concat(F.lit(p), F.col(k).cast("string")), F.lit("text"), F.col("text"))
     return scans.scan_corpus(part("documents", "doc_id", "doc/"), part("benchmark", "item_id", "item/")).select("path", "content_hash")
+
+
+def _synced(s, sf):
+    old, new = _snapshots(s, sf)
+    old = old.select("project_id", "file_path", "language", "content_hash", F.lit(0).cast("long").alias("total_chunks"))
+    none = s.createDataFrame([], "project_id string, file_path string, chunk_index int, start_line int, end_line int, content string, token_count int, content_hash string, vector array<float>")
+    return whole.sync_corpus(old, none, new, hash_embedding)
+
+
+@_query("sync_documents", f"WITH {DOCS} SELECT project_id, file_path, language, content_hash FROM docs WHERE doc_id % 11 <> 0")
+def _(s, sf):
+    return _synced(s, sf).documents.select("project_id", "file_path", "language", "content_hash")
+
+
+_COUNTS = ", ".join(f"CAST(count(*) FILTER (WHERE change = '{c}') AS BIGINT) AS {c}" for c in ("added", "modified", "unchanged", "deleted"))
+
+
+@_query("sync_stats", f"{DIFF} SELECT project_id, {_COUNTS} FROM diff GROUP BY project_id")
+def _(s, sf):
+    return _synced(s, sf).stats.select("project_id", "added", "modified", "unchanged", "deleted")
+
+
+@_query("sync_chunks")
+def _(s, sf):
+    return _synced(s, sf).chunks
+
+
+UPLOADS = """SELECT n_nationkey AS project_id, source_id FROM nation LEFT JOIN
+(SELECT c_nationkey, arg_min(c_custkey, (c_acctbal, c_custkey)) AS source_id FROM customer WHERE c_mktsegment = 'BUILDING' OR c_name LIKE '%7' GROUP BY c_nationkey) ON c_nationkey = n_nationkey"""
+
+
+@_query("upload_source_lookup", UPLOADS)
+def _(s, sf):
+    kind = F.when(F.col("c_mktsegment") == "BUILDING", "upload").otherwise("git").alias("type")
+    name = F.when(F.col("c_name").endswith("7"), "Manual Uploads").otherwise(F.col("c_name")).alias("name")
+    sources = _read(s, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("project_id"), kind, name, F.col("c_acctbal").alias("created_at"))
+    return whole.upload_source_lookup(_read(s, sf, "nation").select(F.col("n_nationkey").alias("project_id")), sources)
