@@ -264,10 +264,19 @@ def should_index(path: Column, size: Column) -> Column:
     return (size <= 1 << 20) & ~p.rlike(f"(^|/)({folders})/") & ~F.lower(p).rlike(f"({ends})$")
 
 
-def cosine_similarity(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) != F.size(b)) | (size == 0), 0.0).otherwise(dot(a, b) / size)
+def dot_product(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def vector_norm(a: Column) -> Column:
+    """Length of a vector. Stored beside it, each pair costs one product instead of three."""
+    return F.sqrt(dot_product(a, a))
+
+
+def cosine_similarity(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """0 where the dimensions differ or a vector is empty or zero. Norms that are known can be given."""
+    size = (vector_norm(a) if norm_a is None else norm_a) * (vector_norm(b) if norm_b is None else norm_b)
+    return F.when((F.size(a) != F.size(b)) | (size == 0), 0.0).otherwise(dot_product(a, b) / size)
 
 
 def query_terms(query: Column) -> Column:

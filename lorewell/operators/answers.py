@@ -69,11 +69,16 @@ def low_confidence(matches: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def citation_check(answers: DataFrame, citations: DataFrame) -> DataFrame:
-    """answers(query_id, answer) -> cited: its markers [n] or [^n] that have a citation, and stray: those without."""
+    """answers(query_id, answer) -> cited: its markers [n] or [^n] that have a citation, stray: those without, and
+    stripped: the answer without its stray markers. A null answer has no markers and stays null."""
     found = F.array_distinct(F.transform(F.regexp_extract_all("answer", F.lit(r"\[\^?(\d+)\]"), 1), lambda x: x.try_cast("int")))
     have = citations.groupBy("query_id").agg(F.collect_set(F.col("number").cast("int")).alias("have"))
     met = answers.withColumn("found", found).join(have, "query_id", "left").withColumn("have", F.coalesce("have", F.array().cast("array<int>")))
-    return met.select("query_id", F.array_sort(F.array_intersect("found", "have")).alias("cited"), F.array_sort(F.array_except("found", "have")).alias("stray"))
+    markers = F.array_distinct(F.regexp_extract_all("answer", F.lit(r"(\[\^?\d+\])"), 1))
+    known = lambda m: F.coalesce(F.array_contains("have", F.regexp_extract(m, r"\d+", 0).try_cast("int")), F.lit(False))
+    stripped = F.aggregate(F.filter(markers, lambda m: ~known(m)), F.col("answer"), lambda text, m: F.replace(text, m, F.lit("")))
+    cited, stray = F.array_sort(F.array_intersect("found", "have")), F.array_sort(F.array_except("found", "have"))
+    return met.select("query_id", cited.alias("cited"), stray.alias("stray"), stripped.alias("stripped"))
 
 
 def evaluate(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql.window import Window
 
 from lorewell.functions import scalars as S
 
+#: Parts that the rows of one project are split into before they are joined to queries.
+SALTS = 8
+
 
 def chunk_documents(docs: DataFrame, target: int = 384, overlap: int = 40, most: int = 100) -> DataFrame:
     """(id, text, and language if there is one) -> id, chunk_index, start_line, end_line (1-based, inclusive), content, content_hash, token_count.
@@ -109,27 +112,63 @@ def update_source_status(sources: DataFrame, new: DataFrame) -> DataFrame:
     return sources.join(n, "source", "left").select(*[pick.get(c, F.col(c)).alias(c) for c in sources.columns])
 
 
+def delete_cascade(tables: dict[str, DataFrame], gone: DataFrame, chain: list[tuple[str, list[str]]]) -> dict[str, DataFrame]:
+    """tables without the rows that belong to gone: each (table, key) of the chain loses the rows whose key is among those
+    deleted one step before, and what it loses is looked for in the next. A null key belongs to nothing."""
+    left = dict(tables)
+    for name, key in chain:
+        left[name] = delete_rows(tables[name], gone, key)
+        gone = tables[name].join(gone.select(*key).distinct(), key, "left_semi")
+    return left
+
+
 def delete_rows(rows: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(gone.select(*key).distinct(), key, "left_anti")
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, project_id, query_vector) x (project_id, id, vector): the k likeliest of each query's project.
+    """(query_id, project_id, query_vector, ...) x (project_id, id, vector, ...): the k likeliest of each query's project,
+    with all columns of both and similarity and rank. An id names one row of its project. A query without a project, or a
+    row without one, meets nothing; a null vector has similarity null and comes last. See nearest() for the plan."""
+    best = nearest(queries, vectors, ["project_id"], k)
+    return vectors.join(best, ["project_id", "id"]).join(queries.drop("project_id"), "query_id")
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, on: list[str], k: int = 5) -> DataFrame:
+    """query_id, project_id, id, similarity, rank: the k likeliest rows that agree with a query in all of `on`.
 
-    Queries are joined on the project; Catalyst broadcasts them where their measured size allows and shuffles otherwise.
-    The window's limit is applied before its shuffle."""
+    Only ids, vectors and norms are joined; norms are taken once a row (a column `norm` of the vectors is used where there
+    is one). Rows are split by a hash of the id into SALTS parts and queries are repeated for each, so a project with a third
+    of all rows is SALTS tasks' work. Queries are broadcast where Catalyst finds them small and shuffled otherwise. A
+    window's limit is applied before its shuffle, first within the parts and then over what they leave."""
     k = k if k > 0 else 5
-    sim = S.cosine_similarity(F.col("vector"), F.col("query_vector"))
-    met = vectors.join(queries, "project_id").withColumn("similarity", sim)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    norm = F.col("norm").cast("double") if "norm" in vectors.columns else S.vector_norm(F.col("vector"))
+    rows = vectors.select(*on, "id", "vector", norm.alias("_norm"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("_salt"))
+    asked = queries.select(*on, "query_id", "query_vector", S.vector_norm(F.col("query_vector")).alias("_query_norm"))
+    asked = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sim = S.cosine_similarity(F.col("vector"), F.col("query_vector"), F.col("_norm"), F.col("_query_norm"))
+    met = rows.join(asked, [*on, "_salt"]).select("query_id", "project_id", "id", "_salt", sim.alias("similarity"))
+    for part in (["query_id", "_salt"], ["query_id"]):
+        order = Window.partitionBy(*part).orderBy(F.desc("similarity"), "id")
+        met = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return met.drop("_salt")
 
 
 def rrf(rankings: DataFrame, k: int = 60) -> DataFrame:
-    """(query_id, key, ranking, rank) -> query_id, key, score: the sum of 1/(k + rank), a key once per ranking."""
+    """(query_id, key, ranking, rank, ...) -> query_id, key, score: the sum of 1/(k + rank), a key once per ranking. Where
+    the rankings have a similarity its maximum follows, and of every other column the first value that isn't empty, in
+    order of ranking and rank."""
     k = k if k > 0 else 60
-    best = rankings.groupBy("query_id", "key", "ranking").agg(F.min("rank").alias("rank"))
-    return best.groupBy("query_id", "key").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
+    more = [c for c in rankings.columns if c not in ("query_id", "key", "ranking", "rank")]
+
+    def merged(c: str) -> Column:
+        if c == "similarity":
+            return F.max(c).alias(c)
+        value = F.nullif(c, F.lit("")) if dict(rankings.dtypes)[c] == "string" else F.col(c)
+        return F.min_by(value, F.when(value.isNotNull(), F.struct("ranking", "rank"))).alias(c)
+
+    best = rankings.groupBy("query_id", "key", "ranking").agg(F.min("rank").alias("rank"), *map(merged, more))
+    return best.groupBy("query_id", "key").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), *map(merged, more))
 
 
 def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, k: int = 5, least: float = 0.0, filters: list[str] | None = None) -> DataFrame:
@@ -138,13 +177,8 @@ def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, k: int = 5, least: fl
     by rrf(), and of what the file filters let through the best k stay. Blank queries return nothing."""
     k = k if k > 0 else 5
     q = queries.filter(S.non_blank(F.col("query"))).withColumn("query", F.trim("query"))
-    pool = vector_topk(q, chunks, max(4 * k, 20))
-    if least > 0:
-        pool = pool.filter(F.col("similarity") >= least)
-    pool = pool.withColumn("lexical", F.round(S.lexical_score(F.col("query"), F.col("content"), F.col("file_path")), 9))
-    order = Window.partitionBy("query_id").orderBy(F.desc("lexical"), "rank")
-    pool = pool.withColumn("lexical_rank", F.when(F.col("lexical") > 0, F.row_number().over(order)))
-    fused = rrf(rankings_union(pool)).select("query_id", F.col("key").alias("id"), "score")
+    pool = scored_pool(vector_topk(q, chunks, candidate_pool(k)), least)
+    fused = rrf(rankings_union(pool).drop("similarity", "file_path")).select("query_id", F.col("key").alias("id"), "score")
     pool = pool.join(fused, ["query_id", "id"])
     if filters:
         pool = pool.filter(S.file_filter(F.col("file_path"), filters))
@@ -152,7 +186,24 @@ def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, k: int = 5, least: fl
     return pool.withColumn("place", F.row_number().over(last)).filter(F.col("place") <= k)
 
 
+def candidate_pool(k: int) -> int:
+    """How many rows by vectors are looked at for the best k."""
+    return max(4 * k, 20)
+
+
+def scored_pool(pool: DataFrame, least: float = 0.0) -> DataFrame:
+    """Rows of vector_topk(), less those below `least` where that is above 0, with lexical and lexical_rank: null for rows
+    that none of the query's words meet; ties go by the rank of the vectors."""
+    if least > 0:
+        pool = pool.filter(F.col("similarity") >= least)
+    pool = pool.withColumn("lexical", F.round(S.lexical_score(F.col("query"), F.col("content"), F.col("file_path")), 9))
+    order = Window.partitionBy("query_id").orderBy(F.desc("lexical"), "rank")
+    return pool.withColumn("lexical_rank", F.when(F.col("lexical") > 0, F.row_number().over(order)))
+
+
 def rankings_union(pool: DataFrame) -> DataFrame:
-    """(query_id, key, ranking, rank): the ranking by vectors, and that by words of the rows that have one."""
+    """(query_id, key, ranking, rank, similarity, file_path): the ranking by vectors, and that by words of the rows that
+    have one."""
     both = F.array(F.struct(F.lit(1).alias("ranking"), F.col("rank")), F.struct(F.lit(2).alias("ranking"), F.col("lexical_rank").alias("rank")))
-    return pool.select("query_id", F.col("id").alias("key"), F.explode(both).alias("x")).select("query_id", "key", "x.ranking", "x.rank").filter("rank is not null")
+    each = pool.select("query_id", F.col("id").alias("key"), "similarity", "file_path", F.explode(both).alias("x"))
+    return each.select("query_id", "key", "x.ranking", "x.rank", "similarity", "file_path").filter("rank is not null")

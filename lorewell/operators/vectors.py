@@ -11,9 +11,9 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lorewell.functions import scalars as S
+from lorewell.operators import corpus
 
 #: Texts that an embedding function gets at once; rows that cells are fitted on at most; cells, and those that a query looks
 #: into. The given vectors hardly cluster, so recall needs most cells; as many probes as cells are exact.
@@ -56,7 +56,10 @@ def embed_chunks(chunks: DataFrame, embed: Callable[[list[str]], np.ndarray], co
 
 def fit_cells(vectors: DataFrame, cells: int = CELLS) -> list[list[float]]:
     """Centres of k-means over unit vectors, fitted on FITTED rows at most, drawn by a hash of the id."""
-    sample = vectors.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(FITTED)
+    # A bound on the hash that lets about FITTED rows through (ten deviations more) comes first: what reaches one task is bounded.
+    share = min(1.0, (FITTED + 10 * FITTED**0.5) / max(1, vectors.count()))
+    drawn = vectors.select("id", "vector", F.xxhash64("id").alias("key")).filter(F.shiftrightunsigned("key", 33) <= int(share * (1 << 31)))
+    sample = drawn.orderBy("key", "id").limit(FITTED)
     size = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     unit = sample.withColumn("size", size).filter("size > 0").select(array_to_vector(F.transform("vector", lambda x: x.cast("double") / F.col("size"))).alias("features"))
     return [c.tolist() for c in KMeans(k=cells, seed=11, maxIter=10).fit(unit).clusterCenters()]
@@ -72,7 +75,5 @@ def ann_topk(queries: DataFrame, vectors: DataFrame, centres: list[list[float]],
     """As corpus.vector_topk(), but a query meets only the rows of its project in the `probes` nearest cells. Every row is
     in a cell; what meets is ranked exactly. (Store vectors partitioned by project and cell to prune the scan too.)"""
     near = queries.withColumn("cell", F.explode(F.slice(_nearest(F.col("query_vector"), centres), 1, probes)))
-    met = vectors.withColumn("cell", F.get(_nearest(F.col("vector"), centres), 0)).join(near, ["project_id", "cell"])
-    met = met.withColumn("similarity", S.cosine_similarity(F.col("vector"), F.col("query_vector")))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = corpus.nearest(near, vectors.withColumn("cell", F.get(_nearest(F.col("vector"), centres), 0)), ["project_id", "cell"], k)
+    return vectors.join(best, ["project_id", "id"]).join(queries.drop("project_id"), "query_id")

@@ -9,25 +9,63 @@ from pyspark.sql.window import Window
 
 from lorewell.functions import scalars as S
 from lorewell.operators import answers, corpus, vectors
-from lorewell.plans.registry import CHUNKS, DOCS, HYBRID, SIMS, _query, _read, _retrieval, _scalar, documents
+from lorewell.plans.registry import CHUNKS, DOCS, SIMS, _query, _read, _retrieval, _scalar, documents, fused_sql
 
 
-def _matches(s, sf):
-    q, d = _retrieval(s, sf)
-    lines = F.size(F.split("content", "\n"))
-    hit = corpus.hybrid_retrieve(q, d)
-    return q, hit.select("query_id", "place", F.col("project_id").alias("source_id"), F.col("id").alias("document_id"), "file_path", "language", F.lit(1).alias("start_line"), lines.alias("end_line"), "similarity", "content", S.estimate_tokens(F.col("content")).cast("long").alias("token_count"))
+def _chunk_table(s, sf):
+    """Chunks with their path, language, project and vector. A chunk has the given vector of its document, and its key as id."""
+    d = documents(s, sf).join(_read(s, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id")
+    found = corpus.chunk_documents(d.select(F.col("doc_id").alias("id"), "text", "language")).withColumnRenamed("id", "doc_id")
+    none = F.lit(None).cast("string")
+    key = S.chunk_key(none, F.col("file_path"), F.col("start_line"), F.col("end_line"), none, none)
+    kept = d.select("doc_id", "project_id", "file_path", "language", "vector", S.vector_norm(F.col("vector")).alias("norm"))
+    return found.join(kept, "doc_id").withColumn("id", key)
+
+
+def _matches(s, sf, **how):
+    q, _ = _retrieval(s, sf)
+    hit = corpus.hybrid_retrieve(q, _chunk_table(s, sf), **how)
+    return q, hit.select("query_id", "place", F.col("project_id").alias("source_id"), F.col("doc_id").alias("document_id"), "id", "file_path", "language", "start_line", "end_line", "similarity", "score", "content", F.col("token_count").cast("long").alias("token_count"))
 
 
 TOKENS = r"CAST(CASE WHEN length(content) = 0 THEN 0 ELSE greatest(1, floor(len(regexp_extract_all(content, '[^\s\x{85}\x{A0}\p{Z}\x{0B}]+')) * 1.3::DOUBLE)) END AS BIGINT)"
-HITS = f"{HYBRID}, hit AS (SELECT best.query_id, best.query, place, best.id, best.file_path, best.content, sim, docs.language, docs.project_id, len(string_split(best.content, chr(10))) AS n_lines FROM (SELECT best.query_id, place, best.id, best.sim, ranked.query, ranked.content, ranked.file_path FROM best JOIN ranked ON ranked.query_id = best.query_id AND ranked.id = best.id WHERE place <= 5) best JOIN docs ON docs.doc_id = best.id)"
-BLOCKS = f"""{HITS}, ctx AS (SELECT query_id, 'Context references:' || chr(10) || chr(10) || string_agg('[' || place || '] Source: ' || file_path || ' (lines 1-' || n_lines || ')' || chr(10) || '```' || language || chr(10) || content
+CHUNK_SIMS = rf"""WITH ch AS ({CHUNKS}), {DOCS},
+parts AS (SELECT doc_id, string_split(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n$', ''), chr(10)) AS lines FROM documents),
+d AS (SELECT file_path || ':' || start_line || ':' || end_line AS id, ch.doc_id, project_id, file_path, language, start_line, end_line, array_to_string(lines[start_line:end_line], chr(10)) AS content, embedding AS vector
+  FROM ch JOIN docs ON docs.doc_id = ch.doc_id JOIN parts ON parts.doc_id = ch.doc_id JOIN embeddings ON vec_id = ch.doc_id),
+q AS (SELECT item_id AS query_id, trim(benchmark.text) AS query, project_id, embedding AS qv FROM benchmark JOIN docs ON docs.doc_id = item_id JOIN embeddings ON vec_id = item_id),
+{SIMS[SIMS.index("sims AS ("):]}"""
+
+
+def hits_sql(k: int = 5, **how) -> str:
+    return f"""{CHUNK_SIMS}, {fused_sql(**how)},
+hit AS (SELECT best.query_id, place, score, sim, d.* FROM best JOIN d ON d.id = best.id WHERE place <= {k})"""
+
+
+HITS = hits_sql()
+BLOCKS = f"""{HITS}, ctx AS (SELECT query_id, 'Context references:' || chr(10) || chr(10) || string_agg('[' || place || '] Source: ' || file_path || ' (lines ' || start_line || '-' || end_line || ')' || chr(10) || '```' || language || chr(10) || content
   || CASE WHEN ends_with(content, chr(10)) THEN '' ELSE chr(10) END || '```', chr(10) || chr(10) ORDER BY place) AS context FROM hit GROUP BY query_id)"""
+ODD = r"regexp_matches(file_path, '[13579]\.md$')"
+FOUND = "SELECT query_id, id, CAST(place AS INT) AS place, start_line, end_line, round(score, 6) AS score, round(sim, 6) AS similarity FROM hit"
+
+
+def _found(hit):
+    return hit.select("query_id", "id", "place", "start_line", "end_line", F.round("score", 6).alias("score"), F.round("similarity", 6).alias("similarity"))
+
+
+@_query("chunk_retrieve", f"{HITS} {FOUND}")
+def _(s, sf):
+    return _found(_matches(s, sf)[1])
+
+
+@_query("chunk_retrieve_filtered", f"{hits_sql(k=8, pool=32, least=0.05, keep=ODD)} {FOUND}")
+def _(s, sf):
+    return _found(_matches(s, sf, k=8, least=0.05, filters=["*1.md", "*3.md", "*5.md", "*7.md", "*9.md"])[1])
 
 
-@_query("extract_citations", f"{HITS} SELECT query_id, CAST(place AS INT) AS number, project_id AS source_id, file_path, CAST(n_lines AS INT) AS end_line, round(sim, 6) AS similarity, sha256(content) AS snippet FROM hit")
+@_query("extract_citations", f"{HITS} SELECT query_id, CAST(place AS INT) AS number, project_id AS source_id, file_path, start_line, end_line, round(sim, 6) AS similarity, sha256(content) AS snippet FROM hit")
 def _(s, sf):
-    return answers.extract_citations(_matches(s, sf)[1]).select("query_id", "number", "source_id", "file_path", "end_line", F.round("similarity", 6).alias("similarity"), F.sha2("snippet", 256).alias("snippet"))
+    return answers.extract_citations(_matches(s, sf)[1]).select("query_id", "number", "source_id", "file_path", "start_line", "end_line", F.round("similarity", 6).alias("similarity"), F.sha2("snippet", 256).alias("snippet"))
 
 
 @_query("context_prompt", f"{BLOCKS} SELECT query_id, sha256(context) AS context FROM ctx")
@@ -51,12 +89,12 @@ def _(s, sf):
     return answers.low_confidence(_matches(s, sf)[1])
 
 
-@_query("citation_check", f"{HITS} SELECT query_id, CASE WHEN count_if(place = 2) > 0 THEN '1,2' ELSE '1' END AS cited, CASE WHEN count_if(place = 2) > 0 THEN '9' ELSE '2,9' END AS stray FROM hit GROUP BY query_id")
+@_query("citation_check", f"{HITS} SELECT query_id, CASE WHEN count_if(place = 2) > 0 THEN '1,2' ELSE '1' END AS cited, CASE WHEN count_if(place = 2) > 0 THEN '9' ELSE '2,9' END AS stray, CASE WHEN count_if(place = 2) > 0 THEN 'See [1], [^2] and .' ELSE 'See [1],  and .' END AS stripped FROM hit GROUP BY query_id")
 def _(s, sf):
     asked, hit = _matches(s, sf)
     told = answers.generate(answers.rag_dataset(asked, hit), lambda system, user: "See [1], [^2] and [9].")
     out = answers.citation_check(told, answers.extract_citations(hit))
-    return out.select("query_id", F.array_join(F.col("cited").cast("array<string>"), ",").alias("cited"), F.array_join(F.col("stray").cast("array<string>"), ",").alias("stray"))
+    return out.select("query_id", F.array_join(F.col("cited").cast("array<string>"), ",").alias("cited"), F.array_join(F.col("stray").cast("array<string>"), ",").alias("stray"), "stripped")
 
 
 def _evaluated(s, sf):
@@ -104,6 +142,13 @@ def _(s, sf):
     return _chunks(s, sf).join(_read(s, sf, "documents").select("doc_id", F.col("source").alias("project_id")), "doc_id").groupBy("project_id").agg(F.count("*").alias("chunks"))
 
 
+@_query("project_totals", f"{CH}, n AS (SELECT doc_id, count(*) AS n FROM ch GROUP BY doc_id) SELECT source, CAST(count(*) AS BIGINT) AS documents, CAST(sum(coalesce(n, 1)) AS BIGINT) AS chunks FROM documents LEFT JOIN n USING (doc_id) GROUP BY ROLLUP(source)")
+def _(s, sf):
+    n = _chunks(s, sf).groupBy("doc_id").agg(F.count("*").alias("n"))
+    met = _read(s, sf, "documents").select("doc_id", "source").join(n, "doc_id", "left")
+    return met.rollup("source").agg(F.count("*").alias("documents"), F.sum(F.coalesce("n", F.lit(1))).alias("chunks"))
+
+
 @_query("chunks_with_documents", f"{CH} SELECT doc_id, chunk_index, source || '/' || doc_id || '.md' AS file_path, lang AS language FROM ch JOIN documents USING (doc_id)")
 def _(s, sf):
     return _chunks(s, sf).join(documents(s, sf).select("doc_id", "file_path", "language"), "doc_id").select("doc_id", "chunk_index", "file_path", "language")
@@ -135,10 +180,11 @@ def _(s, sf):
     return corpus.delete_rows(_chunks(s, sf), gone, ["doc_id"]).select("doc_id", "chunk_index")
 
 
-@_query("delete_source_cascade", f"{CH} SELECT doc_id, chunk_index FROM ch JOIN documents USING (doc_id) WHERE source <> 'src3'")
+@_query("delete_source_cascade", f"{CH} SELECT 'chunk' AS kind, doc_id, chunk_index FROM ch JOIN documents USING (doc_id) WHERE source <> 'src3' UNION ALL SELECT 'document', doc_id, -1 FROM documents WHERE source <> 'src3'")
 def _(s, sf):
     docs = _read(s, sf, "documents").select("doc_id", "source")
-    return corpus.delete_rows(_chunks(s, sf), docs.filter("source = 'src3'"), ["doc_id"]).select("doc_id", "chunk_index")
+    left = corpus.delete_cascade({"document": docs, "chunk": _chunks(s, sf)}, docs.filter("source = 'src3'").select("source"), [("document", ["source"]), ("chunk", ["doc_id"])])
+    return left["chunk"].select(F.lit("chunk").alias("kind"), "doc_id", "chunk_index").unionByName(left["document"].select(F.lit("document").alias("kind"), "doc_id", F.lit(-1).alias("chunk_index")))
 
 
 @_query("update_source_status", "SELECT source, CASE WHEN max(doc_id) % 2 = 0 THEN 'synced' ELSE 'idle' END AS status, CASE WHEN max(doc_id) % 4 = 0 THEN 'c2' ELSE 'c1' END AS last_commit FROM documents GROUP BY source")
@@ -205,10 +251,7 @@ def _(s, sf):
     return corpus.vector_topk(*_retrieval(s, sf), k=20).filter(F.round("similarity", 9) >= 0.2).select("query_id", "id", "rank")
 
 
-_FUSED = HYBRID.rpartition(",\nbest AS")[0]
-
-
-@_query("filtered_retrieve", f"{_FUSED}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sim DESC, id) AS place FROM fused WHERE id % 2 = 1) SELECT query_id, id, CAST(place AS INT) AS place FROM best WHERE place <= 5")
+@_query("filtered_retrieve", f"{SIMS}, {fused_sql(keep=ODD)} SELECT query_id, id, CAST(place AS INT) AS place FROM best WHERE place <= 5")
 def _(s, sf):
     return corpus.hybrid_retrieve(*_retrieval(s, sf), filters=["*1.md", "*3.md", "*5.md", "*7.md", "*9.md"]).select("query_id", "id", "place")
 

@@ -81,14 +81,10 @@ def _(s, sf):
 
 @_query("list_with_total", "SELECT doc_id, source, CAST(count(*) OVER (PARTITION BY source) AS BIGINT) AS total FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) BETWEEN 21 AND 40")
 def _(s, sf):
-    w = Window.partitionBy("source")
     d = _read(s, sf, "documents").select("doc_id", "source")
-    return d.withColumn("total", F.count("*").over(w)).withColumn("n", F.row_number().over(w.orderBy("doc_id"))).filter("n between 21 and 40").drop("n")
-
-
-@_query("project_totals", "SELECT source, CAST(count(*) AS BIGINT) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ROLLUP(source)")
-def _(s, sf):
-    return _read(s, sf, "documents").rollup("source").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
+    totals = d.groupBy(F.col("source").alias("of")).agg(F.count("*").alias("total"))
+    page = d.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter("n <= 40").filter("n >= 21")
+    return page.join(totals, F.col("source").eqNullSafe(F.col("of"))).drop("n", "of")
 
 
 @_query("conversation_with_messages", "SELECT conv_id, CAST(count(*) AS BIGINT) AS messages, sha256(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS said FROM conversations GROUP BY conv_id")
@@ -205,25 +201,39 @@ sims AS (SELECT query_id, query, d.id, d.content, d.file_path, list_cosine_simil
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM sims)"""
 
 
+def fused_sql(pool: int = 20, least: float = -2.0, keep: str = "true") -> str:
+    """The rest of hybrid retrieval after the relation ranked, down to best(query_id, id, rank, sim, lexical, score, place)."""
+    return rf"""pool AS (SELECT * FROM ranked WHERE rank <= {pool} AND sim >= {least}),
+terms AS (SELECT query_id, id, unnest(regexp_extract_all(lower(query), '[a-z0-9_]+')) AS t, len(regexp_extract_all(lower(query), '[a-z0-9_]+')) AS nt, lower(content) AS c, lower(file_path) AS f FROM pool),
+hits AS (SELECT query_id, id, nt, t, length(t) >= 2 AS use, (length(c) - length(replace(c, t, ''))) / length(t) AS n, contains(f, t) AS inpath FROM terms),
+lex AS (SELECT query_id, id, sum(CASE WHEN use AND n > 0 THEN n / (n + 2.0::DOUBLE) ELSE 0 END) + sum(CASE WHEN use AND inpath THEN 1.5 ELSE 0 END)
+  + CASE WHEN count_if(use AND n > 0) > 0 THEN 3.0::DOUBLE * count_if(use AND n > 0) / max(nt) ELSE 0 END AS s FROM hits GROUP BY query_id, id),
+scored AS (SELECT pool.query_id, pool.id, pool.rank, pool.sim, pool.file_path, coalesce(s, 0) + CASE WHEN length(query) > 3 AND contains(lower(content), lower(query)) THEN 10 ELSE 0 END AS lexical FROM pool LEFT JOIN lex USING (query_id, id)),
+lr AS (SELECT *, CASE WHEN lexical > 0 THEN row_number() OVER (PARTITION BY query_id ORDER BY round(lexical, 9) DESC, rank) END AS lrank FROM scored),
+fused AS (SELECT *, 1.0::DOUBLE / (60 + rank) + coalesce(1.0::DOUBLE / (60 + lrank), 0) AS score FROM lr),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sim DESC, id) AS place FROM fused WHERE {keep})"""
+
+
 @_query("vector_topk", f"{SIMS} SELECT query_id, id, CAST(rank AS INT) AS rank, round(sim, 6) AS similarity FROM ranked WHERE rank <= 5")
 def _(s, sf):
     return corpus.vector_topk(*_retrieval(s, sf)).select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
-@_query("candidate_pool", f"{SIMS} SELECT query_id, CAST(count(*) AS BIGINT) AS pool FROM ranked WHERE rank <= 20 GROUP BY query_id")
+@_query("candidate_pool", f"{SIMS} SELECT query_id, CAST(count_if(rank <= 20) AS BIGINT) AS pool_of_5, CAST(count_if(rank <= 32) AS BIGINT) AS pool_of_8 FROM ranked GROUP BY query_id")
 def _(s, sf):
-    return corpus.vector_topk(*_retrieval(s, sf), k=20).groupBy("query_id").agg(F.count("*").alias("pool"))
+    n = corpus.candidate_pool
+    found = corpus.vector_topk(*_retrieval(s, sf), k=n(8)).groupBy("query_id")
+    return found.agg(F.count_if(F.col("rank") <= n(5)).alias("pool_of_5"), F.count_if(F.col("rank") <= n(8)).alias("pool_of_8"))
 
 
-HYBRID = rf"""{SIMS}, pool AS (SELECT * FROM ranked WHERE rank <= 20),
-terms AS (SELECT query_id, id, unnest(regexp_extract_all(lower(query), '[a-z0-9_]+')) AS t, len(regexp_extract_all(lower(query), '[a-z0-9_]+')) AS nt, lower(content) AS c, lower(file_path) AS f FROM pool),
-hits AS (SELECT query_id, id, nt, t, length(t) >= 2 AS use, (length(c) - length(replace(c, t, ''))) / length(t) AS n, contains(f, t) AS inpath FROM terms),
-lex AS (SELECT query_id, id, sum(CASE WHEN use AND n > 0 THEN n / (n + 2.0::DOUBLE) ELSE 0 END) + sum(CASE WHEN use AND inpath THEN 1.5 ELSE 0 END)
-  + CASE WHEN count_if(use AND n > 0) > 0 THEN 3.0::DOUBLE * count_if(use AND n > 0) / max(nt) ELSE 0 END AS s FROM hits GROUP BY query_id, id),
-scored AS (SELECT pool.query_id, pool.id, pool.rank, pool.sim, coalesce(s, 0) + CASE WHEN length(query) > 3 AND contains(lower(content), lower(query)) THEN 10 ELSE 0 END AS lexical FROM pool LEFT JOIN lex USING (query_id, id)),
-lr AS (SELECT *, CASE WHEN lexical > 0 THEN row_number() OVER (PARTITION BY query_id ORDER BY round(lexical, 9) DESC, rank) END AS lrank FROM scored),
-fused AS (SELECT *, 1.0::DOUBLE / (60 + rank) + coalesce(1.0::DOUBLE / (60 + lrank), 0) AS score FROM lr),
-best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sim DESC, id) AS place FROM fused)"""
+@_query("rrf_merge", f"{SIMS}, {fused_sql()} SELECT query_id, id, file_path, round(score, 6) AS score, round(sim, 6) AS similarity FROM fused")
+def _(s, sf):
+    q, d = _retrieval(s, sf)
+    got = corpus.rrf(corpus.rankings_union(corpus.scored_pool(corpus.vector_topk(q.withColumn("query", F.trim("query")), d, corpus.candidate_pool(5)))))
+    return got.select("query_id", F.col("key").alias("id"), "file_path", F.round("score", 6).alias("score"), F.round("similarity", 6).alias("similarity"))
+
+
+HYBRID = f"{SIMS}, {fused_sql()}"
 
 
 @_query("hybrid_retrieve", f"{HYBRID} SELECT query_id, id, CAST(place AS INT) AS place, round(score, 6) AS score, round(sim, 6) AS similarity FROM best WHERE place <= 5")

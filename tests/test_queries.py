@@ -8,8 +8,8 @@ import pytest
 
 from lorewell import plans
 from lorewell.functions import scalars as S
-from lorewell.operators import catalog
-from lorewell.operators.corpus import chunk_spans, hybrid_retrieve, rejected, rrf, sync_diff, update_source_status, upsert
+from lorewell.operators import answers, catalog
+from lorewell.operators.corpus import chunk_spans, delete_cascade, hybrid_retrieve, rejected, rrf, sync_diff, update_source_status, upsert, vector_topk
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -101,3 +101,35 @@ def test_retrieval_filters(spark):
     c = spark.createDataFrame([("p", 1, [1.0, 0.0], "find me here", "a/x.go"), ("p", 2, [0.0, 1.0], "other", "b/y.go"), ("o", 3, [1.0, 0.0], "find me", "a/z.go")], "project_id string, id int, vector array<double>, content string, file_path string")
     assert [r.id for r in hybrid_retrieve(q, c).orderBy("place").collect()] == [1, 2]
     assert [r.id for r in hybrid_retrieve(q, c, least=0.5).collect()] == [1] and [r.id for r in hybrid_retrieve(q, c, filters=["b/"]).collect()] == [2]
+
+
+def test_rrf_keeps_the_largest_similarity_and_the_first_path(spark):
+    rows = [(1, "A", 1, 1, 0.2, ""), (1, "A", 2, 3, 0.5, "a.md"), (1, "B", 2, 1, None, None)]
+    df = spark.createDataFrame(rows, "query_id int, key string, ranking int, rank int, similarity double, file_path string")
+    assert {r.key: (r.similarity, r.file_path) for r in rrf(df).collect()} == {"A": (0.5, "a.md"), "B": (None, None)}
+
+
+def test_topk_over_hot_project_and_odd_rows(spark):
+    rows = [("p", i, [1.0, i / 500]) for i in range(500)] + [("p", 900, None), ("p", 901, []), ("p", 902, [0.0, 0.0]), (None, 903, [1.0, 0.0]), ("o", 904, [1.0, 0.0])]
+    d = spark.createDataFrame(rows, "project_id string, id int, vector array<float>").withColumn("name", F.concat(F.lit("n"), "id"))
+    q = spark.createDataFrame([(1, "p", [1.0, 0.0]), (2, None, [1.0, 0.0]), (3, "none", [1.0, 0.0]), (4, "p", [0.0, 0.0])], "query_id int, project_id string, query_vector array<float>")
+    got = sorted((r.query_id, r["rank"], r.id, r.name) for r in vector_topk(q, d, 7).collect())
+    assert got == [(1, i + 1, i, f"n{i}") for i in range(7)] + [(4, i + 1, i, f"n{i}") for i in range(7)]
+    assert vector_topk(q.limit(0), d).count() == 0 and vector_topk(q, d.limit(0)).count() == 0
+    assert [r.id for r in vector_topk(q.filter("query_id = 1"), d.withColumn("norm", S.vector_norm(F.col("vector"))), 3).orderBy("rank").collect()] == [0, 1, 2]
+
+
+def test_delete_cascade(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "doc_id int, source string")
+    chunks = spark.createDataFrame([(1, 0), (2, 0), (2, 1), (None, 0)], "doc_id int, chunk_index int")
+    gone = spark.createDataFrame([("b",), (None,)], "source string")
+    left = delete_cascade({"document": docs, "chunk": chunks}, gone, [("document", ["source"]), ("chunk", ["doc_id"])])
+    assert sorted(r.doc_id for r in left["document"].collect()) == [1, 3]
+    assert sorted((str(r.doc_id), r.chunk_index) for r in left["chunk"].collect()) == [("1", 0), ("None", 0)]
+
+
+def test_stray_markers_are_stripped(spark):
+    told = spark.createDataFrame([(1, "See [1], [^2], [02], [9] and [99999999999]."), (2, None), (3, "none")], "query_id int, answer string")
+    have = spark.createDataFrame([(1, 1), (1, 2)], "query_id int, number int")
+    got = {r.query_id: r.stripped for r in answers.citation_check(told, have).collect()}
+    assert got == {1: "See [1], [^2], [02],  and .", 2: None, 3: "none"}
