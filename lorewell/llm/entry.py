@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewell.llm import bpe, brown_lm, chat, edit_embedding, exact_dedup, licenses, mixing, quality, revisits, simhash
+from lorewell.llm import bpe, brown_lm, chat, edit_embedding, exact_dedup, fim, licenses, mixing, quality, resampling, revisits, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": bpe.op8,
         "op9_license_scan": licenses.op9,
         "op10_chat_format": chat.op10,
+        "op11_fill_in_middle": fim.op11,
+        "op13_importance_resampling": resampling.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op7_revisits": revisits.OP7_SQL, "op10_chat_format": chat.OP10_SQL}
+    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op7_revisits": revisits.OP7_SQL, "op10_chat_format": chat.OP10_SQL, "op11_fill_in_middle": fim.OP11_SQL}
