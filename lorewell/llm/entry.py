@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewell.llm import bpe, brown_lm, chat, edit_embedding, exact_dedup, fim, licenses, mixing, quality, resampling, revisits, simhash
+from lorewell.llm import bpe, brown_lm, chat, edit_embedding, exact_dedup, fim, licenses, mixing, quality, resampling, revisits, simhash, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_license_scan": licenses.op9,
         "op10_chat_format": chat.op10,
         "op11_fill_in_middle": fim.op11,
+        "op12_suffix_dedup": suffix_dedup.op12,
         "op13_importance_resampling": resampling.op13,
     }
 
