@@ -101,6 +101,11 @@ def boundary_name(language: str | None) -> str:
     return name if name in BOUNDARIES else ""
 
 
+def has_boundaries(language: Column, name: str) -> Column:
+    """Whether a language in lower case has the boundaries of this name."""
+    return language.isin(name, *[k for k, v in LANGUAGE_NAMES.items() if v == name])
+
+
 def is_boundary(line: Column, language: Column) -> Column:
     """A blank line, or one that opens a part in its language."""
     line = F.regexp_replace(line, r"(?U)^\s+", "")
@@ -108,7 +113,7 @@ def is_boundary(line: Column, language: Column) -> Column:
     opens = lambda name: F.exists(F.array(*map(F.lit, BOUNDARIES[name])), lambda p: F.startswith(line, p))
     named = F.lit(None).cast("boolean")
     for name in [n for n in BOUNDARIES if n]:
-        named = F.coalesce(F.when(lang.isin(name, *[k for k, v in LANGUAGE_NAMES.items() if v == name]), opens(name)), named)
+        named = F.coalesce(F.when(has_boundaries(lang, name), opens(name)), named)
     return (line == "") | F.coalesce(named, opens(""))
 
 

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorewell.functions import scalars as S
 
-#: Parts that the rows of one project are split into before they are joined to queries.
-SALTS = 8
+#: Rows and queries of a key that make a block; groups of blocks whose best rows are ranked before all are.
+BLOCK_ROWS, BLOCK_QUERIES, SALTS = 2048, 512, 64
 
 
 def chunk_documents(docs: DataFrame, target: int = 384, overlap: int = 40, most: int = 100) -> DataFrame:
@@ -43,14 +47,16 @@ def chunk_documents(docs: DataFrame, target: int = 384, overlap: int = 40, most:
     return d.select("*", S.content_hash(F.col("content")).alias("content_hash"), S.estimate_tokens(F.col("content")).alias("token_count"))
 
 
-_WORD = re.compile(r"\S+")
+# What counts as white space. U+001C to U+001F don't, though Python's own rules say so.
+_BLANKS = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WORD, _LEADING = re.compile(f"[^{_BLANKS}]+"), re.compile(f"^[{_BLANKS}]+")
 
 
 def chunk_spans(lines: list[str], target: int, overlap: int, most: int, language: str | None = "") -> list[tuple[int, int]]:
     """(first line, line after the last) of each chunk, 0-based."""
     raw = [0 if not x else max(1, int(len(_WORD.findall(x)) * 1.3)) for x in lines]
     opens = tuple(S.BOUNDARIES[S.boundary_name(language)])
-    edge = [not (y := x.strip()) or y.startswith(opens) for x in lines]
+    edge = [not (y := _LEADING.sub("", x)) or y.startswith(opens) for x in lines]
     n, at, spans = len(lines), 0, []
     while at < n:
         end, cost = at + 1, max(raw[at], 1)
@@ -135,23 +141,74 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, on: list[str], k: int = 5) -> DataFrame:
-    """query_id, project_id, id, similarity, rank: the k likeliest rows that agree with a query in all of `on`.
-
-    Only ids, vectors and norms are joined; norms are taken once a row (a column `norm` of the vectors is used where there
-    is one). Rows are split by a hash of the id into SALTS parts and queries are repeated for each, so a project with a third
-    of all rows is SALTS tasks' work. Queries are broadcast where Catalyst finds them small and shuffled otherwise. A
-    window's limit is applied before its shuffle, first within the parts and then over what they leave."""
+    """query_id, project_id, id, similarity, rank: the k likeliest rows that agree with a query in all of `on`. Similarities
+    that are equal to the twelfth digit go by id.
+
+    Only ids and vectors are joined, packed: the rows of one key into blocks of about BLOCK_ROWS, its queries into blocks of
+    about BLOCK_QUERIES. Each pair of blocks is one matrix product, of which the best k a query go on, so a key with a
+    third of all rows is many pairs on many tasks, and all pairs are never put out. The blocks of queries are repeated for
+    each block of rows, and broadcast where Catalyst finds them small. A window's limit is applied before its shuffle,
+    first within the blocks of a salt and then over what they leave."""
     k = k if k > 0 else 5
-    norm = F.col("norm").cast("double") if "norm" in vectors.columns else S.vector_norm(F.col("vector"))
-    rows = vectors.select(*on, "id", "vector", norm.alias("_norm"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("_salt"))
-    asked = queries.select(*on, "query_id", "query_vector", S.vector_norm(F.col("query_vector")).alias("_query_norm"))
-    asked = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    sim = S.cosine_similarity(F.col("vector"), F.col("query_vector"), F.col("_norm"), F.col("_query_norm"))
-    met = rows.join(asked, [*on, "_salt"]).select("query_id", "project_id", "id", "_salt", sim.alias("similarity"))
-    for part in (["query_id", "_salt"], ["query_id"]):
-        order = Window.partitionBy(*part).orderBy(F.desc("similarity"), "id")
+    kinds = dict(vectors.dtypes) | dict(queries.dtypes)
+    found = packed(vectors, on, "id", "vector", BLOCK_ROWS, "rows")
+    asked = packed(queries, on, "query_id", "query_vector", BLOCK_QUERIES, "asked").drop("part", "parts")
+    spread = found.select(*on, "parts").distinct().join(asked, on).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = found.drop("parts").join(spread.drop("parts"), [*on, "part"]).select("project_id", "part", "rows", "asked")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                rows, asked = batch.column("rows")[i].values, batch.column("asked")[i].values
+                at, of, near = _best(_matrix(asked.field(1)), _matrix(rows.field(1)), k)
+                same = lambda c, n=len(at), i=i: pa.array([batch.column(c)[i].as_py()] * n, batch.schema.field(c).type)
+                yield pa.RecordBatch.from_arrays([asked.field(0).take(pa.array(at)), same("project_id"), rows.field(0).take(pa.array(of)), same("part"), near], ["query_id", "project_id", "id", "part", "similarity"])
+
+    met = pairs.mapInArrow(work, f"query_id {kinds['query_id']}, project_id {kinds['project_id']}, id {kinds['id']}, part int, similarity double")
+    for part in (["query_id", F.col("part") % SALTS], ["query_id"]):
+        order = Window.partitionBy(*part).orderBy(F.desc(F.round("similarity", 12)), "id")
         met = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return met.drop("_salt")
+    return met.drop("part")
+
+
+def packed(rows: DataFrame, on: list[str], id_: str, vector: str, most: int, name: str) -> DataFrame:
+    """rows in blocks: on, part, parts (of this key) and, as `name`, an array of (id, vector) in order of id, of about
+    `most` rows by a hash of the id. Keys that are null are left out."""
+    rows = rows.select(*on, id_, vector).filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on]))
+    parts = rows.groupBy(*on).agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64(id_), F.col("parts")).cast("int").alias("part")
+    return rows.join(parts, on).select(*on, part, "parts", F.struct(id_, vector).alias("_")).groupBy(*on, "part", "parts").agg(F.array_sort(F.collect_list("_")).alias(name))
+
+
+def _matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit vectors in rows, their dimensions, which are null); rows of a dimension that most others don't have, and zero
+    vectors, are zero."""
+    null = np.asarray(vectors.is_null())
+    size = np.asarray(pc.fill_null(pc.list_value_length(vectors), 0), np.int64)
+    whole = np.zeros((len(size), int(size.max(initial=0))))
+    flat = np.asarray(pc.list_flatten(vectors).cast(pa.float64()).fill_null(np.nan))
+    whole[np.arange(whole.shape[1]) < size[:, None]] = flat
+    norm = np.sqrt(np.einsum("ij,ij->i", whole, whole))[:, None]
+    return np.divide(whole, norm, out=np.zeros_like(whole), where=norm != 0), size, null
+
+
+def _best(asked: tuple, rows: tuple, k: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(query, row, similarity) of the k best rows of each query, ties in order of the rows; null where a vector is."""
+    (a, a_size, a_null), (b, b_size, b_null) = asked, rows
+    width = min(a.shape[1], b.shape[1])
+    near = a[:, :width] @ b[:, :width].T
+    near[a_size[:, None] != b_size] = 0
+    missing = a_null[:, None] | b_null | np.isnan(near)
+    key = -np.round(np.where(missing, -np.inf, near), 12)
+    n = min(k, key.shape[1])
+    of = np.empty((len(key), n), np.int64)
+    for i, x in enumerate(key):
+        last = np.partition(x, n - 1)[n - 1]
+        few = np.flatnonzero(x <= last)
+        of[i] = few[np.argsort(x[few], kind="stable")][:n]
+    at = np.repeat(np.arange(len(key)), n)
+    of = of.ravel()
+    return at, of, pa.array(near[at, of], mask=missing[at, of])
 
 
 def rrf(rankings: DataFrame, k: int = 60) -> DataFrame:
@@ -178,14 +235,18 @@ def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, k: int = 5, least: fl
     k = k if k > 0 else 5
     q = queries.filter(S.non_blank(F.col("query"))).withColumn("query", F.trim("query"))
     pool = scored_pool(vector_topk(q, chunks, candidate_pool(k)), least)
-    fused = rrf(rankings_union(pool).drop("similarity", "file_path")).select("query_id", F.col("key").alias("id"), "score")
-    pool = pool.join(fused, ["query_id", "id"])
+    pool = pool.withColumn("score", fused_score(F.col("rank"), F.col("lexical_rank")))
     if filters:
         pool = pool.filter(S.file_filter(F.col("file_path"), filters))
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("similarity"), "id")
     return pool.withColumn("place", F.row_number().over(last)).filter(F.col("place") <= k)
 
 
+def fused_score(*ranks: Column, k: int = 60) -> Column:
+    """What rrf() gives a row that each ranking names once at most; a null rank is none."""
+    return reduce(lambda a, b: a + b, [F.coalesce(1.0 / (k + r), F.lit(0.0)) for r in ranks])
+
+
 def candidate_pool(k: int) -> int:
     """How many rows by vectors are looked at for the best k."""
     return max(4 * k, 20)

@@ -9,16 +9,16 @@ from pyspark.sql.window import Window
 
 from lorewell.functions import scalars as S
 from lorewell.operators import answers, corpus, vectors
-from lorewell.plans.registry import CHUNKS, DOCS, SIMS, _query, _read, _retrieval, _scalar, documents, fused_sql
+from lorewell.plans.registry import CHUNKS, DOCS, SIMS, _query, _read, _retrieval, _scalar, chunked, documents, fused_sql
 
 
 def _chunk_table(s, sf):
     """Chunks with their path, language, project and vector. A chunk has the given vector of its document, and its key as id."""
     d = documents(s, sf).join(_read(s, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id")
-    found = corpus.chunk_documents(d.select(F.col("doc_id").alias("id"), "text", "language")).withColumnRenamed("id", "doc_id")
+    found = chunked(s, d.select(F.col("doc_id").alias("id"), "text", "language")).withColumnRenamed("id", "doc_id")
     none = F.lit(None).cast("string")
     key = S.chunk_key(none, F.col("file_path"), F.col("start_line"), F.col("end_line"), none, none)
-    kept = d.select("doc_id", "project_id", "file_path", "language", "vector", S.vector_norm(F.col("vector")).alias("norm"))
+    kept = d.select("doc_id", "project_id", "file_path", "language", "vector")
     return found.join(kept, "doc_id").withColumn("id", key)
 
 
@@ -126,7 +126,7 @@ def _(s, sf):
 
 
 def _chunks(s, sf):
-    return corpus.chunk_documents(_read(s, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("language"))).withColumnRenamed("id", "doc_id")
+    return chunked(s, _read(s, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("language"))).withColumnRenamed("id", "doc_id")
 
 
 CH = f"WITH ch AS ({CHUNKS})"

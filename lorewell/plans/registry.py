@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 from lorewell.functions import scalars as S
 from lorewell.operators import catalog, corpus
+from lorewell.sources.staging import shared_folder
+from lorewell.sources.store import ChunkTable
 
 _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -188,6 +190,13 @@ def _(s, sf):
     return corpus.chunk_documents(_read(s, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("language"))).select(F.col("id").alias("doc_id"), "chunk_index", "start_line", "end_line")
 
 
+def chunked(s: SparkSession, docs: DataFrame) -> DataFrame:
+    """Chunks of docs(id, text, language) from this application's table of chunks, which is filled with what it lacks."""
+    made = ChunkTable(s, f"{shared_folder(s)}/lorewell-chunks-{s.sparkContext.applicationId}")
+    made.fill(docs)
+    return made.of(docs)
+
+
 def _retrieval(s, sf):
     d = documents(s, sf).join(_read(s, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id").withColumnRenamed("doc_id", "id").withColumnRenamed("text", "content")
     q = _read(s, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
