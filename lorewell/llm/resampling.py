@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lorewell.llm.common import UPPER, hash_of_row, staged, table, text_of
+from lorewell.llm.common import UPPER, discard, hash_of_row, staged, table, text_of
 
 BUCKETS, LONGEST = 10_000, 3
 #: Words of a text whose CRCs are held at a time.
@@ -162,15 +162,17 @@ def resample(docs: DataFrame, target: DataFrame, share: int = 5, least_words: in
     """
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(F.lit(-1000.0) * F.log(-F.log((h + 0.5) / 4294967296.0)))
-    rows = weighed(docs, gains(docs, target)).withColumn("score", F.col("weight") + noise)
     able = (F.col("n_words") >= least_words).alias("able")
+    # Staged, as dealing by ranges reads its input twice.
+    rows = staged(weighed(docs, gains(docs, target)).select("doc_id", "n_features", "weight", (F.col("weight") + noise).alias("score"), "tie", able))
     order = [F.desc("able"), F.desc("score"), F.asc_nulls_last("doc_id"), "tie"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = staged(rows.select("doc_id", "n_features", "weight", "score", "tie", able).repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    dealt = staged(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
     sizes = dealt.groupBy("part").agg(F.count_if("able").alias("size"))
     before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"), F.sum("size").over(Window.partitionBy()).alias("all"))
     place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) + F.col("before")
     drawn = F.col("able") & (place <= F.floor(F.col("all") * share / 100))
+    discard(rows)
     return dealt.join(F.broadcast(before), "part").select("doc_id", "n_features", "weight", "score", F.when(drawn, place).cast("long").alias("rank"))
 
 
