@@ -6,8 +6,10 @@ from ipaddress import ip_network
 from posixpath import normpath
 from re import escape
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Languages and their file extensions; a smaller table for fenced code blocks.
 LANGUAGES = {
@@ -162,17 +164,85 @@ def url_is_safe(url: Column) -> Column:
     return F.coalesce(host != "", F.lit(False)) & ~inner & ~F.coalesce(closed, F.lit(False))
 
 
+def glob_pattern(glob: str) -> str | None:
+    """A glob as a regular expression: * and ? stay within a folder, [a-z] and [^a-z] are classes, a backslash takes the
+    next character as it is. None where it is malformed: then it matches nothing."""
+    out, i, n = [], 0, len(glob)
+
+    def one(i: int) -> tuple[str, int]:
+        if glob[i] == "\\":
+            i += 1
+        if i >= n:
+            raise ValueError
+        return glob[i], i + 1
+
+    try:
+        while i < n:
+            c = glob[i]
+            if c in "*?":
+                out.append("[^/]*" if c == "*" else "[^/]")
+                i += 1
+            elif c == "[":
+                i += 1
+                negated = i < n and glob[i] == "^"
+                i += negated
+                ranges = []
+                while i >= n or glob[i] != "]" or not ranges:
+                    if i >= n or glob[i] in "-]":
+                        return None
+                    low, i = one(i)
+                    high = low
+                    if i < n and glob[i] == "-":
+                        if i + 1 >= n or glob[i + 1] in "-]":
+                            return None
+                        high, i = one(i + 1)
+                    ranges.append(f"\\x{{{ord(low):x}}}-\\x{{{ord(high):x}}}" if low <= high else "")
+                i += 1
+                held = "".join(ranges)
+                out.append(f"[^/{held}]" if negated else f"[{held}&&[^/]]" if held else "(?!)")
+            else:
+                c, i = one(i)
+                out.append(escape(c))
+    except ValueError:
+        return None
+    return "(?s)^" + "".join(out) + "$"
+
+
+def compiled_filter(text: str) -> tuple[str, str | None, list[str]]:
+    """(exact path, pattern of the glob, beginnings) of a file filter."""
+    clean = normpath(text)
+    under = clean.removesuffix("/*").removesuffix("/**").removesuffix("*")
+    return clean, glob_pattern(text), [under, under.removeprefix("/")] if under else []
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("exact", T.StringType()), T.StructField("glob", T.StringType()), T.StructField("under", T.ArrayType(T.StringType()))])))
+def compiled_filters(filters: pd.Series) -> pd.Series:
+    """A column of filter lists, compiled once a row; null where there is none."""
+    made = lambda row: None if row is None or not len(row) else [dict(zip(("exact", "glob", "under"), compiled_filter(f), strict=True)) for f in row if f is not None]
+    return filters.map(made)
+
+
+def path_matches(path: Column, compiled: Column) -> Column:
+    """Whether a path meets one of the filters of compiled_filters(): it equals one, matches it as a glob by itself or by its
+    last part, or lies under it. No filters, and rows without a path, pass."""
+    last = F.regexp_extract(path, "([^/]*)/*$", 1)
+
+    def met(f: Column) -> Column:
+        glob = F.coalesce(F.rlike(path, f["glob"]) | F.rlike(last, f["glob"]), F.lit(False))
+        return (path == f["exact"]) | glob | F.exists(f["under"], lambda u: F.startswith(path, u))
+
+    return compiled.isNull() | F.coalesce(path == "", F.lit(True)) | F.exists(compiled, met)
+
+
 def file_filter(path: Column, filters: list[str]) -> Column:
-    """The path equals a filter, matches it as a glob (* and ? stay within a folder) by itself or by its last part, or
-    lies under it. Rows without a path pass."""
+    """As path_matches(), with one list of filters for all rows; an empty list lets no path through but a missing one."""
     met, last = F.lit(False), F.regexp_extract(path, "([^/]*)/*$", 1)
-    for f in filters:
-        clean = normpath(f)
-        glob = "^" + "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else escape(c) for c in f) + "$"
-        under = clean.removesuffix("/*").removesuffix("/**").removesuffix("*")
-        met = met | (path == clean) | path.rlike(glob) | last.rlike(glob)
-        if under:
-            met = met | F.startswith(path, F.lit(under)) | F.startswith(path, F.lit(under.removeprefix("/")))
+    for exact, glob, under in map(compiled_filter, filters):
+        met = met | (path == exact)
+        if glob:
+            met = met | path.rlike(glob) | last.rlike(glob)
+        for u in under:
+            met = met | F.startswith(path, F.lit(u))
     return F.coalesce(path == "", F.lit(True)) | met
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorewell.functions import scalars as S
+from lorewell.sources.staging import staged
 
 
 def drop_sensitive_columns(columns: DataFrame, excluded: list[str], auto: bool = True) -> DataFrame:
@@ -86,17 +87,17 @@ def table_ddl_document(tree: DataFrame, database: str, engine: str) -> DataFrame
     return out.withColumn("content_hash", S.content_hash(F.col("content")))
 
 
-def numbered(rows: DataFrame, key: str, per: int = 100_000) -> DataFrame:
-    """rows with row_index from 0 in order of a numeric key: rows are ranked inside ranges of the key (quantiles, about `per`
-    rows each) and the counts of the ranges before are added, so no task orders the whole table."""
-    parts = max(1, rows.count() // per)
-    ends = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else []
-    part = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col(key))) if ends else F.lit(0)
-    rows = rows.withColumn("_part", part)
+def numbered(rows: DataFrame, key: str, per: int | None = None) -> DataFrame:
+    """rows with row_index from 0 in order of a key. Rows are dealt by ranges of the key (and of a hash of the whole row, so
+    equal keys are spread too), written once, ranked inside their range, and the sizes of the ranges before are added: one row a range. There are as
+    many ranges as shuffle partitions, or of about `per` rows each. No task orders the whole table."""
+    rows = rows.withColumn("_tie", F.xxhash64(*rows.columns))
+    parts = -(-rows.count() // per) if per else int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = staged(rows.repartitionByRange(max(1, parts), key, "_tie").withColumn("_part", F.spark_partition_id()))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    offsets = rows.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_part").orderBy(key)
-    return rows.join(F.broadcast(offsets), "_part").withColumn("row_index", F.row_number().over(inside) - 1 + F.col("_before")).drop("_part", "_before")
+    offsets = dealt.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy(key, "_tie")
+    return dealt.join(offsets, "_part").withColumn("row_index", F.row_number().over(inside) - 1 + F.col("_before")).drop("_part", "_before", "_tie")
 
 
 def row_batch_documents(rows: DataFrame, key: str, schema: str, table: str, database: str, engine: str, batch: int = 1000, most: int | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -10,8 +11,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lorewell.functions import scalars as S
@@ -28,9 +30,7 @@ def chunk_documents(docs: DataFrame, target: int = 384, overlap: int = 40, most:
     lines of `overlap` tokens at most repeat. A Python loop over Arrow batches: the same walk as nested higher-order
     functions took 45 s instead of 2 s on a thousand documents, as Catalyst works their prefix sums out anew.
     """
-    target = target if target > 0 else 384
-    overlap = 40 if overlap < 0 or overlap >= target else overlap
-    most = most if most > 0 else 100
+    target, overlap, most = chunk_options(target, overlap, most)
     kind = dict(docs.dtypes)["id"]
     language = F.col("language") if "language" in docs.columns else F.lit("")
 
@@ -47,6 +47,12 @@ def chunk_documents(docs: DataFrame, target: int = 384, overlap: int = 40, most:
     return d.select("*", S.content_hash(F.col("content")).alias("content_hash"), S.estimate_tokens(F.col("content")).alias("token_count"))
 
 
+def chunk_options(target: int, overlap: int, most: int) -> tuple[int, int, int]:
+    """The options that are used where those given make no sense."""
+    target = target if target > 0 else 384
+    return target, 40 if overlap < 0 or overlap >= target else overlap, most if most > 0 else 100
+
+
 # What counts as white space. U+001C to U+001F don't, though Python's own rules say so.
 _BLANKS = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD, _LEADING = re.compile(f"[^{_BLANKS}]+"), re.compile(f"^[{_BLANKS}]+")
@@ -268,3 +274,44 @@ def rankings_union(pool: DataFrame) -> DataFrame:
     both = F.array(F.struct(F.lit(1).alias("ranking"), F.col("rank")), F.struct(F.lit(2).alias("ranking"), F.col("lexical_rank").alias("rank")))
     each = pool.select("query_id", F.col("id").alias("key"), "similarity", "file_path", F.explode(both).alias("x"))
     return each.select("query_id", "key", "x.ranking", "x.rank", "similarity", "file_path").filter("rank is not null")
+
+
+_CHUNK = {"chunk_index": T.IntegerType(), "start_line": T.IntegerType(), "end_line": T.IntegerType(), "content": T.StringType(), "content_hash": T.StringType(), "token_count": T.IntegerType()}
+
+
+@F.udtf(returnType=T.StructType([T.StructField(*c) for c in _CHUNK.items()]))
+class ChunkText:
+    """chunk_text(text, language[, target, overlap, most]) for SQL: the rows of chunk_documents() for one text; none for a null
+    or blank one. Call it by LATERAL after register_chunk_text()."""
+
+    def eval(self, text, language=None, target=384, overlap=40, most=100):
+        text = re.sub("\r\n?", "\n", text or "").removesuffix("\n")
+        if not _WORD.search(text):
+            return
+        target, overlap, most = chunk_options(target, overlap, most)
+        lines = text.split("\n")
+        for k, (a, b) in enumerate(chunk_spans(lines, target, overlap, most, language)):
+            content = "\n".join(lines[a:b])
+            words = len(_WORD.findall(content))
+            yield k, a + 1, b, content, hashlib.sha256(content.encode("utf-8", "surrogatepass")).hexdigest(), max(1, int(words * 1.3)) if content else 0
+
+
+def register_chunk_text(spark: SparkSession) -> None:
+    spark.udtf.register("chunk_text", ChunkText)
+
+
+def retrieve_each(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """hybrid_retrieve() with limits a row of queries: top_k (null or not above 0: 5), similarity_min (null: none) and
+    file_filters, an array of filters of which one must be met (null or empty: all files; see scalars.path_matches()).
+
+    The largest top_k bounds what a block hands on; it is read first, one number. Filters are compiled once a query."""
+    known = lambda c, kind: F.col(c).cast(kind) if c in queries.columns else F.lit(None).cast(kind)
+    k = known("top_k", "int")
+    q = queries.filter(S.non_blank(F.col("query"))).withColumn("query", F.trim("query")).withColumn("_k", F.when(k > 0, k).otherwise(5))
+    q = q.withColumn("_least", F.coalesce(known("similarity_min", "double"), F.lit(0.0))).withColumn("_files", S.compiled_filters(known("file_filters", "array<string>")))
+    most = q.agg(F.max("_k")).first()[0] or 5
+    pool = vector_topk(q, chunks, candidate_pool(most)).filter(F.col("rank") <= F.greatest(4 * F.col("_k"), F.lit(20)))
+    pool = scored_pool(pool.filter((F.col("_least") <= 0) | (F.col("similarity") >= F.col("_least"))))
+    pool = pool.withColumn("score", fused_score(F.col("rank"), F.col("lexical_rank"))).filter(S.path_matches(F.col("file_path"), F.col("_files")))
+    last = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("similarity"), "id")
+    return pool.withColumn("place", F.row_number().over(last)).filter(F.col("place") <= F.col("_k")).drop("_k", "_least", "_files")

@@ -63,6 +63,24 @@ def _(s, sf):
     return _found(_matches(s, sf, k=8, least=0.05, filters=["*1.md", "*3.md", "*5.md", "*7.md", "*9.md"])[1])
 
 
+EACH = hits_sql(k="(3 + query_id % 4)", pool="greatest(4 * (3 + query_id % 4), 20)", least="CASE WHEN query_id % 3 = 0 THEN -2.0 ELSE 0.05 * (query_id % 3) END", keep=f"(query_id % 5 = 0 OR {ODD})").replace("place <= (3 + query_id", "place <= (3 + best.query_id")
+
+
+@_query("chunk_retrieve_each", f"{EACH} {FOUND}")
+def _(s, sf):
+    n = F.col("query_id")
+    asked = _retrieval(s, sf)[0].withColumn("top_k", 3 + n % 4).withColumn("similarity_min", F.when(n % 3 > 0, 0.05 * (n % 3)))
+    asked = asked.withColumn("file_filters", F.when(n % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("*[13579].md"))))
+    return _found(corpus.retrieve_each(asked, _chunk_table(s, sf)))
+
+
+@_query("chunk_text_sql", rf"{CHUNK_SIMS[: CHUNK_SIMS.index(chr(10) + 'q AS (SELECT')].rstrip().rstrip(',')} SELECT doc_id, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line, sha256(content) AS content_hash, {TOKENS} AS token_count FROM d")
+def _(s, sf):
+    corpus.register_chunk_text(s)
+    given = documents(s, sf).join(_read(s, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
+    return s.sql("SELECT d.doc_id, c.start_line, c.end_line, c.content_hash, CAST(c.token_count AS BIGINT) AS token_count FROM {docs} d, LATERAL chunk_text(d.text, d.language) c", docs=given)
+
+
 @_query("extract_citations", f"{HITS} SELECT query_id, CAST(place AS INT) AS number, project_id AS source_id, file_path, start_line, end_line, round(sim, 6) AS similarity, sha256(content) AS snippet FROM hit")
 def _(s, sf):
     return answers.extract_citations(_matches(s, sf)[1]).select("query_id", "number", "source_id", "file_path", "start_line", "end_line", F.round("similarity", 6).alias("similarity"), F.sha2("snippet", 256).alias("snippet"))

@@ -28,6 +28,20 @@ def _(s, sf):
     return jobs.token_bucket(_read(s, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), at.alias("at")), PERIOD, BURST)
 
 
+JOB = """WITH e AS (SELECT user_id AS job_id, ts, event_id, CASE event_type WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' ELSE 'progress' END AS kind FROM events)
+SELECT job_id, CASE arg_max(kind, (ts, event_id)) WHEN 'progress' THEN 'running' WHEN 'complete' THEN 'completed' ELSE 'failed' END AS status,
+  CAST(arg_max(CASE WHEN kind = 'complete' THEN 100 ELSE event_id % 100 END, (ts, event_id)) FILTER (WHERE kind <> 'fail') AS INT) AS progress_percent,
+  CAST(arg_max(event_id % 50, (ts, event_id)) FILTER (WHERE kind = 'progress') AS INT) AS processed_files, CAST(max(50) FILTER (WHERE kind = 'progress') AS INT) AS total_files,
+  arg_max('e' || event_id, (ts, event_id)) FILTER (WHERE kind = 'fail') AS error_message, epoch_us(max(ts) FILTER (WHERE kind <> 'progress')) AS finished_at FROM e GROUP BY job_id"""
+
+
+@_query("job_records", JOB)
+def _(s, sf):
+    kind = F.when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "fail").otherwise("progress")
+    e = _read(s, sf, "events").select(F.col("user_id").alias("job_id"), "ts", "event_id", kind.alias("kind"), (F.col("event_id") % 100).alias("percent"), (F.col("event_id") % 50).alias("processed"), F.lit(50).alias("total"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("error"))
+    return jobs.job_records(e).withColumn("finished_at", F.unix_micros("finished_at"))
+
+
 @_query("push_events", "SELECT 'own/repo' || user_id AS repository, event_type AS branch, CAST(event_id AS VARCHAR) AS commit FROM events WHERE event_type <> 'error'")
 def _(s, sf):
     e = _read(s, sf, "events")

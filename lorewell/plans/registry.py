@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from lorewell.functions import scalars as S
 from lorewell.operators import catalog, corpus
+from lorewell.operators.requests import accepted_once
 from lorewell.sources.staging import shared_folder
 from lorewell.sources.store import ChunkTable
 
@@ -258,11 +259,26 @@ def _(s, sf):
     return catalog.row_batch_documents(c, "c_custkey", "public", "customer", "shop", "postgres").select("path", "content_hash")
 
 
-@_query("dedup_sync_requests", "SELECT event_id, before IS NULL OR epoch_us(ts) - epoch_us(before) > 300000000 AS accepted FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events)")
+#: The lock of a sync request, in microseconds.
+LOCK = 300_000_000
+TAKEN = f"""WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT *, t AS last, true AS accepted FROM e WHERE n = 1
+  UNION ALL SELECT e.*, CASE WHEN e.t - w.last >= {LOCK} THEN e.t ELSE w.last END, e.t - w.last >= {LOCK} FROM w JOIN e ON e.user_id = w.user_id AND e.event_type = w.event_type AND e.n = w.n + 1)
+"""
+
+
+@_query("dedup_sync_requests", f"{TAKEN} SELECT event_id, accepted FROM w")
+def _(s, sf):
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    e = _read(s, sf, "events").select(F.col("event_id").alias("id"), F.struct("user_id", "event_type").alias("key"), at)
+    return accepted_once(e, LOCK).withColumnRenamed("id", "event_id")
+
+
+@_query("dedup_sync_requests_by_type", TAKEN.replace("user_id, event_type ORDER", "event_type ORDER").replace("e.user_id = w.user_id AND ", "") + " SELECT event_id, accepted FROM w")
 def _(s, sf):
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("before").cast("timestamp"))
-    return _read(s, sf, "events").withColumn("before", F.lag("ts").over(w)).select("event_id", (F.col("before").isNull() | (gap > 300_000_000)).alias("accepted"))
+    """The same with few hot keys, whose requests chain."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    return accepted_once(_read(s, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("key"), at), LOCK).withColumnRenamed("id", "event_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,12 +13,16 @@ from lorewell.sources.staging import delete, discard, file_system, staged
 SPREAD = 32
 
 
-def scope_of(rows: DataFrame) -> DataFrame:
-    """The distinct project_id of rows; a row without a project is an error when it is read, never a wider scope."""
+def project_of(column: Column) -> Column:
+    """A project id as a string; one that is null or empty is an error when it is read, never a wider scope."""
     missing = F.raise_error(F.lit("a read needs a project: project_id is null or empty"))
-    known = F.coalesce(F.nullif(F.col("project_id").cast("string"), F.lit("")), missing.cast("string"))
+    return F.coalesce(F.nullif(column.cast("string"), F.lit("")), missing.cast("string"))
+
+
+def scope_of(rows: DataFrame) -> DataFrame:
+    """The distinct project_id of rows; see project_of()."""
     # A comparison, not only a null test, so that the optimizer finds it worth pruning partitions by.
-    return rows.select(known.alias("project_id")).filter(F.col("project_id") > "").distinct()
+    return rows.select(project_of(F.col("project_id")).alias("project_id")).filter(F.col("project_id") > "").distinct()
 
 
 class ChunkStore:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lorewell.functions import scalars as S
 from lorewell.operators import corpus
@@ -49,6 +52,75 @@ def job_states(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
 
 
+def _sets() -> dict[str, tuple[Column, Column]]:
+    """Of each column of a job's record: which events set it, and to what."""
+    running, done, failed = (F.col("kind") == k for k in ("progress", "complete", "fail"))
+    return {
+        "status": (running | done | failed, F.when(running, "running").when(done, "completed").otherwise("failed")),
+        "progress_percent": (running | done, F.when(done, 100).otherwise(F.col("percent").cast("int"))),
+        "processed_files": (running, F.col("processed").cast("int")),
+        "total_files": (running, F.col("total").cast("int")),
+        "error_message": (failed, F.col("error").cast("string")),
+        "finished_at": (done | failed, F.col("ts").cast("timestamp")),
+    }
+
+
+RECORD = "status string, progress_percent int, processed_files int, total_files int, error_message string, finished_at timestamp"
+
+
+def job_records(events: DataFrame) -> DataFrame:
+    """events(job_id, ts, event_id, kind: progress, complete or fail, percent, processed, total, error) -> job_id and RECORD.
+
+    Progress makes a job run and sets percent and counts; completion sets 100 and the time; failure sets message and time
+    and leaves the percent. Each column holds what the latest event (by ts, then event_id) that sets it says, so the order in which
+    events arrive doesn't matter and partial results merge before the shuffle. Other kinds set nothing; events without a
+    job or a time are left out."""
+    order = F.struct("ts", "event_id")
+    cols = [F.max_by(value, F.when(sets, order)).alias(c) for c, (sets, value) in _sets().items()]
+    return events.filter("job_id is not null and ts is not null").groupBy("job_id").agg(*cols).filter("status is not null")
+
+
+class _JobRecord(StatefulProcessor):
+    """One JSON value a job: each column's value with the time and id of the event that set it. Events merge by maximum, so
+    late and repeated ones do no harm. A job that nothing is heard of for ttl_ms is forgotten."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("record", StructType([StructField("held", StringType())]), self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+        held = json.loads(self.state.get()[0]) if self.state.exists() else {}
+        for frame in rows:
+            for made in frame["made"]:
+                for x in json.loads(made):
+                    order = [x["at"], x["id"]]
+                    if x["c"] not in held or order > held[x["c"]][0]:
+                        held[x["c"]] = [order, x["v"]]
+        self.state.update((json.dumps(held),))
+        yield pd.DataFrame({"job_id": [key[0]], "record": [json.dumps({c: v for c, (_, v) in held.items()})]})
+
+    def close(self) -> None:
+        pass
+
+
+def job_record_stream(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """job_records() of a stream, for outputMode('update'): a job's whole record whenever an event comes in. ttl_ms forgets
+    jobs by processing time. Needs the RocksDB state store."""
+    kind = dict(events.dtypes)["job_id"]
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    each = [F.when(sets, F.struct(F.lit(c).alias("c"), at.alias("at"), F.col("event_id").cast("long").alias("id"), (F.unix_micros(v) if c == "finished_at" else v).cast("string").alias("v"))) for c, (sets, v) in _sets().items()]
+    made = F.to_json(F.filter(F.array(*each), lambda x: x.isNotNull()), {"ignoreNullFields": "false"})
+    rows = events.filter("job_id is not null and ts is not null").select("job_id", made.alias("made")).filter("made <> '[]'")
+    out = rows.groupBy("job_id").transformWithStateInPandas(statefulProcessor=_JobRecord(ttl_ms), outputStructType=f"job_id {kind}, record string", outputMode="Update", timeMode="ProcessingTime" if ttl_ms else "None")
+    r = F.from_json("record", "map<string,string>")
+    when = F.timestamp_micros(r["finished_at"].cast("long")).alias("finished_at")
+    names = [c.split()[0] for c in RECORD.split(", ")]
+    kinds = dict(c.split() for c in RECORD.split(", "))
+    return out.select("job_id", *[when if c == "finished_at" else r[c].cast(kinds[c]).alias(c) for c in names])
+
+
 PUSH = "ref string, after string, repository struct<full_name:string, name:string, owner:struct<login:string, name:string>>"
 
 

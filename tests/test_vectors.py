@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lorewell.operators import corpus, vectors
 from lorewell.plans.answers import _retrieval
@@ -30,3 +31,36 @@ def test_recall(spark):
     near = {(r.query_id, r.id) for r in vectors.ann_topk(q, d, vectors.fit_cells(d)).collect()}
     best = {(r.query_id, r.id) for r in corpus.vector_topk(q, d).collect()}
     assert len(near & best) >= 0.9 * len(best)
+
+
+def test_index_reads_few_rows_and_finds_nine_in_ten(spark, tmp_path):
+    from lorewell.operators.ann import AnnIndex
+
+    q, d = _retrieval(spark, "/root/testdata/sf0.01")
+    q, d = q.withColumn("project_id", F.lit("all")).cache(), d.select(F.lit("all").alias("project_id"), "id", "vector").cache()
+    index = AnnIndex(spark, str(tmp_path / "index"))
+    index.build(d)
+    assert index.vectors().count() == d.count() == sum(len(r.codes) for r in index.codes().select("codes").collect())
+    want = {(r.query_id, r.id) for r in corpus.nearest(q, d, ["project_id"], 5).collect()}
+    got = {(r.query_id, r.id): r for r in index.search(q, 5).collect()}
+    recall = len(want & set(got)) / len(want)
+    pairs = q.join(d, "project_id").count()
+    compared = index.candidates(q, 100).count()
+    assert recall >= 0.9 and compared <= pairs / 3, (recall, compared / pairs)
+    exact = {(r.query_id, r.id): r.similarity for r in corpus.nearest(q, d, ["project_id"], 5).collect()}
+    assert all(abs(exact[k] - r.similarity) < 1e-6 for k, r in got.items() if k in exact)
+
+
+def test_index_on_odd_rows(spark, tmp_path):
+    from lorewell.operators.ann import AnnIndex
+
+    kind, asked = "project_id string, id string, vector array<double>", "query_id int, project_id string, query_vector array<double>"
+    rows = [("p", f"n{i}", [float(i % 7), 1.0, float(i % 3)]) for i in range(50)] + [("p", "zero", [0.0] * 3), ("p", "none", None), ("p", "wide", [1.0] * 9), (None, "lost", [1.0] * 3), ("o", "n1", [1.0] * 3)]
+    q = spark.createDataFrame([(1, "p", [1.0, 1.0, 1.0]), (2, "none", [1.0] * 3), (3, "o", [1.0] * 3), (4, "p", [1.0])], asked)
+    index = AnnIndex(spark, str(tmp_path / "a"))
+    index.build(spark.createDataFrame(rows, kind))
+    got = index.search(q, 60, probes=1.0).collect()
+    assert {r.query_id for r in got} == {1, 3} and sum(r.query_id == 1 for r in got) == 50
+    none = AnnIndex(spark, str(tmp_path / "b"))
+    none.build(spark.createDataFrame([], kind))
+    assert none.search(q).count() == 0
