@@ -107,7 +107,7 @@ class _JobRecord(StatefulProcessor):
 
 def job_record_stream(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """job_records() of a stream, for outputMode('update'): a job's whole record whenever an event comes in. ttl_ms forgets
-    jobs by processing time. Needs the RocksDB state store."""
+    jobs by processing time, for a trigger by time (with availableNow such a query finds no end). Needs the RocksDB state store."""
     kind = dict(events.dtypes)["job_id"]
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     each = [F.when(sets, F.struct(F.lit(c).alias("c"), at.alias("at"), F.col("event_id").cast("long").alias("id"), (F.unix_micros(v) if c == "finished_at" else v).cast("string").alias("v"))) for c, (sets, v) in _sets().items()]
