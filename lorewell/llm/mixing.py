@@ -155,7 +155,8 @@ def _filling(inside: DataFrame) -> DataFrame:
 
     Each pass takes rows in hash order while they fit, of those that are small enough for what the passes before have
     left, so a very long row blocks none behind it. In the end one row, or none, is changed for another, or none: those
-    two whose sizes differ most nearly by what is still left. A source has 2 * NEAR such blocks of about BLOCK_WORDS."""
+    two whose sizes differ most nearly by what is still left. A source has 2 * NEAR such blocks of about BLOCK_WORDS words;
+    rows without words aren't among them, so these are as many rows at most, whatever the count of empty texts."""
     source = Window.partitionBy("source")
     line = source.orderBy(F.xxhash64(F.lit(SEED + 2), "key"), "key")
     now = inside.groupBy("source", "key", "left", "taken").agg(F.sum("size").alias("size"))
@@ -199,7 +200,7 @@ def mixing_plan(rows: DataFrame) -> tuple[DataFrame, int]:
     blocks = in_block.groupBy("source", "block", "n_blocks", "rest").agg(F.sum("size").alias("words"))
     cuts = staged(_cuts(blocks.filter("rest > 0")))
     cuts = cuts.withColumn("low", F.greatest(F.lit(0).cast("long"), F.col("cut") - NEAR)).withColumn("high", F.col("cut") + NEAR)
-    around = _beside(in_block.drop("rest", "n_blocks"), cuts, ["source"]).filter("block >= low and block < high")
+    around = _beside(in_block.drop("rest", "n_blocks"), cuts, ["source"]).filter("block >= low and block < high and size > 0")
     chosen = _filling(staged(around.select("source", "key", "size", "left", (F.col("block") < F.col("cut")).alias("taken"))))
     goal = staged(_beside(_beside(goal, cuts.drop("left", "cut"), ["source"], "left"), chosen, ["source"], "left").fillna({"low": 0, "high": 0}))
     quota = F.col("passes") * F.col("n_blocks") + F.least("high", "n_blocks")
