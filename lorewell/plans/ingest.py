@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from lorewell.operators import corpus
 from lorewell.operators import ingest as whole
+from lorewell.operators.metrics import sync_metrics
 from lorewell.operators.vectors import hash_embedding
+from lorewell.plans.answers import CHUNK_SIMS, TOKENS, _chunk_table
 from lorewell.plans.registry import DIFF, DOCS, _query, _read, _snapshots
 from lorewell.sources import scans
 from lorewell.streaming import jobs
@@ -109,3 +111,16 @@ def _(s, sf):
     name = F.when(F.col("c_name").endswith("7"), "Manual Uploads").otherwise(F.col("c_name")).alias("name")
     sources = _read(s, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("project_id"), kind, name, F.col("c_acctbal").alias("created_at"))
     return whole.upload_source_lookup(_read(s, sf, "nation").select(F.col("n_nationkey").alias("project_id")), sources)
+
+
+RUN = DIFF + """, j AS (SELECT CASE arg_max(event_type, (ts, event_id)) WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status FROM events GROUP BY user_id)
+SELECT """ + ", ".join(f"CAST((SELECT count(*) FROM diff WHERE change = '{c}') AS BIGINT) AS files_{c}" for c in ("added", "modified", "unchanged", "deleted")) + """,
+  c.chunks, c.tokens, c.embeddings, """ + ", ".join(f"CAST((SELECT count(*) FROM j WHERE status = '{c}') AS BIGINT) AS jobs_{c}" for c in ("running", "completed", "failed")) + f"""
+FROM ({CHUNK_SIMS}, given AS (SELECT DISTINCT id, content FROM d) SELECT CAST(count(*) AS BIGINT) AS chunks, CAST(sum({TOKENS}) AS BIGINT) AS tokens, CAST(count(*) AS BIGINT) AS embeddings FROM given) c"""
+
+
+@_query("run_metrics", RUN)
+def _(s, sf):
+    status = F.when(F.col("last") == "purchase", "completed").when(F.col("last") == "error", "failed").otherwise("running").alias("status")
+    states = _read(s, sf, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last")).select(status)
+    return sync_metrics(corpus.sync_diff(*_snapshots(s, sf)), _chunk_table(s, sf).select("token_count", "vector"), states)[0]
