@@ -8,7 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
-from lorewell.llm import fim, resampling, suffix_dedup
+from lorewell.llm import fim, mixing, resampling, suffix_dedup
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -183,3 +183,14 @@ def test_resampling(spark, docs, odd):
     assert resampling.resample(odd.limit(0), bench).count() == 0
     half = resampling.resample(odd, bench, share=100, least_words=1)
     assert sorted(r.rank for r in half.collect() if r["rank"] is not None) == [1, 2, 3, 4, 5, 6]
+
+
+def test_mixing_of_a_source_of_empty_texts(spark):
+    rows = [(i, "a" if i % 20 else "b", None if i % 3 else "") for i in range(6000)] + [(10_000 + i, "a", "w " * (1 + i % 90)) for i in range(60)] + [(20_000 + i, "b", "w " * 50) for i in range(400)]
+    made = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    sized = made.select("source", mixing.key_of().alias("key"), mixing.size_of().alias("size"))
+    assert all(len(r.chosen or []) <= 460 for r in mixing.mixing_plan(sized)[0].collect())
+    got, want = (mixing.mix(d).join(made.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).orderBy("source").collect() for d in (made, made.filter("text > ''")))
+    assert [(r.source, r.target) for r in got] == [(r.source, r.target) for r in want]
+    assert all(abs(r.taken - r.target) <= 90 for r in [*got, *want])
+    assert mixing.mixed_documents(made).filter("text > ''").count() > 0
