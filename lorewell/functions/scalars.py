@@ -152,16 +152,20 @@ def markdown_cell(value: Column) -> Column:
 
 
 def url_is_safe(url: Column) -> Column:
-    """http or https to a host that is neither internal by name nor a literal IPv4 address of a closed range. No lookup."""
-    parts = F.regexp_extract(F.trim(url), r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]+)", 1)
-    host = F.lower(parts)
+    """http or https to a host that is neither internal by name nor a literal IPv4 address of a closed range. Literal IPv6
+    addresses, and hosts of digits and dots (or hexadecimal numbers) that aren't four octets, are refused: resolvers read them as addresses in ways of their own. A dot at the end of
+    a host changes nothing. No lookup."""
+    host = F.lower(F.regexp_extract(F.trim(url), r"(?i)^https?://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)", 1))
+    host = F.regexp_replace(host, r"\.+$", "")
     inner = host.isin("localhost", "localhost.localdomain", "metadata", "metadata.google.internal") | host.rlike(r"\.(local|internal|localhost)$")
-    octets = F.transform(F.split(F.when(host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), host), r"\."), lambda x: x.cast("long"))
+    four = host.rlike(r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$")
+    odd = host.startswith("[") | ~four & host.rlike(r"^(0x[0-9a-f]*|\d+)(\.(0x[0-9a-f]*|\d+))*$")
+    octets = F.transform(F.split(F.when(four, host), r"\."), lambda x: x.cast("long"))
     ip = F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x)
     closed = F.lit(False)
     for net in map(ip_network, BLOCKED):
         closed = closed | ip.between(int(net[0]), int(net[-1]))
-    return F.coalesce(host != "", F.lit(False)) & ~inner & ~F.coalesce(closed, F.lit(False))
+    return F.coalesce(host != "", F.lit(False)) & ~inner & ~odd & ~F.coalesce(closed, F.lit(False))
 
 
 def glob_pattern(glob: str) -> str | None:

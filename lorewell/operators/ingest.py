@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lorewell.functions import scalars as S
 from lorewell.operators import catalog, corpus, vectors
+from lorewell.sources.staging import staged
 
 KEY = ["project_id", "file_path"]
 CHUNK = [*KEY, "chunk_index", "start_line", "end_line", "content", "token_count", "content_hash", "vector"]
@@ -48,20 +49,22 @@ def sync_corpus(documents: DataFrame, chunks: DataFrame, scanned: DataFrame, emb
 
     What was added or modified is chunked; a text that the project has a vector of keeps it, each other one is embedded
     once a project; chunks of what was modified or deleted go. An equal scan changes nothing. Rows without a project or a
-    path are left out; of scanned rows with one key one stays (that of the largest hash). Results are lazy: write the
-    chunks before they are read again, as each reading embeds anew. Read the stored tables and write to new ones."""
+    path are left out; of scanned rows with one key one stays (that of the largest hash). What was chunked and embedded is
+    staged in the shared folder, so it is done once however often the results are read. Read the stored tables and write
+    to new ones."""
     scanned = scanned.filter(~corpus.rejected(scanned, KEY)).groupBy(*KEY).agg(F.max_by(F.struct("language", "text", "content_hash"), "content_hash").alias("x")).select(*KEY, "x.*")
     diff = corpus.sync_diff(documents.select(*KEY, "content_hash"), scanned.select(*KEY, "content_hash"))
     changed = diff.filter(F.col("change").isin("added", "modified")).select(*KEY)
     stale = diff.filter(F.col("change").isin("modified", "deleted")).select(*KEY)
     files = scanned.join(changed, KEY, "left_semi")
-    made = _chunks_of(files)
+    made = staged(_chunks_of(files))  # read four times below
 
     known = chunks.filter("vector is not null").groupBy("project_id", "content_hash").agg(F.min("vector").alias("vector"))
     texts = made.groupBy("project_id", "content_hash").agg(F.min("content").alias("content"))
     cached = texts.join(known, ["project_id", "content_hash"])
     missing = texts.join(known, ["project_id", "content_hash"], "left_anti")
-    found = cached.select("project_id", "content_hash", "vector").union(vectors.embed_chunks(missing, embed).select("project_id", "content_hash", "vector"))
+    fresh_vectors = staged(vectors.embed_chunks(missing, embed).select("project_id", "content_hash", "vector"))
+    found = cached.select("project_id", "content_hash", "vector").union(fresh_vectors)
     new = made.join(found, ["project_id", "content_hash"]).select(*CHUNK)
 
     counts = made.groupBy(*KEY).agg(F.count("*").alias("n"))
@@ -71,7 +74,7 @@ def sync_corpus(documents: DataFrame, chunks: DataFrame, scanned: DataFrame, emb
     of = lambda change: F.count_if(F.col("change") == change).alias(change)
     stats = diff.groupBy("project_id").agg(*map(of, ("added", "modified", "unchanged", "deleted")))
     cost = made.groupBy("project_id").agg(F.count("*").alias("chunks"))
-    cost = cost.join(missing.groupBy("project_id").agg(F.count("*").alias("embedded")), "project_id", "left").withColumn("embedded", F.coalesce("embedded", F.lit(0)))
+    cost = cost.join(fresh_vectors.groupBy("project_id").agg(F.count("*").alias("embedded")), "project_id", "left").withColumn("embedded", F.coalesce("embedded", F.lit(0)))
     stats = stats.join(cost, "project_id", "left").fillna(0, ["chunks", "embedded"]).withColumn("saved", F.col("chunks") - F.col("embedded"))
     return Synced(kept.union(fresh), corpus.delete_rows(chunks, stale, KEY).select(*CHUNK).union(new), stats)
 

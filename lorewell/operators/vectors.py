@@ -37,9 +37,10 @@ def hash_embedding(texts: list[str], dimension: int = 64) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def embed_chunks(chunks: DataFrame, embed: Callable[[list[str]], np.ndarray], column: str = "content", batch: int = BATCH) -> DataFrame:
-    """chunks with vector: embed(texts) for batches of `batch` texts, in order. A count that differs is an error. A null
-    text counts as empty."""
+def embed_chunks(chunks: DataFrame, embed: Callable[[list[str]], np.ndarray], column: str = "content", batch: int = BATCH, dimension: int | None = None) -> DataFrame:
+    """chunks with vector: embed(texts) for batches of `batch` texts, in order. A count that differs, vectors of another
+    dimension than `dimension` (where it is given) or of several, and numbers that aren't finite are errors. A null text
+    counts as empty."""
 
     def vectors(texts: pd.Series) -> pd.Series:
         out = []
@@ -48,7 +49,12 @@ def embed_chunks(chunks: DataFrame, embed: Callable[[list[str]], np.ndarray], co
             got = embed(part)
             if len(got) != len(part):
                 raise ValueError(f"{len(got)} vectors for {len(part)} texts")
-            out += list(np.asarray(got, np.float32))
+            made = np.asarray(got, np.float32)
+            if len(made) and (made.ndim != 2 or dimension and made.shape[1] != dimension):
+                raise ValueError(f"vectors of shape {made.shape[1:]}, not of {dimension or 'one dimension'}")
+            if not np.isfinite(made).all():
+                raise ValueError("a vector isn't finite")
+            out += list(made)
         return pd.Series(out)
 
     return chunks.withColumn("vector", F.pandas_udf(vectors, "array<float>")(F.col(column)))
@@ -77,3 +83,22 @@ def ann_topk(queries: DataFrame, vectors: DataFrame, centres: list[list[float]],
     near = queries.withColumn("cell", F.explode(F.slice(_nearest(F.col("query_vector"), centres), 1, probes)))
     best = corpus.nearest(near, vectors.withColumn("cell", F.get(_nearest(F.col("vector"), centres), 0)), ["project_id", "cell"], k)
     return vectors.join(best, ["project_id", "id"]).join(queries.drop("project_id"), "query_id")
+
+
+#: Embedding functions by the name of their provider: name -> (function of texts, dimension).
+_PROVIDERS: dict[str, tuple[Callable[[list[str]], np.ndarray], int]] = {"hash": (hash_embedding, 64)}
+
+
+def register_provider(name: str, embed: Callable[[list[str]], np.ndarray], dimension: int) -> None:
+    """Makes an embedding function known by name (any case); a name that is taken, or no dimension, is an error."""
+    if name.lower() in _PROVIDERS or dimension <= 0:
+        raise ValueError(f"provider {name} is taken or has no dimension")
+    _PROVIDERS[name.lower()] = (embed, dimension)
+
+
+def embed_by(chunks: DataFrame, provider: str, column: str = "content", batch: int = BATCH) -> DataFrame:
+    """embed_chunks() by a provider's name; its vectors are held to its dimension."""
+    if provider.lower() not in _PROVIDERS:
+        raise ValueError(f"unknown provider {provider}; known: {', '.join(sorted(_PROVIDERS))}")
+    embed, dimension = _PROVIDERS[provider.lower()]
+    return embed_chunks(chunks, embed, column, batch, dimension)

@@ -133,3 +133,13 @@ def test_stray_markers_are_stripped(spark):
     have = spark.createDataFrame([(1, 1), (1, 2)], "query_id int, number int")
     got = {r.query_id: r.stripped for r in answers.citation_check(told, have).collect()}
     assert got == {1: "See [1], [^2], [02],  and .", 2: None, 3: "none"}
+
+
+def test_urls_and_globs_by_hand(spark):
+    for url, safe in {"http://127.1/": False, "http://[::1]/": False, "http://LOCALHOST./": False, "http://0x7f.1": False, "http://2130706433/": False, "http://8.8.8.8/x": True, "https://a.example./": True, "http://10.0.0.1.": False, "http://999.1.1.1/": False, "ftp://a.example": False}.items():
+        assert one(spark, S.url_is_safe, url) == [safe], url
+    got = lambda filters, *paths: one(spark, lambda c: S.file_filter(c, filters), *paths)
+    assert got(["a[0-9].go"], "src/a1.go", "src/ab.go") == [True, False] and got(["[^a-c]x", "\\*.md"], "dx", "ax", "*.md", "b.md") == [True, False, True, False]
+    assert got(["[a", "b["], "a", "b", "") == [False, False, True] and got(["src/*"], "src/a/b", "lib/a") == [True, False]
+    rows = spark.createDataFrame([("src/a1.go", ["*.md", "a[0-9].go"]), ("src/a1.go", ["*.md"]), ("x", None), ("", ["y"]), ("lib/q", ["lib/**"])], "p string, f array<string>")
+    assert [r[0] for r in rows.select(S.path_matches(F.col("p"), S.compiled_filters(F.col("f")))).collect()] == [True, False, True, True, True]

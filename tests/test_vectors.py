@@ -64,3 +64,12 @@ def test_index_on_odd_rows(spark, tmp_path):
     none = AnnIndex(spark, str(tmp_path / "b"))
     none.build(spark.createDataFrame([], kind))
     assert none.search(q).count() == 0
+
+
+def test_providers(spark):
+    texts = spark.createDataFrame([("a",), (None,)], "content string")
+    assert [len(r.vector) for r in vectors.embed_by(texts, "Hash").collect()] == [64, 64]
+    vectors.register_provider("short", lambda t: np.ones((len(t), 3)), 4)
+    for bad in (lambda: vectors.embed_by(texts, "short").collect(), lambda: vectors.embed_by(texts, "none"), lambda: vectors.register_provider("SHORT", len, 3), lambda: vectors.embed_chunks(texts, lambda t: np.full((len(t), 2), np.nan)).collect()):
+        with pytest.raises(Exception, match="shape|unknown|taken|finite"):
+            bad()
