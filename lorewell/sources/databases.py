@@ -8,7 +8,8 @@ from urllib.parse import parse_qsl, unquote, urlsplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.operators.catalog import drop_sensitive_columns
+from lorewell.functions import scalars as S
+from lorewell.operators.catalog import catalog_filter, catalog_fk_join, catalog_pk_join, catalog_tree, drop_sensitive_columns
 from lorewell.sources.scans import DATABASES, jdbc_url
 
 # Other names of the databases.
@@ -97,3 +98,43 @@ def jdbc_table(spark: SparkSession, url: str, name: str, columns: list[str], key
     ranges = key_ranges(spark, url, target, key, parts, **options)
     asked = ", ".join(map(quote, [*kept, *([] if key in kept else [key])]))
     return spark.read.jdbc(url, f"(SELECT {asked} FROM {target}) lorewell_rows", predicates=ranges, properties=dict(options)).select(*[F.col("`" + c.replace("`", "``") + "`") for c in kept])
+
+
+def _view(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
+    """A catalog view of the database with column names in lower case, whatever case the engine gives them."""
+    rows = spark.read.format("jdbc").options(url=url, dbtable=f"information_schema.{name}", **options).load()
+    return rows.select(*[F.col(c).alias(c.lower()) for c in rows.columns])
+
+
+def _or_null(rows: DataFrame, name: str):
+    return F.nullif(F.col(name).cast("string"), F.lit("")) if name in rows.columns else F.lit(None).cast("string")
+
+
+def jdbc_catalog(spark: SparkSession, url: str, engine: str, schemas: list[str] = (), tables: list[str] = (), **options: str) -> DataFrame:
+    """The catalog of a database as catalog_tree(): a row a table with its columns, primary key, foreign keys and comments.
+
+    Read from the information_schema of PostgreSQL, CockroachDB, MySQL, MariaDB and SQL Server as JDBC relations, so the
+    filters on schemas and tables, and the columns that are wanted, are the database's work. Engines differ: MySQL and
+    MariaDB say where a foreign key points in key_column_usage and have comments; SQL Server's foreign keys aren't read; indexes have no
+    place in information_schema and are left empty. An unknown engine is an error; a schema without tables gives no rows."""
+    if engine not in DATABASES or engine == "sqlite":
+        raise ValueError(f"no information_schema in {engine}")
+    mysql = engine in ("mysql", "mariadb")
+    kind = {"cockroachdb": "postgres", "sqlserver": "mssql"}.get(engine, engine)
+    if mysql and not schemas:
+        raise ValueError("a MySQL catalog needs the names of its schemas")
+    get = lambda name: catalog_filter(_view(spark, url, name, **options), kind, schemas, tables)
+    t, c = get("tables"), get("columns")
+    whole = t.select(F.col("table_schema").alias("schema"), F.col("table_name").alias("name"), S.table_kind(F.col("table_type")).alias("type"), _or_null(t, "table_comment").alias("comment"))
+    where = [F.col("table_schema").alias("schema"), F.col("table_name").alias("table")]
+    columns = c.select(*where, F.col("ordinal_position").cast("int").alias("position"), F.col("column_name").alias("column"), "data_type", (F.upper("is_nullable") == "YES").alias("nullable"), _or_null(c, "column_default").alias("default_value"), _or_null(c, "column_comment").alias("comment"))
+    constraints, usage = get("table_constraints"), get("key_column_usage")
+    if mysql:
+        to = [F.col(f"referenced_{a}").alias(b) for a, b in (("table_schema", "to_schema"), ("table_name", "to_table"), ("column_name", "to_column"))]
+        foreign = usage.filter("referenced_table_name is not null").select(*where, F.col("ordinal_position").alias("position"), F.col("column_name").alias("column"), *to)
+    elif kind == "mssql":
+        foreign = spark.createDataFrame([], "schema string, table string, position int, column string, to_schema string, to_table string, to_column string")
+    else:
+        foreign = catalog_fk_join(constraints, usage, _view(spark, url, "constraint_column_usage", **options))
+    none = spark.createDataFrame([], "schema string, table string, position int, index string, unique boolean, column_list string")
+    return catalog_tree(whole, columns, catalog_pk_join(constraints, usage), foreign, none)

@@ -2,6 +2,7 @@
 
 import pytest
 from lorewell.operators import metrics
+from lorewell.operators.catalog import table_ddl_document
 from lorewell.sources import databases
 from pyspark.sql import functions as F
 
@@ -76,3 +77,52 @@ def test_figures_of_a_stream(spark, tmp_path):
     finally:
         spark.streams.removeListener(seen)
     assert seen.totals["files"]["files_added"] == 2 and seen.totals["files"]["files_deleted"] == 1
+
+
+CATALOG = """
+CREATE SCHEMA information_schema;
+CREATE TABLE information_schema.tables (table_schema VARCHAR(30), table_name VARCHAR(30), table_type VARCHAR(30), table_comment VARCHAR(30));
+CREATE TABLE information_schema.columns (table_schema VARCHAR(30), table_name VARCHAR(30), column_name VARCHAR(30), ordinal_position INT, data_type VARCHAR(30), is_nullable VARCHAR(3), column_default VARCHAR(30), column_comment VARCHAR(30));
+CREATE TABLE information_schema.table_constraints (constraint_name VARCHAR(30), table_schema VARCHAR(30), table_name VARCHAR(30), constraint_type VARCHAR(30));
+CREATE TABLE information_schema.key_column_usage (constraint_name VARCHAR(30), table_schema VARCHAR(30), table_name VARCHAR(30), column_name VARCHAR(30), ordinal_position INT, referenced_table_schema VARCHAR(30), referenced_table_name VARCHAR(30), referenced_column_name VARCHAR(30));
+CREATE TABLE information_schema.constraint_column_usage (constraint_name VARCHAR(30), constraint_schema VARCHAR(30), table_schema VARCHAR(30), table_name VARCHAR(30), column_name VARCHAR(30));
+INSERT INTO information_schema.tables VALUES ('app', 'users', 'BASE TABLE', ''), ('app', 'orders', 'BASE TABLE', 'what was sold'), ('app', 'v', 'VIEW', NULL), ('pg_catalog', 'pg_class', 'BASE TABLE', NULL), ('other', 'x', 'BASE TABLE', NULL);
+INSERT INTO information_schema.columns VALUES ('app', 'users', 'name', 2, 'text', 'YES', NULL, NULL), ('app', 'users', 'id', 1, 'integer', 'NO', NULL, 'key'), ('app', 'orders', 'id', 1, 'integer', 'NO', NULL, NULL), ('app', 'orders', 'user_id', 2, 'integer', 'NO', NULL, NULL), ('app', 'orders', 'status', 3, 'text', 'YES', 'new', NULL), ('other', 'x', 'y', 1, 'int', 'YES', NULL, NULL);
+INSERT INTO information_schema.table_constraints VALUES ('users_pk', 'app', 'users', 'PRIMARY KEY'), ('orders_pk', 'app', 'orders', 'PRIMARY KEY'), ('orders_fk', 'app', 'orders', 'FOREIGN KEY');
+INSERT INTO information_schema.key_column_usage VALUES ('users_pk', 'app', 'users', 'id', 1, NULL, NULL, NULL), ('orders_pk', 'app', 'orders', 'id', 1, NULL, NULL, NULL), ('orders_fk', 'app', 'orders', 'user_id', 1, 'app', 'users', 'id');
+INSERT INTO information_schema.constraint_column_usage VALUES ('orders_fk', 'app', 'app', 'users', 'id')
+"""
+
+
+@pytest.fixture(scope="module")
+def catalog(spark):
+    """An information_schema made by hand in Derby, which has none of its own."""
+    url = "jdbc:derby:memory:catalog;create=true"
+    spark.range(1).write.jdbc(url, "LOADED", "overwrite", DRIVER)  # makes Spark load the driver
+    held = spark._jvm.java.sql.DriverManager.getConnection(url)
+    for sql in CATALOG.split(";"):
+        held.createStatement().executeUpdate(sql)
+    held.close()
+    return url
+
+
+@pytest.mark.parametrize("engine", ["postgres", "mysql", "sqlserver"])
+def test_catalogs(spark, catalog, engine):
+    tree = databases.jdbc_catalog(spark, catalog, engine, ["app"], **DRIVER)
+    got = {r.name: r for r in tree.collect()}
+    assert sorted(got) == ["orders", "users", "v"] and got["v"].type == "view" and got["orders"].comment == "what was sold" and got["users"].comment is None
+    assert [(c.column, c.nullable, c.default_value) for c in got["orders"].columns] == [("id", False, None), ("user_id", False, None), ("status", True, "new")]
+    assert [k.column for k in got["users"].primary_key] == ["id"] and got["v"].columns == []
+    assert [(f.column, f.to_schema, f.to_table, f.to_column) for f in got["orders"].foreign_keys] == ([] if engine == "sqlserver" else [("user_id", "app", "users", "id")])
+    plan = tree._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [*In(TABLE_SCHEMA, [app])" in plan or "PushedFilters: [*IsNotNull(TABLE_SCHEMA), *EqualTo(TABLE_SCHEMA,app)" in plan or "*EqualTo(TABLE_SCHEMA,app)" in plan
+
+
+def test_catalog_documents_and_filters(spark, catalog):
+    tree = databases.jdbc_catalog(spark, catalog, "postgres", **DRIVER)
+    assert sorted(r.name for r in tree.select("name").collect()) == ["orders", "users", "v", "x"]  # the engine's own schemas are left out
+    docs = {r.path: r.content for r in table_ddl_document(databases.jdbc_catalog(spark, catalog, "postgres", ["app"], ["orders"], **DRIVER), "shop", "postgres").collect()}
+    assert list(docs) == ["schema/app/orders.sql"] and "FOREIGN KEY (user_id) REFERENCES app.users(id)" in docs["schema/app/orders.sql"] and "-- Description: what was sold" in docs["schema/app/orders.sql"]
+    for bad in (("sqlite", ["a"]), ("oracle", ["a"]), ("mysql", [])):
+        with pytest.raises(ValueError):
+            databases.jdbc_catalog(spark, catalog, *bad, **DRIVER)
