@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lorewell.operators.ann import AnnIndex
 from lorewell.plans.answers import CHUNK_SIMS, FOUND, HITS, TOKENS, _chunk_table, _found
 from lorewell.plans.registry import _query, _retrieval
 from lorewell.sources.staging import new_folder
@@ -58,3 +59,12 @@ def _(s, sf):
     rows, store = _rows(s, sf), ChunkStore(s, new_folder(s, "store"))
     store.upsert(rows)
     return _found(store.retrieve(_retrieval(s, sf)[0]))
+
+
+@_query("ann_index_topk")
+def _(s, sf):
+    """The k likeliest rows through the index; no SQL, as it is approximate: its recall is measured in the tests."""
+    asked, d = _retrieval(s, sf)
+    index = AnnIndex(s, new_folder(s, "index"))
+    index.build(d.select("project_id", "id", "vector"))
+    return index.search(asked).select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
