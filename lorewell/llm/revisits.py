@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from lorewell.llm.common import staged, table
 
-#: Records that a span of time holds about, and spans at most.
-SPAN_RECORDS, SPANS = 50_000, 10_000
+#: Records that a range of time holds at most.
+SPAN_RECORDS = 1_000_000
 #: Headers that a 304 answer may change.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "vary"]
 
@@ -39,12 +39,12 @@ def validators(etag: Column, modified: Column, their_etag: Column, their_modifie
     return F.when(same.isNull(), "unchecked").when(same, "resolved").otherwise("mismatch")
 
 
-def span_of(records: DataFrame) -> Column:
-    """The span of time that ts falls into: quantiles over all records, so no span, of whatever URL, holds many more than
-    SPAN_RECORDS (or a SPANS-th) of them."""
-    spans = min(SPANS, max(1, records.count() // SPAN_RECORDS))
-    ends = records.agg(F.percentile_approx("ts", [i / spans for i in range(1, spans)] or [0.5], 10 * SPANS)).first()[0] if spans > 1 else []
-    return F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col("ts"))) if ends else F.lit(0)
+def dealt_by_time(records: DataFrame) -> DataFrame:
+    """records with part: ranges of ts, of about equally many records and SPAN_RECORDS at most or so, as many as shuffle
+    partitions at least, in order. Records of one time are told apart by a hash, so a time with a third of all records is
+    many parts too. Written once."""
+    parts = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-records.count() // SPAN_RECORDS))
+    return staged(records.repartitionByRange(parts, "ts", F.xxhash64("record_id", "etag", "last_modified")).withColumn("part", F.spark_partition_id()))
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
@@ -52,8 +52,9 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     revisit: record_id, canonical_url, response_id, status, headers.
 
     An as-of join: for each revisit the full response of the same canonical URL with the largest (ts, record_id) before
-    its own ts. A URL's records are dealt out by spans of time; the last response of each span is carried to later spans
-    over one row a span, so a URL with a third of all records is no single task. status: see validators(); 'orphan' where
+    its own ts. Records are dealt out by ranges of time; of each range a URL's last response and its last one of an earlier
+    time are carried on, over three rows a range at most, so neither a URL nor a time with a third of all records is a
+    single task. A revisit meets what its own range has before it, and what stands before that range begins, or at that very moment if the revisit comes later. status: see validators(); 'orphan' where
     nothing earlier stands; response_id and headers are null for a mismatch and an orphan. Headers are the response's with
     the permitted ones of the revisit over them, names in lower case. Revisits with a null URL or time are orphans and
     responses with one are never found; a revisit at the time of a response is not after it; repeated rows are returned
@@ -63,15 +64,23 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     r = records.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "ts", "kind", "etag", "last_modified", lower_names(F.coalesce("headers", none)).alias("headers"))
     usable = F.col("canonical_url").isNotNull() & F.col("ts").isNotNull()
     lost = r.filter(~usable & (F.col("kind") == "revisit")).select("record_id", "canonical_url", F.lit(None).cast(dict(r.dtypes)["record_id"]).alias("response_id"), F.lit("orphan").alias("status"), F.lit(None).cast("map<string,string>").alias("headers"))
-    r = r.filter(usable).withColumn("span", span_of(records))
+    r = dealt_by_time(r.filter(usable))
     answer = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "etag", "last_modified", "headers"))
     when = F.when(F.col("kind") == "response", F.struct("ts", "record_id"))
-    lasts = r.groupBy("canonical_url", "span").agg(F.max_by(answer, when).alias("last"))
-    order = Window.partitionBy("canonical_url").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    lasts = lasts.select("canonical_url", "span", F.last("last", ignorenulls=True).over(order).alias("carried")).filter("carried is not null")
-    inside = Window.partitionBy("canonical_url", "span").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("here", F.max_by(answer, when).over(inside)).filter("kind = 'revisit'")
-    r = r.join(lasts, ["canonical_url", "span"], "left").withColumn("found", F.coalesce("here", "carried"))
+    each = r.filter("kind = 'response'").groupBy("canonical_url", "part", "ts").agg(F.max_by(answer, when).alias("answer"))
+    latest = Window.partitionBy("canonical_url", "part").orderBy(F.desc("ts"))
+    lasts = each.withColumn("n", F.row_number().over(latest)).filter("n <= 2").select("canonical_url", "ts", "answer", F.lit(None).cast("int").alias("part"))
+    begins = r.groupBy("part").agg(F.min("ts").alias("ts"))
+    asks = r.select("canonical_url", "part").distinct().join(begins, "part").select("canonical_url", "ts", F.lit(None).cast(dict(lasts.dtypes)["answer"]).alias("answer"), "part")
+    line = Window.partitionBy("canonical_url").orderBy("ts")
+    pick = lambda upto: F.max_by("answer", F.when(F.col("answer").isNotNull(), F.struct("answer.ts", "answer.record_id"))).over(line.rangeBetween(Window.unboundedPreceding, upto))
+    carried = lasts.union(asks).select("*", pick(-1).alias("earlier"), pick(0).alias("by_then")).filter("part is not null")
+    carried = carried.select("canonical_url", "part", F.col("ts").alias("begin"), "earlier", "by_then")
+    inside = Window.partitionBy("canonical_url", "part").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("here", F.max_by(answer, when).over(inside)).filter("kind = 'revisit'").join(carried, ["canonical_url", "part"])
+    before = F.when(F.col("ts") > F.col("begin"), F.col("by_then")).otherwise(F.col("earlier"))
+    later = F.col("here.ts").isNotNull() & (before["ts"].isNull() | (F.struct("here.ts", "here.record_id") > F.struct(before["ts"], before["record_id"])))
+    r = r.withColumn("found", F.when(later, F.col("here")).otherwise(before))
     status = F.when(F.col("found").isNull(), "orphan").otherwise(validators(F.col("etag"), F.col("last_modified"), F.col("found.etag"), F.col("found.last_modified")))
     own = F.map_filter("headers", lambda k, _: k.isin(PERMITTED))
     merged = F.map_concat(F.map_filter(F.col("found.headers"), lambda k, _: ~F.map_contains_key(own, k)), own)

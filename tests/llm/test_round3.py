@@ -8,7 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
-from lorewell.llm import fim, mixing, resampling, suffix_dedup
+from lorewell.llm import fim, mixing, resampling, revisits, suffix_dedup
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -194,3 +194,17 @@ def test_mixing_of_a_source_of_empty_texts(spark):
     assert [(r.source, r.target) for r in got] == [(r.source, r.target) for r in want]
     assert all(abs(r.taken - r.target) <= 90 for r in [*got, *want])
     assert mixing.mixed_documents(made).filter("text > ''").count() > 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_revisits_of_one_time_and_one_url(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(900):
+        hot = rng.random() < 0.4
+        kind = "response" if rng.random() < 0.5 else "revisit"
+        rows.append((i, "http://hot.example/" if hot else f"http://h{rng.randrange(9)}.example/", 500 if rng.random() < 0.4 else rng.randrange(0, 1000, 50), kind))
+    made = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string").selectExpr("*", "cast(null as string) etag", "cast(null as string) last_modified", "cast(null as map<string,string>) headers")
+    got = {r.record_id: r.response_id for r in revisits.resolve_revisits(made).collect()}
+    want = {i: max(((t, j) for j, v, t, k2 in rows if v == u and t < ts and k2 == "response"), default=(None, None))[1] for i, u, ts, k in rows if k == "revisit"}
+    assert got == want
