@@ -8,7 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
-from lorewell.llm import fim, mixing, resampling, revisits, suffix_dedup
+from lorewell.llm import edit_embedding, fim, mixing, resampling, revisits, suffix_dedup
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -208,3 +208,17 @@ def test_revisits_of_one_time_and_one_url(spark, seed):
     got = {r.record_id: r.response_id for r in revisits.resolve_revisits(made).collect()}
     want = {i: max(((t, j) for j, v, t, k2 in rows if v == u and t < ts and k2 == "response"), default=(None, None))[1] for i, u, ts, k in rows if k == "revisit"}
     assert got == want
+
+
+def test_fingerprints_are_places_of_the_whole_embedding():
+    """The embedding written out in full: each character is said as often as its class stays at that time."""
+    stay, records, _ = edit_embedding._walk()
+    rng = random.Random(4)
+    for text in ["", "a", "é" * 50, *["".join(rng.choice("abc dé日") for _ in range(rng.randrange(400))) for _ in range(30)]]:
+        said = []
+        for ch in text:
+            c = (ord(ch) * 0x9E3779B1 >> 13) % edit_embedding.CLASSES
+            said += [c] * stay[c][len(said) % edit_embedding.PERIOD]
+        at = [max(p for p in own if p <= max(2 * len(text) - 1, 0)) for own in records]
+        want = "".join("0123456789abcdefghijklmnopqrstuv"[said[p]] if p < len(said) else "-" for p in at)
+        assert edit_embedding.fingerprint(text) == want
