@@ -156,6 +156,17 @@ def nearest(queries: DataFrame, vectors: DataFrame, on: list[str], k: int = 5) -
     each block of rows, and broadcast where Catalyst finds them small. A window's limit is applied before its shuffle,
     first within the blocks of a salt and then over what they leave."""
     k = k if k > 0 else 5
+    met = similarities(queries, vectors, on, k)
+    for part in (["query_id", F.col("part") % SALTS], ["query_id"]):
+        order = Window.partitionBy(*part).orderBy(F.desc(F.round("similarity", 12)), "id")
+        met = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return met.drop("part")
+
+
+def similarities(queries: DataFrame, vectors: DataFrame, on: list[str], k: int | None = None) -> DataFrame:
+    """query_id, project_id, id, part, similarity of all rows that agree with a query in all of `on`, by block products (see
+    nearest()); with k, of the best k a query in each block alone. Without it the result is as large as asked for: each
+    query with each row of its key."""
     kinds = dict(vectors.dtypes) | dict(queries.dtypes)
     found = packed(vectors, on, "id", "vector", BLOCK_ROWS, "rows")
     asked = packed(queries, on, "query_id", "query_vector", BLOCK_QUERIES, "asked").drop("part", "parts")
@@ -170,11 +181,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, on: list[str], k: int = 5) -
                 same = lambda c, n=len(at), i=i: pa.array([batch.column(c)[i].as_py()] * n, batch.schema.field(c).type)
                 yield pa.RecordBatch.from_arrays([asked.field(0).take(pa.array(at)), same("project_id"), rows.field(0).take(pa.array(of)), same("part"), near], ["query_id", "project_id", "id", "part", "similarity"])
 
-    met = pairs.mapInArrow(work, f"query_id {kinds['query_id']}, project_id {kinds['project_id']}, id {kinds['id']}, part int, similarity double")
-    for part in (["query_id", F.col("part") % SALTS], ["query_id"]):
-        order = Window.partitionBy(*part).orderBy(F.desc(F.round("similarity", 12)), "id")
-        met = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return met.drop("part")
+    return pairs.mapInArrow(work, f"query_id {kinds['query_id']}, project_id {kinds['project_id']}, id {kinds['id']}, part int, similarity double")
 
 
 def packed(rows: DataFrame, on: list[str], id_: str, vector: str, most: int, name: str) -> DataFrame:
@@ -198,13 +205,17 @@ def _matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.divide(whole, norm, out=np.zeros_like(whole), where=norm != 0), size, null
 
 
-def _best(asked: tuple, rows: tuple, k: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(query, row, similarity) of the k best rows of each query, ties in order of the rows; null where a vector is."""
+def _best(asked: tuple, rows: tuple, k: int | None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(query, row, similarity) of the k best rows of each query, ties in order of the rows, or of all of them; null where
+    a vector is."""
     (a, a_size, a_null), (b, b_size, b_null) = asked, rows
     width = min(a.shape[1], b.shape[1])
     near = a[:, :width] @ b[:, :width].T
     near[a_size[:, None] != b_size] = 0
     missing = a_null[:, None] | b_null | np.isnan(near)
+    if k is None:
+        at, of = np.divmod(np.arange(near.size), max(1, near.shape[1]))
+        return at, of, pa.array(near.ravel(), mask=missing.ravel())
     key = -np.round(np.where(missing, -np.inf, near), 12)
     n = min(k, key.shape[1])
     of = np.empty((len(key), n), np.int64)

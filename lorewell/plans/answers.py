@@ -134,8 +134,7 @@ for _name, _col, _sql in [("eval_recall_at_k", "recall", "hits / wanted"), ("eva
 
 @_query("similarity_join", f"{SIMS} SELECT query_id, id, round(sim, 6) AS similarity FROM sims")
 def _(s, sf):
-    q, d = _retrieval(s, sf)
-    return d.join(q, "project_id").select("query_id", "id", F.round(S.cosine_similarity(F.col("vector"), F.col("query_vector")), 6).alias("similarity"))
+    return corpus.similarities(*_retrieval(s, sf), ["project_id"]).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
 @_query("file_filter", rf"WITH {DOCS} SELECT doc_id FROM docs WHERE regexp_matches(file_path, '^[^/]*/[^/]*7\.md$') OR starts_with(file_path, 'src1') OR starts_with(file_path, 'src2/1.md')")

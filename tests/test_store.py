@@ -113,3 +113,5 @@ def test_block_products_are_plain_products(spark, monkeypatch):
         want += [(i, n + 1, id_, None if gone else round(-s, 6)) for n, (gone, s, id_) in enumerate(mine)]
     got = vector_topk(asked, d, 9).select("query_id", "rank", "id", F.round("similarity", 6)).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+    every = corpus.similarities(asked, d, ["project_id"]).select("query_id", "id", F.round("similarity", 9)).collect()
+    assert sorted(map(tuple, every), key=repr) == sorted(((r.query_id, r.id, None if r.s is None else round(r.s, 9)) for r in met), key=repr)
