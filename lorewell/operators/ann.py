@@ -101,7 +101,7 @@ class AnnIndex:
     def model(self) -> tuple[np.ndarray, np.ndarray]:
         row = self.spark.read.parquet(f"{self.path}/model").first()
         centres, books = (np.array(json.loads(x), float) for x in row)
-        return centres.reshape(len(centres), -1), books
+        return (centres, books) if len(centres) else (np.zeros((0, 0)), np.zeros((0, 0, WIDE)))
 
     def candidates(self, queries: DataFrame, most: int, probes: float = PROBES) -> DataFrame:
         """queries(query_id, project_id, query_vector) -> query_id, project_id, cell, id, near: the `most` rows likeliest by
