@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import re
 import zlib
 
@@ -129,6 +130,33 @@ def test_suffix_dedup(spark, docs, monkeypatch, small):
         assert out(docs) == removed_by_hand([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_suffix_dedup_holds_few_places_at_once():
+    """Comparing pieces and picking out strings takes a few times the pieces' bytes, not eight bytes for each of them."""
+    rng = np.random.RandomState(4)
+    lead = rng.randint(97, 99, (30_000, suffix_dedup._width(50))).astype(np.uint8)
+    lead[:, :20], lead[:, -2], lead[:, -1] = 120, 30, 80
+    anchor, full = np.zeros(len(lead), np.int64), np.full(4000, 100)
+
+    def peak(f, *args):
+        tracemalloc.start()
+        out = f(*args)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    (before, behind), most = peak(suffix_dedup._reach, lead, anchor, 50)
+    assert most < 10 * lead.nbytes
+    for i in rng.randint(0, len(lead), 5):
+        text = lambda r: bytes(r[50:80]) + bytes(r[:50])
+        same = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y, strict=True)) if p != q), len(x))
+        others = [text(r) for r in np.delete(lead, i, axis=0)]
+        mine = text(lead[i])
+        assert before[i] == max(same(mine[29::-1], o[29::-1]) for o in others) and behind[i] == max(same(mine[30:], o[30:]) for o in others)
+    (string, piece, at), most = peak(suffix_dedup._strings, lead[:4000], full, full, 50)
+    assert len(string) == 31 * 4000 and most < 10 * string.nbytes
+    assert all(bytes(string[k]) == text(lead[piece[k]])[at[k] : at[k] + 50] for k in range(0, len(string), 997))
+
+
 def test_suffix_dedup_on_odd_rows(odd):
     got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.without_repeats(odd).collect()}
     assert got == {(1, 0, 0, 0), (2, 0, 0, 0), (3, 14, 0, 0), (4, 14, 0, 0), (None, 180, 0, 0), (6, 600_000, 0, 0), (7, 2, 0, 0), (8, 7, 0, 0)}
