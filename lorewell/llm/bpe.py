@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from lorewell.llm.common import table, text_of
 
-#: Words whose ids a Python worker remembers at most; beyond it the memory starts anew.
-REMEMBERED = 250_000
+#: Words after which a Python worker's memory begins a new generation; the one before is kept too, and a word that is met
+#: again moves into the new one, so frequent words stay. Rows and characters that are worked on at once, at least one row.
+REMEMBERED, ROWS, CHARACTERS = 40_000, 256, 1 << 20
 
 
 def _byte_letters() -> list[str]:
@@ -44,7 +45,11 @@ class WordBpe:
         self.names = names | {i: t for t, i in self.special.items()}
         self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"), regex.V0)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def words(self, text: str) -> list[str]:
         """Normalised words in order; special tokens stand as they are, with a capital A, which no lower-cased word has, before them."""
@@ -123,8 +128,10 @@ class WordBpe:
     def remember(self, words: set[str]) -> None:
         """Fills known for all words: their ids as bytes and their tokens joined."""
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = sorted(w for w in words if w not in self.known)
+            self.older, self.known = self.known, {}
+        missing = [w for w in words if w not in self.known]
+        self.known.update((w, self.older[w]) for w in missing if w in self.older)
+        new = sorted(w for w in missing if w not in self.older)
         plain = [w for w in new if w[0] != "A"]
         for w, ids in zip(plain, self.encode_words(plain), strict=True):
             self.known[w] = (b"".join(i.to_bytes(4, "little") for i in ids), " ".join(self.names[i] for i in ids))
@@ -163,16 +170,21 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(ids)), lists, pa.array(n), pa.array(decoded, pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
+        t.forget()  # the worker lives on, and other steps need its memory
 
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>, n_tokens long, decoded string")
 
 
 def _chunks(t: WordBpe, b: pa.RecordBatch) -> Iterator[tuple[list[bytes], list[str], int]]:
-    """A batch 256 rows at a time, words new to the worker encoded together."""
-    for at in range(0, b.num_rows, 256):
-        texts = [x or "" for x in b.column(1).slice(at, 256).to_pylist()]
-        got = t.encode(texts)
-        yield [x for x, _ in got], [y for _, y in got], at
+    """A batch some rows at a time (see ROWS and CHARACTERS), words new to the worker encoded together."""
+    texts, size, at = [], 0, 0
+    for i, x in enumerate(b.column(1)):
+        texts.append(x.as_py() or "")
+        size += len(texts[-1])
+        if len(texts) == ROWS or size >= CHARACTERS or i + 1 == b.num_rows:
+            got = t.encode(texts)
+            yield [x for x, _ in got], [y for _, y in got], at
+            texts, size, at = [], 0, i + 1
 
 
 def digests_of(encoded: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -195,6 +196,29 @@ def test_bpe(docs, odd):
     assert bpe.encoding_digests(odd, bpe.vocabulary()).count() == len(ODD)
 
 
+def test_bpe_worker_holds_little(monkeypatch):
+    """Frequent words outlive the others in a worker's memory, which stays within two generations and a chunk; long texts are
+    worked on a few at a time."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    monkeypatch.setattr(bpe, "CHARACTERS", 500)
+    t, mine, coded = Tokenizer.from_file(bpe.vocabulary()), bpe.WordBpe(bpe.vocabulary()), []
+    encode_words = mine.encode_words
+    mine.encode_words = lambda words: coded.extend(words) or encode_words(words)
+    texts = [" ".join(["often", *(f"w{i}x{j}" for j in range(20))]) for i in range(40)] + ["long " * 300, None, ""]
+    batch, rows = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts}), 0
+    for ids, decoded, at in bpe._chunks(mine, batch):
+        assert at == rows and len(ids) <= 5 and len(mine.known) + len(mine.older) < 400
+        for x, y, text in zip(ids, decoded, texts[at:], strict=False):
+            want = t.encode(text or "", add_special_tokens=False).ids
+            assert np.frombuffer(x, "<u4").tolist() == want and y == t.decode(want, skip_special_tokens=False)
+        rows += len(ids)
+    assert rows == len(texts) and coded.count("often") == 1
+    mine.forget()
+    assert not mine.known and not mine.older
+
+
 def test_licenses(docs, odd):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     text = {r.doc_id: r.text for r in docs.collect()}
