@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain, groupby, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +23,9 @@ CLASSES, SWEEPS, ALPHA, BETA = 64, 6, 0.1, 0.5
 #: counted word is placed once. (Words said once or twice fit any class, and exchanging them too makes unseen texts
 #: likelier by less: at sf0.01 2 % instead of 6 %.)
 HELD, LEAST = 65_536, 5
-#: Parts that the exchanged words are dealt into; distinct words, and tokens, that a task counts before it hands them on.
-SLICES, DISTINCT, TOKENS = 512, 300_000, 1 << 22
+#: Parts that the exchanged words are dealt into; distinct words, and tokens, that a task counts before it hands them on;
+#: places of other words that a task works on at once.
+SLICES, DISTINCT, TOKENS, PLACES = 512, 300_000, 1 << 22, 1 << 16
 END = b""
 _NONE = 0xFFFF  # stands for the class of a word that isn't held
 
@@ -45,10 +48,17 @@ def count_words(train: DataFrame) -> DataFrame:
                     seen = Counter()
         if seen:
             yield _columns(word=pa.array(seen.keys(), pa.binary()), n=pa.array(seen.values(), pa.int64()))
+            seen.clear()
+        _give_back()
 
     return train.select(text_of().alias("text")).mapInArrow(work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _give_back() -> None:
+    """At a task's end: the worker lives on, and other steps need its memory."""
+    pa.default_memory_pool().release_unused()
+
+
 def _columns(**columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
@@ -72,47 +82,97 @@ def held_words(words: DataFrame) -> tuple[list[bytes], np.ndarray]:
     return [w for w, _ in rows], np.array([n for _, n in rows], np.int64)
 
 
+def _summed(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of at in order, and the sum of n over each."""
+    order = np.argsort(at, kind="stable")
+    at, n = at[order], n[order]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    return at[first], np.add.reduceat(n, first) if len(n) else n
+
+
+def _places(words: Iterator[bytes], of: dict[bytes, int], count: int) -> np.ndarray:
+    """The places of words in the list of held ones; -1: not held."""
+    return np.fromiter(map(of.get, words, repeat(-1)), np.int32, count)
+
+
 def count_pairs(train: DataFrame, held: list[bytes]) -> DataFrame:
-    """(a, b, n): how often the held word b follows the held word a; a text begins and ends with the end token."""
+    """(slice, after, at, n): how often which held words stand beside those of a slice (the words that are `slice` modulo
+    SLICES), after them or before them; a text begins and ends with the end token. at: packed, ascending numbers
+    (w // SLICES) * len(held) + v; n: packed counts over some of the texts, so the rows of a slice are to be added up."""
     shared, size = train.sparkSession.sparkContext.broadcast(held), len(held)
+    wide = -(-size // SLICES) * size  # numbers of a slice; fewer than 2 ** 31 up to a million held words
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = {w: i for i, w in enumerate(shared.value)}
-        end, get, said = of[END], of.get, []
-
-        def summed() -> pa.RecordBatch:
-            w = np.array(said, np.int64)
-            a, b = w[:-1], w[1:]
-            code, n = np.unique((a * size + b)[(a >= 0) & (b >= 0)], return_counts=True)
-            return _columns(a=pa.array(code // size, pa.int32()), b=pa.array(code % size, pa.int32()), n=pa.array(n, pa.int64()))
+        edge, cut, said, length = of[END], np.array([of[END], -1], np.int32), [], 0  # nothing stands between two texts
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            w = np.concatenate(said)
+            said.clear()
+            at = np.flatnonzero((w[:-1] >= 0) & (w[1:] >= 0)).astype(np.int32)
+            code = w[at].astype(np.int64)
+            code *= size
+            code += w[at + 1]
+            del w, at
+            code.sort()
+            first = np.flatnonzero(np.diff(code, prepend=-1))
+            n, code = np.diff(first, append=len(code)).astype("<i4"), code[first]
+            a, b = code // size, code % size
+            del first, code
+            for after, x, y in ((True, a, b), (False, b, a)):
+                key = x % SLICES * wide + x // SLICES * size + y
+                order = np.argsort(key)
+                key, m = key[order], n[order]
+                ends = np.searchsorted(key, np.arange(SLICES + 1) * wide)
+                some = np.flatnonzero(np.diff(ends))
+                key = (key % wide).astype("<i4")
+                packed = lambda c: pa.array([c[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary())  # noqa: B023, E731
+                yield _columns(slice=pa.array(some, pa.int32()), after=pa.array([after] * len(some)), at=packed(key), n=packed(m))
 
         for batch in batches:
             for text in batch.column(0):
-                said.append(end)
-                said += [get(w, -1) for w in tokens(text.as_py())]
-                said += (end, -1)  # nothing stands between two texts
-                if len(said) >= TOKENS:
-                    yield summed()
-                    said = []
+                words = tokens(text.as_py())
+                said += [np.array([edge], np.int32), _places(words, of, len(words)), cut]
+                length += len(words) + 3
+                if length >= TOKENS:
+                    yield from summed()
+                    length = 0
         if said:
-            yield summed()
+            yield from summed()
+        of.clear()
+        _give_back()
 
-    return train.select(text_of().alias("text")).mapInArrow(work, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return train.select(text_of().alias("text")).mapInArrow(work, "slice int, after boolean, at binary, n binary")
 
 
-def slices_of(pairs: DataFrame) -> DataFrame:
-    """(slice, after, w, v, n): the pairs of the words of a slice (those that are `slice` modulo SLICES) as packed numbers,
-    once with the words after them and once with those before. At most HELD * HELD / SLICES of each in a row."""
-    two = pairs.select(F.lit(True).alias("after"), F.col("a").alias("w"), F.col("b").alias("v"), "n").union(pairs.select(F.lit(False), "b", "a", "n"))
+def slices_of(pairs: DataFrame, held: int) -> DataFrame:
+    """(slice, r, l): the rows of count_pairs() added up: the pairs of the words of a slice as packed w, v and n, with the
+    words after them (r) and before them (l). At most HELD * HELD / SLICES of each in a row; a task adds up the rows of one
+    slice and side after another, some TOKENS pairs beyond the distinct ones at once."""
+    side = pa.struct([("w", pa.binary()), ("v", pa.binary()), ("n", pa.binary())])
 
-    def pack(key: tuple, t: pa.Table) -> pa.Table:
-        packed = lambda c, kind: pa.array([t.column(c).to_numpy().astype(kind).tobytes()], pa.binary())
-        w = pa.array([(t.column("w").to_numpy() // SLICES).astype("<i4").tobytes()], pa.binary())
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "after": [key[1].as_py()], "w": w, "v": packed("v", "<i4"), "n": packed("n", "<i8")})
+    def packed(at: np.ndarray, n: np.ndarray) -> dict:
+        return {"w": (at // held).astype("<i4").tobytes(), "v": (at % held).astype("<i4").tobytes(), "n": n.astype("<i8").tobytes()}
 
-    each = two.groupBy((F.col("w") % SLICES).alias("slice"), "after").applyInArrow(pack, "slice int, after boolean, w binary, v binary, n binary")
-    part = lambda after: F.max(F.when(F.col("after") == after, F.struct("w", "v", "n")))
-    return each.groupBy("slice").agg(part(True).alias("r"), part(False).alias("l"))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (x for b in batches for x in zip(*(b.column(c) for c in range(4)), strict=True))
+        for s, of_slice in groupby(rows, lambda x: x[0].as_py()):
+            found = {True: None, False: None}
+            for after, of_side in groupby(of_slice, lambda x: x[1].as_py()):
+                ats, ns, waiting = [], [], 0
+                for x in of_side:
+                    ats.append(np.frombuffer(x[2].as_py(), "<i4"))
+                    ns.append(np.frombuffer(x[3].as_py(), "<i4").astype(np.int64))
+                    waiting += len(ats[-1])
+                    if waiting >= TOKENS:
+                        at, n = _summed(np.concatenate(ats), np.concatenate(ns))
+                        ats, ns, waiting = [at], [n], 0
+                found[after] = packed(*_summed(np.concatenate(ats), np.concatenate(ns)))
+            yield _columns(slice=pa.array([s], pa.int32()), r=pa.array([found[True]], side), l=pa.array([found[False]], side))
+        _give_back()
+
+    kind = "struct<w:binary,v:binary,n:binary>"
+    return pairs.repartition("slice").sortWithinPartitions("slice", "after").mapInArrow(work, f"slice int, r {kind}, l {kind}")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -132,8 +192,8 @@ def pair_gains(left: np.ndarray, right: np.ndarray, own: np.ndarray, seen: np.nd
     for near, rows, log in ((left, seen, base), (right, seen.T, base.T)):
         w, d = np.nonzero(near)
         n = near[w, d]
-        for at in range(0, len(w), 1 << 14):
-            part = slice(at, at + (1 << 14))
+        for at in range(0, len(w), 1 << 12):
+            part = slice(at, at + (1 << 12))
             more = f(rows[d[part]] + n[part, None]) - log[d[part]]
             more[np.arange(len(more)), d[part]] = 0.0  # pairs of the class with itself are counted below
             first = np.flatnonzero(np.diff(w[part], prepend=-1))
@@ -266,53 +326,107 @@ def read_documents(docs: DataFrame, held: list[bytes], counts: np.ndarray, label
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, counts, labels = shared.value
         of, logs, uid = {w: i for i, w in enumerate(held)}, np.append(np.log10(counts + ALPHA), 0.0), TaskContext.get().partitionId() << 40
-        end, get, classes, known = of[END], of.get, np.append(labels, _NONE).astype("<u2"), np.append(counts > 0, False)
+        classes, known = np.append(labels, _NONE).astype("<u2"), np.append(counts > 0, False)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                part, made, words, befores, afters, ends = batch.slice(start, 256), [], [], [], [], [0]
+                part, said, starts = batch.slice(start, 256), [], [0]
                 for text in part.column(2):
-                    said = tokens(text.as_py())
-                    at = np.array([end, *[get(w, -1) for w in said], end], np.int64)
-                    c, rest = classes[at], np.flatnonzero(at < 0)
-                    words += [said[i - 1] for i in rest.tolist()]
-                    befores.append(c[rest - 1])
-                    afters.append(c[rest + 1])
-                    ends.append(len(words))
-                    made.append((uid, len(at) - 1, int(known[at[1:]].sum()), float(logs[at[1:]].sum()), c.tobytes()))
-                    uid += 1
-                number = lambda parts: pa.array(np.concatenate(parts).astype(np.int32), pa.int32())
-                rare = pa.StructArray.from_arrays([pa.array(words, pa.binary()), number(befores), number(afters)], fields=list(rare_type))
-                u, n, m, top, packed = zip(*made, strict=True)
-                yield _columns(uid=pa.array(u, pa.int64()), doc_id=part.column(0), held_out=part.column(1), n_tokens=pa.array(n, pa.int64()), known=pa.array(m, pa.int64()),
-                               top=pa.array(top, pa.float64()), classes=pa.array(packed, pa.binary()), rare=pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare))
+                    said.append(END)
+                    said += tokens(text.as_py())
+                    said.append(END)
+                    starts.append(len(said))
+                at, starts = _places(said, of, len(said)), np.array(starts)
+                c, rest, first = classes[at], np.flatnonzero(at < 0), starts[:-1]
+                rare = pa.StructArray.from_arrays([pa.array([said[i] for i in rest.tolist()], pa.binary()), *(pa.array(c[x].astype(np.int32)) for x in (rest - 1, rest + 1))], fields=list(rare_type))
+                ends, packed = pa.array(np.searchsorted(rest, starts), pa.int32()), pa.array([c[i:j].tobytes() for i, j in zip(first, starts[1:], strict=True)], pa.binary())
+                counted, top = known[at], logs[at]
+                counted[first], top[first] = False, 0.0  # the end token before a text is not one of its tokens
+                yield _columns(uid=pa.array(uid + np.arange(len(first)), pa.int64()), doc_id=part.column(0), held_out=part.column(1), n_tokens=pa.array(np.diff(starts) - 1, pa.int64()), known=pa.array(np.add.reduceat(counted, first, dtype=np.int64)),
+                               top=pa.array(np.add.reduceat(top, first)), classes=packed, rare=pa.ListArray.from_arrays(ends, rare))
+                uid += len(first)
+        of.clear()
+        _give_back()
 
     rows = docs.select("doc_id", (fold_of("doc_id", 10) == 0).alias("held_out"), text_of().alias("text"))
     return rows.mapInArrow(work, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, known long, top double, classes binary, rare array<struct<w:binary,b:int,a:int>>")
 
 
 def place_rare(read: DataFrame, seen: np.ndarray) -> DataFrame:
-    """(w, n, k) of every counted word that isn't held: n, and the class that raises the likelihood most as the word joins
-    it, by its own contexts: the classes of the held words before and after it. Words that stand among other such words
-    only have one more class to themselves, the last."""
+    """(uid, pos, n, k, w) of every place of a word that isn't held; n: the word's count, k: the class that raises the
+    likelihood most as the word joins it, by its own contexts: the classes of the held words before and after it. Words that
+    stand among other such words only have one more class to themselves, the last. A word without a count has n = 0 and no
+    class: _NONE. w: the word, at the first place of each counted one alone.
+
+    Places are dealt by word once, those in training texts first, so a word's class is known before its other places come."""
     k = len(seen)
-    each = read.filter(~F.col("held_out")).select(F.explode("rare").alias("x")).groupBy("x.w", "x.b", "x.a").agg(F.count("*").alias("n"))
-    met = each.groupBy("w").agg(F.sum("n").alias("n"), F.collect_list(F.struct("b", "a", "n")).alias("c"))  # k squared contexts at most
+    each = read.select("uid", "held_out", F.posexplode("rare").alias("pos", "x")).select("uid", "pos", "held_out", "x.w", "x.b", "x.a")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = gain_of_one(seen)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                part = batch.slice(start, 2048)
-                lists = part.column(2).combine_chunks() if isinstance(part.column(2), pa.ChunkedArray) else part.column(2)
-                offsets = lists.offsets.to_numpy()
-                b, a, n = (lists.values.field(c).to_numpy()[offsets[0] : offsets[-1]] for c in ("b", "a", "n"))
-                word = np.repeat(np.arange(part.num_rows), np.diff(offsets))
-                near = [np.bincount(word[x != _NONE] * k + x[x != _NONE], n[x != _NONE], part.num_rows * k).reshape(-1, k) for x in (b, a)]
-                best = of(*near)[:, : k - 1].argmax(axis=1)
-                best[(near[0].sum(axis=1) == 0) & (near[1].sum(axis=1) == 0)] = k
-                yield _columns(w=part.column(0), n=part.column(1), k=pa.array(best, pa.int32()))
+        best_of = _best_classes(seen)
+        before: tuple = (None, 0, 0)  # word, n and k of the last row, where its word's places in training texts are over
+        for t, new in _whole_words(batches):
+            held_out, w = t.column("held_out").to_numpy(zero_copy_only=False), t.column("w")
+            word = np.cumsum(new) - 1
+            train = ~held_out
+            n, best = np.bincount(word[train], minlength=word[-1] + 1), np.full(word[-1] + 1, _NONE)
+            counted = np.flatnonzero(n)
+            best[counted] = best_of(np.searchsorted(counted, word[train]), n[counted], *(t.column(c).to_numpy()[train] for c in ("b", "a")))
+            if w[0].as_py() == before[0]:
+                n[0], best[0] = before[1:]
+            before = (w[-1].as_py(), n[-1], best[-1]) if held_out[-1] else (None, 0, 0)
+            shown = pc.if_else(pa.array(new & train), w, pa.scalar(None, pa.binary()))
+            yield _columns(uid=t.column("uid"), pos=t.column("pos"), n=pa.array(n[word], pa.int64()), k=pa.array(best[word], pa.int32()), w=shown)
+        _give_back()
+
+    return each.repartition("w").sortWithinPartitions("w", "held_out").mapInArrow(work, "uid long, pos int, n long, k int, w binary")
+
+
+def _whole_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows in order of w and held_out, some PLACES together, and which of them begin a word. All places of a word in training
+    texts (about one of HELD of all tokens at most) are together; its others may follow later."""
+    kept, size, enough = [], 0, PLACES
+    for b in chain(batches, [None]):
+        if b is not None:
+            kept.append(b)
+            size += b.num_rows
+        if size == 0 or (b is not None and size < enough):
+            continue
+        t = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+        new = np.append(True, pc.not_equal(t.column("w").slice(1), t.column("w").slice(0, size - 1)).to_numpy(zero_copy_only=False))
+        cut = size if b is None or t.column("held_out")[size - 1].as_py() else int(np.flatnonzero(new)[-1])
+        if cut:
+            yield t.slice(0, cut), new[:cut]
+        kept, size = [t.slice(cut)], size - cut
+        enough = max(PLACES, 2 * size)
+
+
+def _best_classes(seen: np.ndarray) -> Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """The class that each word joins: of the number of the word of each place in ascending order, the words' counts, and the
+    classes before and after each place. What a word said once joins is kept by its two neighbours."""
+    k, gain = len(seen), gain_of_one(seen)
+    once = np.full((k + 1, k + 1), -1)  # the last: a word that isn't held
+
+    def joined(word: np.ndarray, words: int, b: np.ndarray, a: np.ndarray) -> np.ndarray:
+        best, ends = np.zeros(words, np.int64), np.searchsorted(word, np.arange(0, words + 2048, 2048))
+        for at, i, j in zip(range(0, words, 2048), ends, ends[1:], strict=False):
+            m = min(2048, words - at)
+            near = [np.bincount((word[i:j] - at)[x < k] * k + x[x < k], minlength=m * k).reshape(m, k) for x in (b[i:j], a[i:j])]
+            best[at : at + m] = gain(*near)[:, : k - 1].argmax(axis=1)
+            best[at : at + m][(near[0].sum(axis=1) == 0) & (near[1].sum(axis=1) == 0)] = k
+        return best
+
+    def of(word: np.ndarray, n: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
+        b, a, best = np.minimum(b, k), np.minimum(a, k), np.zeros(len(n), np.int64)
+        single = n[word] == 1
+        x, y = b[single], a[single]
+        missing = np.unique((x * (k + 1) + y)[once[x, y] < 0])
+        once[missing // (k + 1), missing % (k + 1)] = joined(np.arange(len(missing)), len(missing), missing // (k + 1), missing % (k + 1))
+        best[n == 1] = once[x, y]
+        more = np.flatnonzero(n > 1)
+        best[more] = joined(np.searchsorted(more, word[~single]), len(more), b[~single], a[~single])
+        return best
 
-    return met.mapInArrow(work, "w binary, n long, k int")
+    return of
 
 
 def gain_of_one(seen: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
@@ -348,14 +462,12 @@ def gain_of_one(seen: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarr
     return of
 
 
-def filled(read: DataFrame, placed: DataFrame) -> DataFrame:
-    """read_documents() with the classes and counts of its rare words filled in: doc_id, held_out, n_tokens, n_known, top,
-    classes. A word without a count has no class: _NONE."""
+def filled(read: DataFrame, places: DataFrame) -> DataFrame:
+    """read_documents() with the classes and counts of its rare words, by place_rare(), filled in: doc_id, held_out, n_tokens,
+    n_known, top, classes. A word without a count has no class: _NONE."""
     kind = dict(read.dtypes)["doc_id"]
-    said = read.select("uid", F.posexplode("rare").alias("pos", "x")).select("uid", "pos", F.col("x.w").alias("w"))
-    known = said.join(placed, "w", "left").select("uid", "pos", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("k", F.lit(_NONE)).cast("int").alias("k"))
-    each = known.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "k"))).alias("s"))
-    each = each.select(F.col("uid").alias("of"), F.col("s.n").alias("n"), F.col("s.k").alias("k"))
+    each = places.groupBy("uid").agg(F.collect_list(F.struct("pos", "n", "k")).alias("s"))
+    each = each.select(F.col("uid").alias("of"), F.col("s.pos").alias("pos"), F.col("s.n").alias("n"), F.col("s.k").alias("k"))
     rows = read.select("uid", "doc_id", "held_out", "n_tokens", "known", "top", "classes").join(each, F.col("uid") == F.col("of"), "left").drop("uid", "of")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,9 +476,9 @@ def filled(read: DataFrame, placed: DataFrame) -> DataFrame:
             for i in range(b.num_rows):
                 c = np.frombuffer(b.column(5)[i].as_py(), "<u2")
                 if b.column(6)[i].is_valid:
-                    n, k = b.column(6)[i].values.to_numpy(), b.column(7)[i].values.to_numpy()
+                    pos, n, k = (b.column(x)[i].values.to_numpy() for x in (6, 7, 8))
                     c = c.copy()
-                    c[c == _NONE] = k
+                    c[np.flatnonzero(c == _NONE)[pos]] = k
                     known[i] += int((n > 0).sum())
                     top[i] += float(np.log10(n + ALPHA).sum())
                 classes.append(c.tobytes())
@@ -401,18 +513,19 @@ class Brown:
         self.held, self.counts = held_words(words)
         discard(words)
         k = min(_NONE - 2, max(CLASSES, math.ceil(self.distinct**0.3)))
-        pairs = staged(count_pairs(train, self.held))
-        slices = staged(slices_of(pairs))
-        discard(pairs)
+        slices = staged(slices_of(count_pairs(train, self.held), len(self.held)))
         self.labels, self.likelihoods = exchange(slices, len(self.held), self.held.index(END), k)
         read = staged(read_documents(docs, self.held, self.counts, self.labels))
-        self.rare = staged(place_rare(read, class_pairs(slices, self.labels, k)))
+        pairs_of = class_pairs(slices, self.labels, k)
         discard(slices)
+        places = staged(place_rare(read, pairs_of))
+        self.rare = staged(places.filter(F.col("w").isNotNull()).select("w", "n", "k"))
         self.k = k + 1
         n_class, v_class = (np.bincount(self.labels, x, self.k).astype(float) for x in (self.counts, self.counts > 0))
         for r in self.rare.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # a row a class
             n_class[r.k], v_class[r.k] = n_class[r.k] + r.n, v_class[r.k] + r.v
-        self.rows = staged(filled(read, self.rare))
+        self.rows = staged(filled(read, places))
+        discard(places)
         discard(read)
         self.seen = transitions(self.rows, self.k)
         self.move = np.log10((self.seen + BETA) / (self.seen.sum(axis=1, keepdims=True) + BETA * self.k))
