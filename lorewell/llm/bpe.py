@@ -19,6 +19,8 @@ from lorewell.llm.common import table, text_of
 #: Words after which a Python worker's memory begins a new generation; the one before is kept too, and a word that is met
 #: again moves into the new one, so frequent words stay. Rows and characters that are worked on at once, at least one row.
 REMEMBERED, ROWS, CHARACTERS = 40_000, 256, 1 << 20
+#: Bytes of a word beyond which its pairs are listed by rank; the rank of a pair that is never merged.
+LONG, NONE = 64, 0x7FFFFFFF
 
 
 def _byte_letters() -> list[str]:
@@ -40,7 +42,14 @@ class WordBpe:
         self.letters = _byte_letters()
         names = {i: t for t, i in self.vocab.items()}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.merges = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs]
+        self.ranks = {(a, b): rank for rank, (a, b, _) in enumerate(self.merges)}
+        self.merged = np.array([new for _, _, new in self.merges], np.int32)
+        #: Tokens of bytes, 256 more at a word's end, and the ranks of their pairs; all pairs as ascending numbers, and their ranks.
+        self.byte_ids = np.array([self.vocab[x + end] for end in ("", self.suffix) for x in self.letters], np.int32)
+        self.byte_ranks = np.array([[self.ranks.get((a, b), NONE) for b in self.byte_ids.tolist()] for a in self.byte_ids.tolist()], np.int32)
+        keys = sorted((a << 32 | b, rank) for (a, b), rank in self.ranks.items()) or [(-1, NONE)]
+        self.keys, self.key_ranks = (np.array(x, kind) for x, kind in zip(zip(*keys, strict=True), (np.int64, np.int32), strict=True))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = names | {i: t for t, i in self.special.items()}
         self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"), regex.V0)
@@ -65,46 +74,83 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return self.pattern.findall(text.lower())
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word. All words are laid into one list of symbols, and every pair of neighbours is indexed by its
-        positions. Ranks come up in ascending order, each once for all its positions, and a merge updates the lists of
-        the pairs to its left and right. A word's merges don't reach past its ends."""
-        sym: list[int] = []
-        nxt: list[int] = []
-        prv: list[int] = []
-        first: list[int] = []
-        vocab, letters, merges = self.vocab, self.letters, self.merges
-        for w in words:
-            raw = w.encode("utf-8", "surrogatepass")
-            at, n = len(sym), len(raw)
-            first.append(at)
-            for k, b in enumerate(raw):
-                token = letters[b] if k + 1 < n else letters[b] + self.suffix
-                sym.append(vocab[token])
-                prv.append(at + k - 1 if k else -1)
-                nxt.append(at + k + 1 if k + 1 < n else -1)
+    def encode_words(self, words: list[str]) -> list[tuple[bytes, str]]:
+        """(ids as little-endian unsigned 32-bit integers, tokens joined) of each word. All words are laid into one row of
+        symbols, and every pair of neighbours is indexed by its position and rank; the first pairs are those of bytes. In a
+        word ranks come up in ascending order, each once for all its positions, and a merge renews the entries of the pairs to
+        its left and right. A word's merges don't reach past its ends."""
+        if not words:
+            return []
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        size = np.array([len(x) for x in raw])
+        first = np.cumsum(size) - size
+        byte = np.frombuffer(b"".join(raw), np.uint8).astype(np.int32)
+        byte[first + size - 1] += 256
+        rank = np.append(self.byte_ranks[byte[:-1], byte[1:]], NONE)
+        rank[first + size - 1] = NONE
+        sym, long = self.byte_ids[byte], np.repeat(size > LONG, size)
+        self._merge_short(sym, rank, np.flatnonzero(~long), size[size <= LONG])
+        for i in np.flatnonzero(size > LONG).tolist():
+            part = slice(first[i], first[i] + size[i])
+            self._merge_long(sym[part], rank[part])
+        live = sym >= 0
+        ids = sym[live]
+        cuts = [0, *np.cumsum(np.add.reduceat(live, first, dtype=np.int64)).tolist()]
+        packed, names = ids.astype("<u4").tobytes(), [self.names[i] for i in ids.tolist()]
+        return [(packed[4 * i : 4 * j], " ".join(names[i:j])) for i, j in zip(cuts, cuts[1:], strict=False)]
+
+    def _merge_short(self, out: np.ndarray, rank: np.ndarray, place: np.ndarray, size: np.ndarray) -> None:
+        """Merges many words at once, those at the places `place` of out, with so many symbols each. A turn takes the lowest
+        rank in the index of each word. out: the symbols, -1 where one was merged into one to its left."""
+        sym, rank = out[place], rank[place]
+        out[place] = -1
+        while len(size):
+            start = np.cumsum(size) - size
+            least = np.minimum.reduceat(rank, start)
+            goes_on = least < NONE
+            stays = np.repeat(goes_on, size)
+            out[place[~stays]] = sym[~stays]
+            sym, rank, place, size = sym[stays], rank[stays], place[stays], size[goes_on]
+            if not len(size):
+                break
+            at = np.flatnonzero(rank == np.repeat(least[goes_on], size))
+            fresh = np.diff(at, prepend=-2) != 1  # of overlapping positions, as in aaa, every other one is merged
+            at = at[(np.arange(len(at)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]) % 2 == 0]
+            sym[at], rank[at] = self.merged[rank[at]], NONE
+            keeps = np.ones(len(sym), bool)
+            keeps[at + 1] = False
+            size = np.add.reduceat(keeps, np.cumsum(size) - size, dtype=np.int64)
+            sym, rank, place = sym[keeps], rank[keeps], place[keeps]
+            at -= np.arange(len(at))
+            last = np.zeros(len(sym), bool)
+            last[np.cumsum(size) - 1] = True
+            at = np.concatenate([at, at[at > 0] - 1])
+            at = at[~last[at]]
+            key = sym[at].astype(np.int64) << 32 | sym[at + 1]
+            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            rank[at] = np.where(self.keys[found] == key, self.key_ranks[found], NONE)
+
+    def _merge_long(self, out: np.ndarray, rank: np.ndarray) -> None:
+        """Merges one word of many symbols, its index held as a list of positions a rank: a merge costs no pass over the word."""
+        n, sym = len(out), out.tolist()
+        nxt, prv = [*range(1, n), -1], [*range(-1, n - 1)]
         where: dict[int, list[int]] = {}
-        pair_of: dict[int, tuple[int, int, int]] = {}
-        ranks: list[int] = []
+        for i in np.flatnonzero(rank < NONE).tolist():
+            where.setdefault(int(rank[i]), []).append(i)
+        ranks = sorted(where)
 
         def note(i: int, j: int) -> None:
-            got = merges.get((sym[i], sym[j]))
-            if got is not None:
-                rank, new = got
-                if rank in where:
-                    where[rank].append(i)
-                else:
-                    where[rank] = [i]
-                    pair_of[rank] = (sym[i], sym[j], new)
-                    heapq.heappush(ranks, rank)
-
-        for i, j in enumerate(nxt):
-            if j >= 0:
-                note(i, j)
+            got = self.ranks.get((sym[i], sym[j]))
+            if got in where:
+                where[got].append(i)
+            elif got is not None:
+                where[got] = [i]
+                heapq.heappush(ranks, got)
+
         while ranks:
-            rank = heapq.heappop(ranks)
-            a, b, new = pair_of.pop(rank)
-            for i in sorted(where.pop(rank)):
+            r = heapq.heappop(ranks)
+            a, b, new = self.merges[r]
+            for i in sorted(where.pop(r)):
                 j = nxt[i]
                 if j < 0 or sym[i] != a or sym[j] != b:
                     continue
@@ -116,14 +162,7 @@ class WordBpe:
                 h = prv[i]
                 if h >= 0:
                     note(h, i)
-        out = []
-        for i in first:
-            ids = []
-            while i >= 0:
-                ids.append(sym[i])
-                i = nxt[i]
-            out.append(ids)
-        return out
+        out[:] = sym
 
     def remember(self, words: set[str]) -> None:
         """Fills known for all words: their ids as bytes and their tokens joined."""
@@ -131,10 +170,9 @@ class WordBpe:
             self.older, self.known = self.known, {}
         missing = [w for w in words if w not in self.known]
         self.known.update((w, self.older[w]) for w in missing if w in self.older)
-        new = sorted(w for w in missing if w not in self.older)
+        new = [w for w in missing if w not in self.older]
         plain = [w for w in new if w[0] != "A"]
-        for w, ids in zip(plain, self.encode_words(plain), strict=True):
-            self.known[w] = (b"".join(i.to_bytes(4, "little") for i in ids), " ".join(self.names[i] for i in ids))
+        self.known.update(zip(plain, self.encode_words(plain), strict=True))
         for w in new:
             if w[0] == "A":
                 self.known[w] = (self.special[w[1:]].to_bytes(4, "little"), w[1:])
@@ -144,8 +182,8 @@ class WordBpe:
         out, split = [], [self.words(text) for text in texts]
         self.remember(set().union(*split))
         for words in split:
-            got = list(map(self.known.__getitem__, words))
-            out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got])))
+            ids, decoded = zip(*map(self.known.__getitem__, words), strict=True) if words else ((), ())
+            out.append((b"".join(ids), " ".join(decoded)))
         return out
 
 

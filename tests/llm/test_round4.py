@@ -1,11 +1,12 @@
 """What the operators hand from task to task, and that they do so in few steps."""
 
 import collections
+import sys
 import zlib
 
 import numpy as np
 import pytest
-from lorewell.llm import brown_lm
+from lorewell.llm import bpe, brown_lm
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,3 +67,31 @@ def test_brown_places_are_dealt_by_word_once(spark, monkeypatch):
         assert sorted((bytes(r.w), r.n, r.k) for r in found if r.w is not None) == sorted((w, c, label[w]) for w, c in n.items())
     plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("Exchange") == 1
+
+
+def test_bpe_words_of_all_lengths(monkeypatch):
+    """Short words are merged together, long ones each by lists of positions, with the library's tokens; short ones in far
+    less time than a step of the interpreter for each of their letters takes."""
+    from tokenizers import Tokenizer
+
+    rng, library, mine = np.random.RandomState(0), Tokenizer.from_file(bpe.vocabulary()), bpe.WordBpe(bpe.vocabulary())
+    words = ["".join(rng.choice(list("aaaabbeinorst"), n)) for n in [*range(1, 140), 5000] for _ in range(3)] + ["a" * n for n in range(1, 90)] + ["ß" * 31, "ß" * 33, "é", "日本" * 40, "!" * 70, "7"]
+    want = [library.encode(w, add_special_tokens=False).ids for w in words]
+    for long in (0, 1, 64, 1 << 30):
+        monkeypatch.setattr(bpe, "LONG", long)
+        got = mine.encode_words(words)
+        assert [np.frombuffer(ids, "<u4").tolist() for ids, _ in got] == want and [x for _, x in got] == [library.decode(ids, skip_special_tokens=False) for ids in want]
+    assert mine.encode_words([]) == []
+    monkeypatch.setattr(bpe, "LONG", 64)
+    steps, many = [0], list({"".join(rng.choice(list("aeinorst"), 9)) for _ in range(5000)})
+
+    def count(*_):
+        steps[0] += 1
+        return count
+
+    sys.settrace(count)
+    try:
+        mine.encode_words(many)
+    finally:
+        sys.settrace(None)
+    assert steps[0] < 9 * len(many)
