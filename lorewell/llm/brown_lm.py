@@ -364,7 +364,7 @@ def place_rare(read: DataFrame, seen: np.ndarray) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best_of = _best_classes(seen)
         before: tuple = (None, 0, 0)  # word, n and k of the last row, where its word's places in training texts are over
-        for t, new in _whole_words(batches):
+        for t, new in _whole_words(batches, PLACES):
             held_out, w = t.column("held_out").to_numpy(zero_copy_only=False), t.column("w")
             word = np.cumsum(new) - 1
             train = ~held_out
@@ -374,17 +374,17 @@ def place_rare(read: DataFrame, seen: np.ndarray) -> DataFrame:
             if w[0].as_py() == before[0]:
                 n[0], best[0] = before[1:]
             before = (w[-1].as_py(), n[-1], best[-1]) if held_out[-1] else (None, 0, 0)
-            shown = pc.if_else(pa.array(new & train), w, pa.scalar(None, pa.binary()))
+            shown = w.take(pa.array(np.arange(len(w)), mask=~(new & train)))  # if_else() with a null breaks the offsets of a slice
             yield _columns(uid=t.column("uid"), pos=t.column("pos"), n=pa.array(n[word], pa.int64()), k=pa.array(best[word], pa.int32()), w=shown)
         _give_back()
 
     return each.repartition("w").sortWithinPartitions("w", "held_out").mapInArrow(work, "uid long, pos int, n long, k int, w binary")
 
 
-def _whole_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Rows in order of w and held_out, some PLACES together, and which of them begin a word. All places of a word in training
+def _whole_words(batches: Iterator[pa.RecordBatch], places: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows in order of w and held_out, some `places` together, and which of them begin a word. All places of a word in training
     texts (about one of HELD of all tokens at most) are together; its others may follow later."""
-    kept, size, enough = [], 0, PLACES
+    kept, size, enough = [], 0, places
     for b in chain(batches, [None]):
         if b is not None:
             kept.append(b)
@@ -397,7 +397,7 @@ def _whole_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordB
         if cut:
             yield t.slice(0, cut), new[:cut]
         kept, size = [t.slice(cut)], size - cut
-        enough = max(PLACES, 2 * size)
+        enough = max(places, 2 * size)
 
 
 def _best_classes(seen: np.ndarray) -> Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]:

@@ -69,6 +69,27 @@ def test_brown_places_are_dealt_by_word_once(spark, monkeypatch):
     assert plan.count("Exchange") == 1
 
 
+def test_brown_places_left_over_at_a_task_end(spark, monkeypatch):
+    """The places that a task keeps after its last full block are a slice of a batch; they come out as all others do."""
+    words = [0, 0, 0, 1, 2, 2, 2, 2, 3, 3, 4, 4, 4, 4, 4, 5, 5]  # of each row, all in training texts
+    rare = f"transform(array{tuple(words)}, i -> named_struct('w', encode(concat(id, ' ', i), 'UTF-8'), 'b', 0, 'a', 1))"
+    for rows, sizes in ((4200, [brown_lm.PLACES]), (1, range(1, len(words) + 2))):
+        read = spark.range(rows).selectExpr("id as uid", "false as held_out", f"{rare} as rare")
+        want = {b"%d %d" % (uid, i): words.count(i) for uid in range(rows) for i in words}
+        for places in sizes:
+            monkeypatch.setattr(brown_lm, "PLACES", places)
+            changed = {"spark.sql.shuffle.partitions": 1, "spark.sql.execution.arrow.maxRecordsPerBatch": places if rows == 1 else rows * len(words)}
+            before = {c: spark.conf.get(c) for c in changed}
+            for c, value in changed.items():
+                spark.conf.set(c, value)
+            try:
+                found = brown_lm.place_rare(read, np.ones((5, 5))).collect()
+            finally:
+                for c, value in before.items():
+                    spark.conf.set(c, value)
+            assert len(found) == rows * len(words) and {bytes(r.w): r.n for r in found if r.w is not None} == want
+
+
 def test_bpe_words_of_all_lengths(monkeypatch):
     """Short words are merged together, long ones each by lists of positions, with the library's tokens; short ones in far
     less time than a step of the interpreter for each of their letters takes."""
